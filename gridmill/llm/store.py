@@ -1,0 +1,56 @@
+"""Tables that cut lineage, in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Set when the session names no folder, as in local tests.
+_OWN: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="gridmill-"))
+    return f"file://{_OWN[0]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    The written table survives the loss of executors, and every later use of it
+    reads files instead of repeating the work. Shuffle files of the writing
+    query are dropped when it ends. Tables go when the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gridmill/{name}-{uuid.uuid4().hex}"
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_tables() -> None:
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is None:
+            continue
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may already be gone; the folder is scratch space
+            return
