@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import language_id, packing, pii, quality_classifier, quality_rules
+from gridmill.llm import language_id, mixing, packing, pii, quality_classifier, quality_rules
 from gridmill.llm.ids import in_fold
 
 
@@ -46,10 +46,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_quality_rules": op2_quality_rules,
+        "op6_mixing": op6_mixing,
         "op7_packing": op7_packing,
         "op8_pii": op8_pii,
         "op10_language_id": op10_language_id,
