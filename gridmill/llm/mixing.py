@@ -6,8 +6,8 @@ Targets share out the wanted words by weight, no source above its cap
 exponentially tilted rates that solve the convex dual of the source's token
 constraint. Newton steps, kept inside a bracket, find all lambdas at once; each
 step is one aggregation of the table of sizes, which has a row for each source
-and size. Rates are then rounded into copies by cumulative sums in order of
-size, so a source's taken words differ from its target by a document or so.
+and size. Rates are then rounded into copies by cumulative sums from the longest
+to the shortest, so a source's taken words differ from its target by a document or so.
 
 Everything is DataFrame operations. Rows of one source and size are split into
 parts of about ``PART_ROWS`` by a hash of their identifier.
@@ -127,10 +127,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     rows = rows.join(large, [*_KEY, "size"], "left").withColumn("part", F.pmod(hashed, F.coalesce("parts", F.lit(1)))).drop("parts")
     bins = rows.groupBy(*bin_key).agg(F.count("*").alias("n")).join(duals, _KEY).withColumn("rate", _rate(cap))
     whole = F.least(F.floor("rate"), F.lit(int(cap)))
-    ordered = Window.partitionBy(*_KEY).orderBy("size", "part").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.col("n") * (F.col("rate") - whole)).over(ordered)
+    # Longest first: what the last rounding leaves over is then a matter of the shortest documents.
+    ordered = Window.partitionBy(*_KEY).orderBy(F.desc("size"), "part")
+    upto = F.sum(F.col("n") * (F.col("rate") - whole)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     bins = bins.withColumns({"whole": whole, "upto": upto})
-    steps = F.floor(F.col("upto") + 0.5) - F.coalesce(F.floor(F.lag("upto").over(Window.partitionBy(*_KEY).orderBy("size", "part")) + 0.5), F.lit(0))
+    steps = F.floor(F.col("upto") + 0.5) - F.coalesce(F.floor(F.lag("upto").over(ordered) + 0.5), F.lit(0))
     plan = bins.withColumn("extra", steps).select(*bin_key, "source_size", "target", "rate", "whole", "extra")
     place = F.row_number().over(Window.partitionBy(*bin_key).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
     return (
