@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from gridmill.llm import tokens
 from gridmill.llm.frames import id_and_text
 from gridmill.llm.ids import in_fold
+from gridmill.llm.store import materialize
 
 #: Documents learned from: about so many of a language, and so many in all at most.
 MAX_PER_LANGUAGE = 600
 MAX_LABELLED = 4_000
 LANDMARKS = 96
+#: So many languages' counts are sent to every executor; more are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 SLOTS = 1 << 13
 SEGMENT_BYTES = 4_096
 UNKNOWN = "und"
@@ -154,7 +157,9 @@ def fit(docs: DataFrame, *, lang: str = "lang", fold: tuple[int, int] | None = (
     )
     if fold:
         rows = rows.where(~in_fold(F.col("doc_id"), *fold))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if counts.count() <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(counts, "lang").where(draw < F.lit(float(per_language)) / F.col("n"))
     sample = sample.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit)
