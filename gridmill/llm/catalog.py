@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import language_id, mixing, packing, pii, quality_classifier, quality_rules, spotsigs, substring_dedup
+from gridmill.llm import language_id, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, spotsigs, substring_dedup
 from gridmill.llm.ids import in_fold
 
 
@@ -69,12 +69,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_quality_rules": op2_quality_rules,
         "op3_spotsigs": op3_spotsigs,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_ngram_join": op5_ngram_join,
         "op6_mixing": op6_mixing,
         "op7_packing": op7_packing,
         "op8_pii": op8_pii,

@@ -1,0 +1,50 @@
+"""Connected components of links, by alternating large and small stars.
+
+Each round joins every node to the least node it knows of; rounds are few (about
+the logarithm of the number of nodes). Links are kept as a written table between
+rounds; nothing is gathered on the driver but one count.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridmill.llm.store import materialize
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours go to the least of it and its neighbours."""
+    near = _both_ways(edges)
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return near.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours go to the least of these."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+
+
+def _clean(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("a") != F.col("b")).distinct()
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """``(node, root)`` for every node of ``edges`` (columns a and b): root is the least node it is linked to."""
+    now = materialize(_clean(edges.select("a", "b")), "links")
+    mark = None
+    for _ in range(rounds):
+        now = materialize(_clean(_small_star(_clean(_large_star(now)))), "links")
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if tuple(state) == mark:
+            break
+        mark = tuple(state)
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
