@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import language_id, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, spotsigs, substring_dedup
+from gridmill.llm import language_id, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, spotsigs, substring_dedup
 from gridmill.llm.ids import in_fold
 
 
@@ -73,6 +73,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_packing": op7_packing,
         "op8_pii": op8_pii,
+        "op9_line_dedup": op9_line_dedup,
         "op10_language_id": op10_language_id,
     }
 
