@@ -105,7 +105,7 @@ def lines_of(chunk: tokens.Chunk) -> tuple[np.ndarray, ...]:
 
 
 def templates(toks: np.ndarray, like: float = LIKE) -> np.ndarray:
-    """The template of each line of one leaf, lines by rows; they come in the order given."""
+    """The template of each line of one leaf, lines by rows; they come in the order given (that of their first documents)."""
     n = toks.shape[1]
     need = int(np.ceil(like * n - 1e-9))
     known = np.zeros((16, n), np.uint32)
@@ -130,7 +130,14 @@ def templates(toks: np.ndarray, like: float = LIKE) -> np.ndarray:
 def _leaf_verdicts(line: np.ndarray, toks: list[np.ndarray], ids: list[np.ndarray], min_docs: int, like: float) -> tuple[np.ndarray, np.ndarray]:
     """For entries of one leaf: whether their template recurs, and its first document."""
     distinct, first, which = np.unique(line, return_index=True, return_inverse=True)
-    template = templates(np.stack([toks[k] for k in first]), like)[which] if len(distinct) > 1 else np.zeros(len(line), np.int64)
+    template = np.zeros(len(line), np.int64)
+    if len(distinct) > 1:
+        earliest = np.full(len(distinct), exchange.NO_ID)
+        np.minimum.at(earliest, which, np.array([x[0] for x in ids]))
+        order = np.lexsort((distinct, earliest))
+        of_line = np.empty(len(distinct), np.int64)
+        of_line[order] = templates(np.stack([toks[first[k]] for k in order]), like)
+        template = of_line[which]
     recurs, keeper = np.zeros(len(line), bool), np.zeros(len(line), np.int64)
     for t in np.unique(template):
         mine = np.flatnonzero(template == t)
