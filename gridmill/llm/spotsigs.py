@@ -32,7 +32,7 @@ REACH = 4
 #: Sets whose lengths' ratio is below this are not compared; their likeness counts as 0.
 FLOOR = 0.1
 #: Rows of one ordered bucket, about.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 250
 _COARSE = 256
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
