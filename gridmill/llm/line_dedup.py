@@ -269,3 +269,16 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, like: float = LIKE) ->
     for n in names:
         schema = schema.add(n, T.LongType())
     return rows.mapInArrow(run, schema)
+
+
+def without_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, like: float = LIKE) -> DataFrame:
+    """``docs`` with recurring lines gone, in their own columns; documents that lose their last word go.
+
+    ``n_chars``, where there is such a column, follows the text.
+    """
+    rows = drop_lines(docs, min_docs, like)
+    dropped = F.col(f"`{rows.columns[-1]}`") > 0
+    rows = rows.where(~dropped | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(dropped, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,6 +21,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.llm.frames import fresh
 from gridmill.llm.store import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -142,3 +143,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             F.least(F.col("whole") + (F.col("place") <= F.col("extra")).cast("long"), F.lit(int(cap))).alias("copies"),
         )
     )
+
+
+def repeat_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, in their own columns."""
+    mixed = mix(docs, weights, share, cap)
+    names = {k: fresh(f"mix_{k}", docs.columns) for k in ("id", "no_id", "source", "no_source", "size", "list", "at")}
+    key = [names[k] for k in ("id", "no_id", "source", "no_source", "size")]
+
+    def keyed(df: DataFrame, size: Column) -> DataFrame:
+        doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+        return df.withColumns(dict(zip(key, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size), strict=True)))
+
+    # Rows alike in identifier, source and size share a list of copies, dealt out in order.
+    lists = keyed(mixed, F.col("size")).groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(names["list"]))
+    rows = keyed(docs, word_count(F.col("text").cast("string"))).join(lists, key)
+    rows = rows.withColumn(names["at"], F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    copies = F.element_at(names["list"], F.col(names["at"])).cast("int")
+    rows = rows.where(copies > 0).withColumn(names["at"], F.explode(F.sequence(F.lit(1), copies)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

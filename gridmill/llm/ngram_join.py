@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm import exchange, tokens
 from gridmill.llm.components import components
+from gridmill.llm.frames import fresh
 from gridmill.llm.store import materialize
 
 SHINGLE = 3
@@ -281,7 +282,7 @@ def node_links(sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFra
 
 
 def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """For each row of ``docs``: doc_id, ``tie`` and ``tie2`` (hashes of its text), n_shingles and component_id.
+    """For each row of ``docs``: doc_id, n_shingles, component_id, its key (id, tie, tie2) and ``class_key``, null without shingles.
 
     Texts that are null or have no words have no shingles and link with nothing. Rows with a null
     identifier link like others; their component_id is null only where no linked row has one. Rows
@@ -297,7 +298,28 @@ def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     roots = node_links(sets, buckets, percent)
     names = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("id").alias("component"))
-    names = materialize(names.join(least, "root").select("node", "component"), "components")
+    names = materialize(names.join(least, "root").select("node", "root", "component"), "components")
     rows = rows.join(names, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
     back = lambda c: F.when(F.col(c) != exchange.NO_ID, F.col(c))
-    return rows.select(back("id").alias("doc_id"), "tie", "tie2", F.col("n").alias("n_shingles"), back("component").alias("component_id"))
+    class_key = F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("class_key")
+    return rows.select(
+        back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), "id", "tie", "tie2", class_key
+    )
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay when of each class only the document with the smallest identifier does.
+
+    Of repeated rows one stays. Rows without words are in no class and all stay. Columns are those of ``docs``.
+    """
+    first = classes(docs, width, percent).where(F.col("class_key").isNotNull())
+    first = first.groupBy("class_key").agg(F.min(F.struct("id", "tie", "tie2")).alias("first")).select("first.*")
+    keys = {k: fresh(f"key_{k}", docs.columns) for k in ("id", "tie", "tie2")}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumns({
+        keys["id"]: F.coalesce(F.col("doc_id").cast("long"), F.lit(exchange.NO_ID)),
+        keys["tie"]: F.xxhash64(text), keys["tie2"]: F.xxhash64(F.length(text), text),
+    })
+    kept = keyed.join(first.withColumnsRenamed(keys), list(keys.values())).dropDuplicates(list(keys.values()))
+    return kept.drop(*keys.values()).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))
