@@ -28,6 +28,8 @@ from gridmill.llm import tokens
 BUCKET_BYTES = 12 << 20
 PARCEL_ITEMS = 1_500_000
 _MOST_ROWS = 60_000
+#: The size of a key filter: 2^24 bits are at most 2^18 rows of 16 bytes.
+FILTER_BITS = 24
 #: Stands for a null identifier, after all others.
 NO_ID = (1 << 63) - 1
 _SKIP = 0xFFFF
@@ -46,6 +48,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: str = "tie") -> DataFrame:
+    """The rows whose 64-bit key may be among ``wanted``'s: none of those is lost, few others stay.
+
+    A bitmap of ``2^FILTER_BITS`` bits, whatever the number of keys, is broadcast; so rows that a join would
+    only drop need not be shuffled. With far more keys than bits it lets all through, and costs no more.
+    """
+    bit = lambda c: F.pmod(c, F.lit(1 << FILTER_BITS))
+    word, mask = F.shiftright(bit(F.col(key)), 6), F.shiftleft(F.lit(1).cast("long"), bit(F.col(key)).bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    kept = rows.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(mask) != 0)
+    return kept.drop("_word", "_bits")
+
+
 def bucket_count(docs: DataFrame) -> int:
     """Enough buckets for all text, and for all cores."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

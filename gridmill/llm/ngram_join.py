@@ -122,7 +122,7 @@ def node_sets(keyed: DataFrame, nodes: DataFrame, width: int = SHINGLE) -> DataF
                 sets += [np.sort(x).tobytes() for x in np.split(runs, np.searchsorted(at, np.cumsum(counts)[:-1]))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(sets, pa.binary())], names=["node", "n", "shingles"])
 
-    rows = keyed.join(nodes, ["id", "tie", "tie2"]).dropDuplicates(["node"]).select("text", "node", "n")
+    rows = exchange.likely(keyed, nodes).join(nodes, ["id", "tie", "tie2"]).dropDuplicates(["node"]).select("text", "node", "n")
     return rows.mapInArrow(run, "node long, n long, shingles binary")
 
 
@@ -251,8 +251,8 @@ def node_links(sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFra
     marked = materialize(prefixes(sets, buckets, percent), "prefixes")
     parts = marked.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     marked = marked.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    marked = materialize(marked, "groups")
-    nodes = marked.select("node", "key", "part", "parts").join(sets.select("node", "shingles"), "node")
+    nodes = materialize(marked.join(sets.select("node", "shingles"), "node"), "groups")
+    marked = nodes.drop("shingles")
     own = nodes.select("node", "shingles", "key", "part", F.lit(1).alias("role"))
     hubs = nodes.where((F.col("part") == 0) & (F.col("parts") > 1))
     hubs = hubs.select("node", "shingles", "key", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
@@ -274,7 +274,7 @@ def node_links(sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFra
     asks = materialize(queries.join(matrix, "shingle").where(fits & other).select("node", "key", "part").distinct(), "queries")
     loads = materialize(asks.groupBy("key", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("loads")), "loads")
     asked = asks.join(loads, ["key", "part"]).withColumn("load", F.pmod(F.xxhash64("node"), "loads").cast("int"))
-    asked = asked.join(sets.select("node", "shingles"), "node").select("node", "shingles", "key", "part", "load", F.lit(2).alias("role"))
+    asked = asked.join(nodes.select("node", "shingles"), "node").select("node", "shingles", "key", "part", "load", F.lit(2).alias("role"))
     there = nodes.join(loads, ["key", "part"])
     there = there.select("node", "shingles", "key", "part", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)).alias("load"), F.lit(0).alias("role"))
     more = opened(asked.unionByName(there), ["key", "part", "load"], percent)

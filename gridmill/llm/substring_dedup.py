@@ -132,7 +132,7 @@ def repeated_windows(keyed: DataFrame, hits: DataFrame, buckets: int, window: in
             out.append([exchange.pack_places(exchange.unpack_places(r[1])[mine])] if mine.any() else None)
         return out
 
-    sent = keyed.join(hits, names).select("text", *names, "places").mapInArrow(send, exchange.RECORD_SCHEMA)
+    sent = exchange.likely(keyed, hits).join(hits, names).select("text", *names, "places").mapInArrow(send, exchange.RECORD_SCHEMA)
     return exchange.settled(exchange.answered(sent, answer), exchange.KEYS, _settle_places, _MARKS)
 
 
