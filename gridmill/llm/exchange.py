@@ -55,7 +55,7 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str = "tie") -> DataFrame:
     only drop need not be shuffled. With far more keys than bits it lets all through, and costs no more.
     """
     bit = lambda c: F.pmod(c, F.lit(1 << FILTER_BITS))
-    word, mask = F.shiftright(bit(F.col(key)), 6), F.shiftleft(F.lit(1).cast("long"), bit(F.col(key)).bitwiseAND(F.lit(63)).cast("int"))
+    word, mask = F.shiftright(bit(F.col(key)), 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(key)).bitwiseAND(F.lit(63)).cast("int"))
     bitmap = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
     kept = rows.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(mask) != 0)
     return kept.drop("_word", "_bits")
