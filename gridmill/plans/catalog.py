@@ -488,9 +488,10 @@ def class_counts(spark, sf_dir):
     return _longs(objects.class_counts(_class_objects(spark, sf_dir), 4), "cls")
 
 
-@query(sql.select(sql.CLASS_OBJECTS, "SELECT image_id, CAST(cls AS BIGINT) AS cls, count(*) AS objects, CAST(sum(area) AS BIGINT) AS area FROM obj GROUP BY ROLLUP (image_id, cls)"))
+@query(sql.select(sql.CLASS_OBJECTS, "SELECT coalesce(image_id, 'all') AS image_id, coalesce(CAST(cls AS VARCHAR), 'all') AS cls, count(*) AS objects, CAST(sum(area) AS BIGINT) AS area FROM obj GROUP BY ROLLUP (image_id, obj.cls)"))
 def class_counts_rollup(spark, sf_dir):
-    return _longs(objects.counts_rollup(_class_objects(spark, sf_dir)), "cls")
+    rows = objects.counts_rollup(_class_objects(spark, sf_dir))
+    return rows.withColumns({"image_id": F.coalesce("image_id", F.lit("all")), "cls": F.coalesce(F.col("cls").cast("string"), F.lit("all"))})
 
 
 @query(sql.select(sql.OBJECTS, f"SELECT image_id, {_STATS}, place FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS place FROM obj) WHERE place <= 5"))
