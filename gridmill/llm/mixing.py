@@ -72,21 +72,26 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def _tilt() -> Column:
-    return 1 + F.col("size") / (F.col("size") + F.col("source_size") / F.col("docs"))
+    return 1 + F.coalesce(F.try_divide(F.col("size"), F.col("size") + F.col("source_size") / F.col("docs")), F.lit(0.0))
 
 
 def _rate(cap: float) -> Column:
     return F.when(F.col("target") >= cap * F.col("source_size"), F.lit(cap)).otherwise(
-        F.least(F.lit(cap), F.exp(F.col("dual") * F.coalesce(_tilt(), F.lit(1.0))))
+        F.least(F.lit(cap), F.exp(F.col("dual") * _tilt()))
     )
 
 
+def _exact_sum(value: Column) -> Column:
+    """A sum in decimals: the same in whatever order the parts arrive, so that reruns agree."""
+    return F.sum(value.cast("decimal(38,9)")).cast("double")
+
+
 def solve(sizes: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
     """Adds the dual variable ``dual`` to each source's row, by Newton steps over the table of sizes."""
     top = log(cap)
     now = materialize(
         goal.withColumns({
-            "dual": F.coalesce(F.log(F.col("target") / F.col("source_size")) / 1.5, F.lit(0.0)),
+            "dual": F.coalesce(F.log(F.try_divide(F.col("target"), F.col("source_size"))) / 1.5, F.lit(0.0)),
             "low": F.lit(-700.0), "high": F.lit(top),
         }), "duals",
     )
@@ -96,7 +101,7 @@ def solve(sizes: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
         sums = (
             sizes.join(now, _KEY)
             .groupBy(*_KEY, "source_size", "docs", "target", "dual", "low", "high")
-            .agg(F.sum(words).alias("value"), F.sum(F.when(rate < cap, words * _tilt()).otherwise(0.0)).alias("slope"))
+            .agg(_exact_sum(words).alias("value"), _exact_sum(F.when(rate < cap, words * _tilt()).otherwise(0.0)).alias("slope"))
         )
         gap = F.col("value") - F.col("target")
         low = F.when(gap < 0, F.col("dual")).otherwise(F.col("low"))
