@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import language_id, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, spotsigs, substring_dedup
+from gridmill.llm import language_id, line_dedup, mixing, ngram_join, oracles, packing, pii, quality_classifier, quality_rules, spotsigs, substring_dedup
 from gridmill.llm.ids import in_fold
 
 
@@ -94,4 +94,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators learn, hash, or depend on an order that SQL cannot state; they are tested against brute force."""
+    return {"op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_ngram_join": oracles.NGRAM_JOIN}

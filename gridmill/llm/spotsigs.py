@@ -9,11 +9,13 @@ apart cannot be alike and are not compared; others by their Jaccard likeness.
 
 from __future__ import annotations
 
+from itertools import count
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.llm.components import components
 from gridmill.llm.frames import id_and_text
 from gridmill.llm.store import materialize
 
@@ -44,13 +46,13 @@ def with_signatures(df: DataFrame, text: str, name: str, chain: int = CHAIN) ->
     A content word with no anchor among the ``REACH`` words before it, or before the text's first
     anchor, begins a chain of its own, so that tables and lists have signatures too. At the end of a
     text chains may be shorter, down to one word after an anchor. A text of anchors alone is the set
-    of its words; one without words has no signature.
+    of its words; one without words, or null, has no signature.
     """
     words, spots, places, rest = (f"{name}__{x}" for x in ("words", "spots", "places", "rest"))
     anchor = lambda w: w.isin(*ANCHORS)
     signature = lambda *parts: F.xxhash64(*parts).bitwiseAND(F.lit(0xFFFFFFFF))
     content = lambda k: F.coalesce(F.get(rest, k), F.lit(""))
-    df = df.withColumn(words, F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != ""))
+    df = df.withColumn(words, F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD), lambda w: w != ""))
     df = df.withColumn(spots, F.transform(words, lambda w, i: F.when(anchor(w), i).otherwise(-1 - i)))
     df = df.withColumns({
         places: F.transform(F.filter(spots, lambda i: i < 0), lambda i: -1 - i),
@@ -142,29 +144,48 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs of near-duplicate classes of ``docs``, and their membership: ``(class_id, other_id, jaccard)``.
-
-    A class is all rows with one fingerprint, named by its smallest doc_id (null counts as none). A row
-    with a null ``other_id`` states a class alone. Sets are partitioned by length, so that only equal and
-    neighbouring partitions can meet; there, sets meet on the rarest of their signatures, as many as a pair
-    that is alike must share one of, and only sets within the length bound are compared.
+    """For each row of ``docs``: doc_id, ``n_signatures`` and ``class_id``, the smallest doc_id reachable by likeness of ``least``.
+
+    Equal sets are one node. Sets are partitioned by length, so that only equal and neighbouring partitions
+    meet; there, sets meet at the rarest of their signatures, as many as two sets that are alike must
+    share one of. At such a meeting all sets are compared with a few of it, the hubs, and then with four times
+    as many, round by round, until what meets is one class or every set has been a hub: no
+    likeness is missed, and large groups of copies cost their number, not its square. Rows without
+    words are alike nothing; null identifiers count after all others.
     """
-    rows = with_signatures(id_and_text(docs), "text", "sigs").where(F.size("sigs") > 0)
-    sets = rows.groupBy(F.sha2(fingerprint(F.col("sigs")), 256).alias("print")).agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs"))
-    sets = materialize(sets.where(F.col("class_id").isNotNull()).select("class_id", "sigs", F.size("sigs").alias("n")), "spot-sets")
-    tokens = sets.select("class_id", "n", F.explode("sigs").alias("sig"))
-    shared = tokens.groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = tokens.join(shared, "sig").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_df"))
-    spare = F.col("n") - F.ceil(least * F.col("n")) + 1
-    probes = ranked.select("class_id", "n", F.explode(F.slice("by_df", F.lit(1), spare.cast("int"))).alias("t")).where("t.df > 1")
+    none = F.lit((1 << 63) - 1)
+    rows = with_signatures(id_and_text(docs), "text", "sigs")
+    rows = materialize(rows.select(F.col("doc_id"), F.coalesce("doc_id", none).alias("id"), F.sha2(fingerprint(F.col("sigs")), 256).alias("print"), "sigs"), "spot-rows")
+    sets = rows.where(F.size("sigs") > 0).groupBy("print").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs"))
+    sets = materialize(sets.select("print", F.xxhash64("print").alias("node"), "id", "sigs", F.size("sigs").alias("n")), "spot-sets")
+    signatures = sets.select("node", "n", F.explode("sigs").alias("sig"))
+    shared = signatures.groupBy("sig").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    ranked = signatures.join(shared, "sig").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_df"))
+    # Signatures of one set alone come first in the order, and cannot be met.
+    spare = F.size("by_df") - F.ceil(least * F.col("n")) + 1
+    probes = ranked.where(spare > 0).select("node", "n", F.explode(F.slice("by_df", F.lit(1), spare.cast("int"))["sig"]).alias("sig"))
     part = F.floor(F.log(F.col("n").cast("double")) / log(1 / least)).cast("long")
-    probes = probes.select("class_id", "n", F.col("t.sig").alias("sig"), part.alias("part"))
-    index = probes.select(
-        F.col("class_id").alias("other_id"), F.col("n").alias("other_n"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")
-    )
-    close = (F.col("other_n") <= F.col("n")) & (F.col("other_n") >= least * F.col("n"))
-    once = (F.col("other_n") < F.col("n")) | (F.col("other_id") < F.col("class_id"))
-    pairs = probes.join(index, ["part", "sig"]).where(close & once).select("class_id", "other_id").distinct()
-    a, b = sets.select("class_id", "sigs"), sets.select(F.col("class_id").alias("other_id"), F.col("sigs").alias("other_sigs"))
-    alike = pairs.join(a, "class_id").join(b, "other_id").withColumn("jaccard", likeness(F.col("sigs"), F.col("other_sigs"), least))
-    return alike.where(F.col("jaccard") >= least).select("class_id", "other_id", "jaccard")
+    met = materialize(probes.select("node", "n", "sig", F.explode(F.array(part, part + 1)).alias("part")), "spot-meetings")
+    links = sets.sparkSession.createDataFrame([], "a long, b long")
+    roots = components(links)
+    for step in count():
+        known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = known.groupBy("part", "sig").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+        open_ = open_.where(F.col("low") != F.col("high")).select("part", "sig", F.greatest(F.lit(1), F.floor(F.col("size") / 4**step)).alias("every"))
+        here = materialize(known.join(open_, ["part", "sig"]), "spot-open")
+        most = here.agg(F.max("every")).first()[0]
+        if most is None:
+            break
+        hubs = here.where(F.pmod(F.xxhash64("node"), "every") == 0).select("part", "sig", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+        near = (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
+        pairs = here.join(hubs, ["part", "sig"]).where(near).select("node", "hub").distinct()
+        pairs = pairs.join(sets.select("node", "sigs"), "node").join(sets.select(F.col("node").alias("hub"), F.col("sigs").alias("hub_sigs")), "hub")
+        found = pairs.where(likeness(F.col("sigs"), F.col("hub_sigs"), least) >= least).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        if most == 1:
+            break
+    named = sets.select("print", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = named.groupBy("root").agg(F.min("id").alias("least_id"))
+    named = named.join(names, "root").select("print", "least_id")
+    rows = rows.select("doc_id", "id", "print", F.size("sigs").alias("n_signatures")).join(named, "print", "left")
+    return rows.select("doc_id", "n_signatures", F.nullif(F.coalesce("least_id", "id"), none).alias("class_id"))

@@ -143,11 +143,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     keyed = exchange.keyed(docs)
     buckets = exchange.bucket_count(docs)
     hits = materialize(block_hits(keyed, buckets, block), "block-hits")
-    # All copies of a text have the same hits: its first document stands for them.
-    firsts = hits.groupBy("tie", "tie2").agg(F.min("id").alias("first_id"))
-    hits = hits.join(firsts, ["tie", "tie2"])
-    later = hits.where(F.col("id") > F.col("first_id")).select("id", "tie", "tie2", F.lit(b"").alias("places"), F.lit(True).alias("everything"))
-    marks = repeated_windows(keyed, hits.where(F.col("id") == F.col("first_id")).drop("first_id").dropDuplicates(["id", "tie", "tie2"]), buckets, window, block)
+    # All copies of a text have the same hits: its first document stands for them. The join is by
+    # the whole key, so a text that many documents share does not meet itself in one task.
+    firsts = hits.groupBy("tie", "tie2").agg(F.min("id").alias("id")).withColumn("is_first", F.lit(True))
+    hits = hits.join(firsts, ["id", "tie", "tie2"], "left")
+    later = hits.where(F.col("is_first").isNull()).select("id", "tie", "tie2", F.lit(b"").alias("places"), F.lit(True).alias("everything"))
+    own = hits.where("is_first").drop("is_first").dropDuplicates(["id", "tie", "tie2"])
+    marks = repeated_windows(keyed, own, buckets, window, block)
     marks = marks.groupBy("id", "tie", "tie2").agg(F.first("places").alias("places")).withColumn("everything", F.lit(False))
     return materialize(marks.unionByName(later.dropDuplicates(["id", "tie", "tie2"])), "repeats")
 
