@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.operators.graph import components
+from gridmill.store import materialize
 
 TILE = 1024
 
@@ -61,9 +62,7 @@ def label_components(mask: DataFrame, width: int, height: int, tile: int = TILE,
     labelled = tiled.groupBy(*by, "_tx", "_ty").applyInPandas(_label_tile, schema)
     if width <= tile and height <= tile:
         return labelled.withColumn("label", F.col("local") + 1).drop("_tx", "_ty", "local")
-    from gridmill.store import written
-
-    labelled = written(labelled, "tiles")
+    labelled = materialize(labelled, "tiles")
     node = F.struct(*by, "local")
     at_edge = lambda c, side: (F.col(c) % tile == (tile - 1 if side else 0))
     edges = None

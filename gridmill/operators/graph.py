@@ -1,29 +1,43 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of links, by alternating large and small stars.
+
+Each round joins every node to the least node it knows of; rounds are few (about
+the logarithm of the number of nodes). Links are kept as a written table between
+rounds; nothing is gathered on the driver but a count and a checksum.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.store import written
+from gridmill.store import materialize
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One round: hang larger neighbours, then smaller ones, on the least node around."""
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours go to the least of it and its neighbours."""
     near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    edges = near.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return near.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours go to the least of these."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+
+
+def _clean(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("a") != F.col("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """``(node, root)`` of all nodes with an edge but the roots themselves; root is the least node of the component."""
-    now = written(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """``(node, root)`` for every node of ``edges (a, b)`` that is not the least of its component; root is that one."""
+    now = materialize(_clean(edges.select("a", "b")), "links")
     before = None
     for _ in range(rounds):
-        now = written(_stars(now), "edges")
+        now = materialize(_clean(_small_star(_clean(_large_star(now)))), "links")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
