@@ -4,7 +4,8 @@ import pytest
 from corpus import clashing, frame, rows
 
 import corpus_pipeline
-from gridmill.llm import catalog, components
+from gridmill.llm import catalog
+from gridmill.operators import graph
 
 DATA = "/root/testdata/sf0.001"
 
@@ -24,10 +25,10 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {k for e in edges for k in e if e[0] != e[1]}
     assert got == {k: find(k) for k in linked if find(k) != k}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
