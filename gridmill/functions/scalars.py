@@ -114,6 +114,11 @@ def ease_out_cubic(t: Column) -> Column:
     return 1 - F.pow(1 - t, F.lit(3))
 
 
+def client_pixel(client: Column, origin: Column, size: Column, shown: Column) -> Column:
+    """The pixel under a pointer, for an image of ``size`` pixels shown ``shown`` wide."""
+    return F.floor((client - origin) * size / shown).cast("int")
+
+
 def register(spark: SparkSession) -> None:
     """The expressions that are useful in SQL text, as SQL functions."""
     for statement in (

@@ -108,4 +108,5 @@ def test_scalars(spark):
     assert one.select(scalars.join_words(F.lit(words.lo), F.lit(words.hi))).first()[0] == big
     assert one.select(scalars.color_channels(F.lit("nope")).alias("c")).first().c == (136, 136, 136)
     assert one.select(scalars.argmax_class([F.lit(0.5), F.lit(0.5)])).first()[0] == 0
+    assert one.select(scalars.client_pixel(F.lit(110.0), F.lit(10.0), F.lit(50), F.lit(200.0))).first()[0] == 25
     assert one.select(scalars.argmax_class([F.lit(-1.0), F.lit(-1.0)])).first()[0] is None
