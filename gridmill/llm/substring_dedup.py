@@ -27,6 +27,8 @@ from gridmill.store import materialize
 
 WINDOW = 20
 BLOCK = 10
+#: Windows have a second hash of 32 bits, made with this multiplier.
+_CHECK = 0xD6E8FEB86659FD93
 
 _MARKS = "id long, tie long, tie2 long, places binary"
 
@@ -90,12 +92,12 @@ def repeated_windows(keyed: DataFrame, hits: DataFrame, buckets: int, window: in
     """For each row with any: where its windows start that also start earlier. Only windows around hits are looked at."""
     names = ["id", "tie", "tie2"]
 
-    def payload(rows: dict[str, np.ndarray], places: np.ndarray, hashes: np.ndarray, _) -> list[bytes]:
+    def payload(rows: dict[str, np.ndarray], places: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> list[bytes]:
         ends = np.cumsum(rows["n_places"])
         row = np.searchsorted(ends, places, "right")
         used, index = np.unique(row, return_inverse=True)
         local = (places - (ends - rows["n_places"])[row]).astype(np.uint32)
-        return [hashes.tobytes(), exchange.pack_places(places), index.astype(np.uint16).tobytes(), local.tobytes(), rows["id"][used].tobytes()]
+        return [hashes.tobytes(), exchange.pack_places(places), index.astype(np.uint16).tobytes(), local.tobytes(), rows["id"][used].tobytes(), checks.tobytes()]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parcel = exchange.Parcel(buckets)
@@ -103,13 +105,15 @@ def repeated_windows(keyed: DataFrame, hits: DataFrame, buckets: int, window: in
             packed = batch.column("places")
             for chunk in tokens.chunks(batch.column("text")):
                 starts, ends, first = chunk.words()
-                runs, at = tokens.windows(chunk.running_hash().of(starts, ends), first, window)
+                words = chunk.running_hash().of(starts, ends)
+                runs, at = tokens.windows(words, first, window)
                 near = np.zeros(len(starts) + 1, np.int64)
                 for k in range(chunk.rows):
                     near[first[k] + np.frombuffer(packed[chunk.first_row + k].as_py(), np.int32) + 1] = 1
                 near = np.cumsum(near)
                 extended = near[at + window - block + 1] > near[at]
-                parcel.add(exchange.key_columns(batch, chunk), np.diff(first), at[extended], runs[extended], np.zeros(int(extended.sum()), bool))
+                checks = tokens.runs_at(words, at[extended], window, _CHECK).astype(np.uint32)
+                parcel.add(exchange.key_columns(batch, chunk), np.diff(first), at[extended], runs[extended], checks)
                 if parcel.full:
                     yield from parcel.records(payload)
         yield from parcel.records(payload)
@@ -118,9 +122,10 @@ def repeated_windows(keyed: DataFrame, hits: DataFrame, buckets: int, window: in
         hashes = np.concatenate([np.frombuffer(r[0], np.uint64) for r in records])
         ids = np.concatenate([np.frombuffer(r[4], np.int64)[np.frombuffer(r[2], np.uint16)] for r in records])
         local = np.concatenate([np.frombuffer(r[3], np.uint32) for r in records])
-        order = np.lexsort((local, ids, hashes))
-        h, i, p = hashes[order], ids[order], local[order]
-        new = np.append(True, h[1:] != h[:-1])
+        checks = np.concatenate([np.frombuffer(r[5], np.uint32) for r in records])
+        order = np.lexsort((local, ids, checks, hashes))
+        h, c, i, p = hashes[order], checks[order], ids[order], local[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = np.zeros(len(h), bool)
         later[order] = (i != i[first]) | (p != p[first])
@@ -159,7 +164,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
 
     Null texts have no words. Rows that share an identifier count as one document: a window that starts at the
     same place of the same document is not earlier, so repeated rows are treated alike. Null identifiers come
-    after all others and count as one document. Windows are told apart by 64-bit hashes.
+    after all others and count as one document. Windows are told apart by hashes of 64 and 32 bits.
     """
     marked = exchange.keyed(docs).join(repeats(docs, window, block), ["id", "tie", "tie2"], "left").select("doc_id", "text", "places", "everything")
 

@@ -142,10 +142,15 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     counts = np.diff(first)
     ends = np.repeat(first[1:], counts)
     at = np.flatnonzero(np.arange(n) + width <= ends)
+    return runs_at(hashes, at, width), at
+
+
+def runs_at(hashes: np.ndarray, at: np.ndarray, width: int, multiplier: int = _MULTIPLIER) -> np.ndarray:
+    """Hashes of the runs of ``width`` items that begin at ``at``; another multiplier gives a hash independent of the first."""
     out = np.zeros(len(at), np.uint64)
     for k in range(width):
-        out = out * np.uint64(_MULTIPLIER) + hashes[at + k]
-    return mix(out), at
+        out = out * np.uint64(multiplier) + hashes[at + k]
+    return mix(out)
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
