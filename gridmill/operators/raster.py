@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from gridmill.functions.scalars import pixel_index
 
 
+#: Images of more pixels than this have their rows dealt out before the rows' pixels are made.
+LARGE_IMAGE = 1 << 20
+
+
 def grid(images: DataFrame, width: int, height: int) -> DataFrame:
     """Every pixel of every image; images come with ``image_id``. Made by generators, without a join."""
-    return images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select(
-        "image_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), "y"
-    )
+    rows = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    if width * height > LARGE_IMAGE:
+        # A stated number of partitions, which adaptive execution leaves as it is: these few rows are about to grow.
+        rows = rows.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "y")
+    return rows.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), "y")
 
 
 def rasterize(df: DataFrame, image: Column, x: Column, y: Column, width: int, height: int, value: Column | None = None) -> DataFrame:
@@ -24,8 +30,10 @@ def rasterize(df: DataFrame, image: Column, x: Column, y: Column, width: int, he
     binned = df.select(image.alias("image_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), *[F.col(f"`{c}`").alias(f"_{c}") for c in df.columns])
     binned = binned.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1) & F.col("image_id").isNotNull())
     cells = binned.groupBy("image_id", "x", "y").agg(value.cast("double").alias("v"))
-    every = grid(df.select(image.alias("image_id")).where(F.col("image_id").isNotNull()).distinct(), width, height)
-    return with_index(every.join(cells, ["image_id", "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))), width)
+    empty = grid(df.select(image.alias("image_id")).where(F.col("image_id").isNotNull()).distinct(), width, height).withColumn("v", F.lit(0.0))
+    # Cells fall onto empty pixels by addition, dealt by image row: a horizontal pass over the result needs no shuffle of its own.
+    rows = cells.unionByName(empty).repartition("image_id", "y").groupBy("image_id", "x", "y").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
+    return with_index(rows, width)
 
 
 def with_index(pixels: DataFrame, width: int) -> DataFrame:
