@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from gridmill.llm import tokens
 
-#: Bytes of text whose items a bucket gets, about, and items in a parcel.
+#: Bytes of text whose items a bucket gets at least, about; their growth with the root of all bytes; items in a parcel.
 BUCKET_BYTES = 12 << 20
+BUCKET_GROWTH = 50
 PARCEL_ITEMS = 1_500_000
 _MOST_ROWS = 60_000
 #: The size of a key filter: 2^24 bits are at most 2^18 rows of 16 bytes.
@@ -62,9 +63,13 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str = "tie") -> DataFrame:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Enough buckets for all text, and for all cores."""
+    """Enough buckets for all text, and for all cores.
+
+    Buckets get larger with the root of the text's bytes (12 MB of text up to some 60 GB, 50 MB at a terabyte, 500 MB at a hundred):
+    so the records of a parcel do not become as many as its items.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / BUCKET_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / max(BUCKET_BYTES, BUCKET_GROWTH * sqrt(total))))
 
 
 def pack_places(places: np.ndarray) -> bytes:
