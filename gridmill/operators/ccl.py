@@ -9,14 +9,14 @@ what one task holds, whatever the image's size.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.operators.graph import components
 from gridmill.store import materialize
 
-TILE = 1024
+TILE = 512
 
 
 def runs_to_roots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -43,10 +43,13 @@ def runs_to_roots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return first[root][run]
 
 
-def _label_tile(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["y", "x"], kind="stable")
-    at = runs_to_roots(frame["x"].to_numpy(), frame["y"].to_numpy())
-    return frame.assign(local=frame["i"].to_numpy()[at] if len(at) else frame["i"])
+def _label_tile(table: pa.Table) -> pa.Table:
+    """The rows as they came, with the index of the first pixel of each one's component within the tile."""
+    x, y, i = (table[c].to_numpy() for c in ("x", "y", "i"))
+    order = np.lexsort((x, y))
+    local = np.empty(len(i), np.int64)
+    local[order] = i[order][runs_to_roots(x[order], y[order])]
+    return table.append_column("local", pa.array(local, pa.int64()))
 
 
 def label_components(mask: DataFrame, width: int, height: int, tile: int = TILE, by: list[str] | None = None) -> DataFrame:
@@ -59,7 +62,7 @@ def label_components(mask: DataFrame, width: int, height: int, tile: int = TILE,
     tiled = mask.withColumns({"_tx": F.floor(F.col("x") / tile).cast("int"), "_ty": F.floor(F.col("y") / tile).cast("int")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiled.schema.fields) + ", local long"
     # In a tile the least index is the component's first pixel by (y, x), as indices are row-major.
-    labelled = tiled.groupBy(*by, "_tx", "_ty").applyInPandas(_label_tile, schema)
+    labelled = tiled.groupBy(*by, "_tx", "_ty").applyInArrow(_label_tile, schema)
     if width <= tile and height <= tile:
         return labelled.withColumn("label", F.col("local") + 1).drop("_tx", "_ty", "local")
     labelled = materialize(labelled, "tiles")

@@ -59,12 +59,13 @@ def _pass(df: DataFrame, keep: list[str], across: str, along: str, sums: dict[st
     reach = {}
     for source, kernel in sums.values():
         reach[source] = max(reach.get(source, 0), max(kernel))
+    # A last default makes taps never null, which saves generated code a check for each of them.
     taps: dict[tuple[str, int], Column] = {}
     for source, radius in reach.items():
         for d in range(1, radius + 1):
-            taps[source, -d] = F.coalesce(F.lag(source, d).over(line), F.first(source).over(whole))
-            taps[source, d] = F.coalesce(F.lead(source, d).over(line), F.last(source).over(whole))
-        taps[source, 0] = F.col(source)
+            taps[source, -d] = F.coalesce(F.lag(source, d).over(line), F.first(source).over(whole), F.lit(0.0))
+            taps[source, d] = F.coalesce(F.lead(source, d).over(line), F.last(source).over(whole), F.lit(0.0))
+        taps[source, 0] = F.coalesce(F.col(source), F.lit(0.0))
     named = {key: f"_{key[0]}_{key[1] + radius_all}" for radius_all in [max(reach.values())] for key in taps}
     spread = df.select("*", *[taps[k].alias(named[k]) for k in taps])
     total = lambda source, kernel: reduce(lambda a, b: a + b, [F.lit(w) * F.col(named[source, d]) for d, w in sorted(kernel.items())])
@@ -88,7 +89,7 @@ def vertical(rows: DataFrame, sigma: float = DEFAULT_SIGMA, keep: list[str] | No
 
 def eigenvalues(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     """Of the symmetric matrix (a b; b c), the larger first."""
-    middle, spread = (a + c) / 2, F.sqrt((a - c) * (a - c) / 4 + b * b)
+    middle, spread = (a + c) * 0.5, F.sqrt((a - c) * (a - c) * 0.25 + b * b)
     return middle + spread, middle - spread
 
 

@@ -174,28 +174,33 @@ def _by_tree(forest: Sequence[Node]) -> list[dict[int, Node]]:
     return [trees[t] for t in sorted(trees)]
 
 
-def vote(tree: dict[int, Node], features: list[str], max_visits: int | None = None) -> Column:
-    """The class a tree gives, as nested conditions; null where ``max_visits`` nodes do not reach a leaf."""
+def _ballot(tree: dict[int, Node], features: list[str], bits: int, max_visits: int | None) -> Column:
+    """A tree's vote as nested conditions: 1 in the class's field of ``bits`` bits, 0 where ``max_visits`` nodes reach no leaf."""
 
     def at(node: int, visits: int) -> Column:
         _, _, feature, threshold, left, right, cls = tree[node]
         if max_visits is not None and visits > max_visits:
-            return F.lit(None).cast("int")
+            return F.lit(0).cast("long")
         if feature < 0:
-            return F.lit(cls)
+            return F.lit(1 << bits * cls).cast("long")
         return F.when(F.col(features[feature]) < threshold, at(left, visits + 1)).otherwise(at(right, visits + 1))
 
     return at(0, 1)
 
 
 def probabilities(rows: DataFrame, forest: Sequence[Node], features: list[str], classes: int = NUM_CLASSES, max_visits: int | None = None) -> DataFrame:
-    """Adds ``p0 …``: the share of trees that vote for each class, the number of trees being the denominator."""
+    """Adds ``p0 …``: the share of trees that vote for each class, the number of trees being the denominator.
+
+    Votes are counted in the fields of one number, so each tree is walked once. Forests whose counts do not
+    fit one, or with too many nodes for generated code, are walked in Arrow batches.
+    """
     trees = _by_tree(forest)
-    if len(forest) > MOST_EXPRESSION_NODES:
+    bits = len(trees).bit_length()
+    if len(forest) > MOST_EXPRESSION_NODES or bits * classes > 62:
         return _probabilities_by_arrow(rows, trees, features, classes, max_visits)
-    voted = rows.withColumns({f"_vote{t}": vote(tree, features, max_visits) for t, tree in enumerate(trees)})
-    share = lambda c: sum((F.coalesce((F.col(f"_vote{t}") == c).cast("int"), F.lit(0)) for t in range(len(trees))), F.lit(0)) / float(len(trees))
-    return voted.withColumns({f"p{c}": share(c) for c in range(classes)}).drop(*[f"_vote{t}" for t in range(len(trees))])
+    votes = rows.withColumn("_votes", sum((_ballot(t, features, bits, max_visits) for t in trees), F.lit(0).cast("long")))
+    field = lambda c: F.shiftright("_votes", bits * c).bitwiseAND(F.lit((1 << bits) - 1))
+    return votes.withColumns({f"p{c}": field(c) / float(len(trees)) for c in range(classes)}).drop("_votes")
 
 
 def _probabilities_by_arrow(rows: DataFrame, trees: list[dict[int, Node]], features: list[str], classes: int, max_visits: int | None) -> DataFrame:
