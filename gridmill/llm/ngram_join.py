@@ -264,11 +264,12 @@ def node_links(sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFra
     held = entries.groupBy("shingle", "root").agg(F.count("*").alias("held"))
     largest = held.groupBy("shingle").agg(F.max(F.struct("held", "root")).alias("most"), F.count("*").alias("roots"))
     largest = largest.where(F.col("roots") > 1).select("shingle", F.col("most.root").alias("largest"))
-    entries = entries.join(largest, "shingle")
+    # The join's output is written, so that a shingle of very many nodes can be split over tasks.
+    queries = entries.join(largest, "shingle").where(F.col("root") != F.col("largest"))
+    queries = materialize(queries.select("node", "n", "root", "shingle"), "outside-largest")
     matrix = entries.groupBy("shingle", "key", "part").agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("root").alias("low"), F.max("root").alias("high")
     )
-    queries = entries.where(F.col("root") != F.col("largest")).select("node", "n", "root", "shingle")
     fits = (100 * F.col("most_n") >= percent * F.col("n")) & (percent * F.col("least_n") <= 100 * F.col("n"))
     other = (F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))
     asks = materialize(queries.join(matrix, "shingle").where(fits & other).select("node", "key", "part").distinct(), "queries")
