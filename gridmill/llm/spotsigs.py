@@ -101,10 +101,12 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFram
         cuts += docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(100 * _COARSE))).first()[0]
     cuts = sorted(set(cuts))
     fine = max(1, ceil(n / len(cuts) / bucket_rows))
-    edges = F.array(*(F.lit(c).cast("long") for c in [*cuts, (high or 0) + 1]))
-    coarse = F.size(F.filter(edges, lambda c: c <= F.col("doc_id")))
+    edges = F.array(*(F.lit(float(c)) for c in [*cuts, (high or 0) + 1]))
+    place = F.col("doc_id").cast("double")
+    # The last edge is above all identifiers, but for rounding of the largest.
+    coarse = F.least(F.size(F.filter(edges, lambda c: c <= place)), F.lit(len(cuts)))
     at, after = F.element_at(edges, F.col("coarse")), F.element_at(edges, F.col("coarse") + 1)
-    inner = F.least(F.floor((F.col("doc_id") - at) * F.lit(float(fine)) / (after - at)), F.lit(fine - 1))
+    inner = F.least(F.floor((place - at) * F.lit(float(fine)) / F.greatest(after - at, F.lit(1.0))), F.lit(fine - 1))
     placed = docs.withColumn("coarse", F.when(F.col("doc_id").isNotNull(), coarse))
     placed = placed.withColumn("bucket", F.coalesce(F.col("coarse") * fine + inner, F.lit(-1)).cast("long")).drop("coarse")
     placed = placed.withColumn("tie", F.xxhash64("text"))

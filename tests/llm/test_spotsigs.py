@@ -9,7 +9,7 @@ from gridmill.llm import spotsigs
 
 def edits(data):
     """The contract's edited texts, next rows by descending identifier; identifiers are unique here."""
-    ordered = sorted(data, key=lambda d: -order(d[0]) if d[0] is not None else 1)
+    ordered = sorted(data, key=lambda d: (d[0] is None, -(d[0] or 0)))
     out = {}
     for k, d in enumerate(ordered):
         text, after = d[1] or "", ordered[(k + 1) % len(ordered)][1] or ""
@@ -18,18 +18,22 @@ def edits(data):
     return out
 
 
+@pytest.mark.parametrize("far", [False, True])
 @pytest.mark.parametrize("bucket_rows", [3, 1000])
-def test_next_and_edited(spark, bucket_rows, monkeypatch):
+def test_next_and_edited(spark, bucket_rows, far, monkeypatch):
     import functools
 
-    data = [d for d in rows(0) if d[0] is not None] + [(None, "the last one of all", None, None, None)]
+    data = [d for d in rows(0) if d[0] is not None]
+    if far:
+        data[:4] = [((1 << 63) - 1, *data[0][1:]), ((1 << 63) - 2, *data[1][1:]), (-(1 << 63), *data[2][1:]), (-5, *data[3][1:])]
+    data = data + [(None, "the last one of all", None, None, None)]
     monkeypatch.setattr(spotsigs, "with_next", functools.partial(spotsigs.with_next, bucket_rows=bucket_rows))
     out = spotsigs.edited_and_next(clashing(frame(spark, data)))
     got = {r.doc_id: r for r in out.select("*", F.sha2("edited", 256).alias("sha")).collect()}
     want = edits(data)
     prints = {r.doc_id: r.sigs for r in got.values()}
     assert len(got) == len(data) == out.count()
-    ordered = sorted(data, key=lambda d: -order(d[0]) if d[0] is not None else 1)
+    ordered = sorted(data, key=lambda d: (d[0] is None, -(d[0] or 0)))
     for k, d in enumerate(ordered):
         r = got[d[0]]
         assert r.n_chars == len(want[d[0]][0]) and r.sha == hashlib.sha256(want[d[0]][1].encode()).hexdigest()
