@@ -17,6 +17,8 @@ from gridmill.operators.graph import components
 from gridmill.store import materialize
 
 TILE = 512
+#: So many pairs of components at tile borders are joined on the driver; more by the distributed operator.
+FEW_EDGES = 100_000
 
 
 def runs_to_roots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ def label_components(mask: DataFrame, width: int, height: int, tile: int = TILE,
         pairs = ends.join(starts, [*by, axis, other]).select(F.struct(*by, F.col("a").alias("local")).alias("a"), F.struct(*by, F.col("b").alias("local")).alias("b")).distinct()
         edges = pairs if edges is None else edges.unionByName(pairs)
     # Within one image the tile whose component has the least index names it, and structs compare by image first.
-    roots = components(edges)
+    roots = components(edges, few=FEW_EDGES)
     joined = labelled.withColumn("node", node).join(roots, "node", "left")
     return joined.withColumn("label", F.coalesce(F.col("root.local"), F.col("local")) + 1).drop("_tx", "_ty", "local", "node", "root")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmill.store import materialize
 
@@ -32,8 +33,33 @@ def _clean(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """``(node, root)`` for every node of ``edges (a, b)`` that is not the least of its component; root is that one."""
+def _few(edges: DataFrame, found: list) -> DataFrame:
+    """The same for edges at hand, by union-find."""
+    root: dict = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in found:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    kind = edges.schema["a"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
+    return edges.sparkSession.createDataFrame([(k, find(k)) for k in list(root) if find(k) != k], schema)
+
+
+def components(edges: DataFrame, rounds: int = 64, few: int = 0) -> DataFrame:
+    """``(node, root)`` for every node of ``edges (a, b)`` that is not the least of its component; root is that one.
+
+    Up to ``few`` edges are settled on the driver at once, which saves rounds; more never come there.
+    """
+    if few:
+        found = edges.select("a", "b").limit(few + 1).collect()
+        if len(found) <= few:
+            return _few(edges, found)
     now = materialize(_clean(edges.select("a", "b")), "links")
     before = None
     for _ in range(rounds):

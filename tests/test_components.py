@@ -61,8 +61,9 @@ def test_shapes():
     assert not in_memory(np.zeros((4, 4), bool)).any()
 
 
-@pytest.mark.parametrize("tile", [1024, 4, 7])
-def test_tiles(spark, tile):
+@pytest.mark.parametrize(("tile", "few"), [(1024, 9), (4, 0), (7, 0), (4, 10**6)])
+def test_tiles(spark, monkeypatch, tile, few):
+    monkeypatch.setattr(ccl, "FEW_EDGES", few)
     mask = np.random.default_rng(tile).random((17, 23)) < 0.6
     both = frame(spark, mask).unionByName(frame(spark, SPIRAL, "b"))
     got = ccl.label_components(both, 23, 17, tile)
