@@ -37,7 +37,7 @@ def test_base_rules(spark):
 
 def _labelled(spark, n=400):
     good = lambda k: " ".join(f"word{(k * 31 + j * 7) % 997}" for j in range(80))
-    data = [(k, good(k) if k % 4 else good(k).replace(" ", " ## "), "en", "a", 1) for k in range(n)]
+    data = [(k, good(k) if k % 4 else good(k).replace("word", "wo##"), "en", "a", 1) for k in range(n)]
     labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(n)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     return frame(spark, data), labels
 
