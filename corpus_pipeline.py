@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from gridmill.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from gridmill.store import materialize
 
+#: Near-duplicates share at least so many percent of their shingles of so many words; 3 and 90 are the contract of op5_ngram_join alone.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a learned rule go."""
@@ -25,7 +29,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link, directly or through others, the one with the smallest identifier stays."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,18 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
 
 
+def test_near_duplicates_by_five_words(spark):
+    words = [f"t{k}" for k in range(200)]
+    data = []
+    # Of 196 shingles of five words, 19 differ (0.82; of three words 0.84), 22 (0.798) or, one word each, 20 (0.82; of three words 0.89).
+    for first, places in ((0, range(90, 105)), (10, range(90, 108)), (20, range(20, 180, 40))):
+        own = [f"{first}{w}" for w in words]
+        copy = [f"new{k}" if k in places else w for k, w in enumerate(own)]
+        data += [(first + 1, " ".join(own), "en", "a", 1), (first + 2, " ".join(copy), "en", "a", 1)]
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, frame(spark, data), DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 11, 12, 21]
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
 def test_stages_take_odd_tables(spark):
     for docs in (clashing(frame(spark, rows(5))), frame(spark).where("false")):
