@@ -105,11 +105,23 @@ def _context(text: str, kind: str, start: int, end: int) -> float:
     return 0.3 * bool(_RAISES[kind].search(near)) - 0.3 * bool(_LOWERS.search(near))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Valid numbers. A candidate may have swallowed what follows, so that shorter ends at spaces are tried, longest first."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        for end in (m.end(), *(k for k in range(m.end() - 1, start, -1) if text[k] == " ")):
+            if _IBAN.fullmatch(text, start, end) and mod97(text[start:end]):
+                yield start, end
+                at = end
+                break
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
-    for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("phone_local", _PHONE_LOCAL), ("secret", _SECRET)):
+    for a, b in _ibans(text):
+        yield "iban", a, b, _PRIOR["iban"] + _context(text, "iban", a, b)
+    for kind, pattern in (("ssn", _SSN), ("phone_local", _PHONE_LOCAL), ("secret", _SECRET)):
         for m in pattern.finditer(text):
-            if kind == "iban" and not mod97(m[0]):
-                continue
             yield kind, *m.span(), _PRIOR[kind] + _context(text, kind, *m.span())
 
 

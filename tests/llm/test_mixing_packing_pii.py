@@ -177,6 +177,16 @@ def test_checksums_and_context():
     assert kinds("commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff") == []
 
 
+def test_ibans_before_capitals():
+    found = lambda t: [t[s.start : s.end] for s in pii.find(t) if s.kind == "iban"]
+    assert found("IBAN BE68 5390 0754 7034 EUR 50") == ["BE68 5390 0754 7034"]
+    assert found("IBAN AT61 1904 3002 3457 3201 BIC") == ["AT61 1904 3002 3457 3201"]
+    assert found("AT611904300234573201 SWIFT BKAUATWW") == ["AT611904300234573201"]
+    assert found("BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00 EUR") == ["BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+    assert found("REF AB12 CDEF GHIJ BE68 5390 0754 7034") == ["BE68 5390 0754 7034"]
+    assert found("IBAN BE68 5390 0754 7035 EUR 50") == []
+
+
 def test_redaction(spark):
     data = [(1, "a x@y.zz b", None, None, None), (2, None, None, None, None), (3, "plain", None, None, None)]
     got = {r.doc_id: (r.redacted, len(r.spans)) for r in pii.spans(frame(spark, data)).collect()}
