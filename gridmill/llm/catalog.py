@@ -59,8 +59,8 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
         spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs"), 0.0).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs"), 0.0).alias("near_next"),
     )
 
 

@@ -31,7 +31,7 @@ ANCHORS = (
 CHAIN = 2
 #: After so many words without an anchor, content words begin chains themselves.
 REACH = 4
-#: Sets whose lengths' ratio is below this are not compared; their likeness counts as 0.
+#: Sets whose lengths' ratio is below this are not compared, unless ``likeness`` is given another; their likeness counts as 0.
 FLOOR = 0.1
 #: Rows of one ordered bucket, about.
 BUCKET_ROWS = 250

@@ -4,7 +4,7 @@ import pytest
 from corpus import clashing, frame, order, rows
 from pyspark.sql import functions as F
 
-from gridmill.llm import spotsigs
+from gridmill.llm import catalog, spotsigs
 
 
 def edits(data):
@@ -79,6 +79,14 @@ def test_likeness(spark):
     assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.0, 0.0]
 
 
+def test_short_text_quoted_in_a_long_one(spark, tmp_path):
+    words = [f"c{k}x" for k in range(2000)]
+    frame(spark, [(1, " ".join(words), "en", "a", 1), (2, " ".join(words[:60]), "en", "a", 1)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.near_next for r in catalog.op3_spotsigs(spark, str(tmp_path)).collect()}
+    # Of 60 and 2000 chains, those at the end of the short text are cut off.
+    assert got == {1: pytest.approx(58 / 2002), 2: pytest.approx(58 / 2002)}
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_near_classes(spark, seed):
     data = rows(seed, n=30)
