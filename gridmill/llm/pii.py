@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,7 +90,7 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
         yield "email", a, b
     if _ANY_DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(n) <= 3 and int(n or "0") <= 255 for n in (p.lstrip("0") for p in m[0].split("."))):
                 yield "ip", *m.span()
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -125,17 +126,37 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
             yield kind, *m.span(), _PRIOR[kind] + _context(text, kind, *m.span())
 
 
+class _Taken:
+    """Code points that spans cover, as ranges that are apart and in order; each question is a binary search."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((s.start, s.end) for s in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Cover ``a`` to ``b``, unless some of that is covered already."""
+        k = bisect_left(self.starts, b)
+        if k and self.ends[k - 1] > a:
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a whole text, by kind as listed in ``KINDS``, then start. Null and empty texts have none."""
     if not text:
         return []
     out = [Span(kind, a, b, 1.0) for kind, a, b in _base(text)]
     if _ANY_DIGIT.search(text):
-        taken = sorted((s.start, s.end) for s in out)
-        for kind, a, b, score in _proposed(text):
-            if score >= MIN_SCORE and not any(x < b and a < y for x, y in taken):
-                out.append(Span(kind, a, b, min(score, 1.0)))
-                taken.append((a, b))
+        taken = _Taken(out)
+        out += [Span(kind, a, b, min(score, 1.0)) for kind, a, b, score in _proposed(text) if score >= MIN_SCORE and taken.add(a, b)]
     return sorted(out, key=lambda s: (KINDS.index(s.kind), s.start))
 
 

@@ -187,6 +187,40 @@ def test_ibans_before_capitals():
     assert found("IBAN BE68 5390 0754 7035 EUR 50") == []
 
 
+def test_parts_of_many_zeros():
+    zeros = "0" * 5000
+    for k in range(4):
+        text = "at " + ".".join(zeros + "1" if j == k else "7" for j in range(4)) + " now"
+        assert [(s.kind, s.start, s.end) for s in pii.find(text)] == [("ip", 3, len(text) - 4)]
+    assert pii.find("." .join([zeros, zeros, zeros, zeros]))[0].kind == "ip"
+    assert pii.find(f"{zeros}256.1.1.1") == []
+
+
+def test_very_many_spans_in_one_text():
+    import time
+
+    unit = "mail a@b.cc ip 1.2.3.4 call (555) 123-4567 or +1 (555) 123-4567 now; IBAN BE68 5390 0754 7034 here\n"
+    small = pii.find(unit)
+    began = time.time()
+    found = pii.find(unit * 20_000)
+    assert time.time() - began < 60 and len(found) == 20_000 * len(small) == 100_000
+    assert [(s.kind, s.start) for s in found[:2]] == [("email", 5), ("email", 5 + len(unit))]
+
+
+def test_spans_that_touch_are_found_once():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["call ", "(555) 123-4567 ", "token ", "BE68 5390 0754 7034 ", "0123456789abcdef" * 2 + " ", "+1 555 123 4567 ", "ssn 123-45-6789 ", "4111 1111 1111 1111 "]) for _ in range(12))
+        found, base = pii.find(text), [s for s in pii.find(text) if s.kind in pii.BASE_KINDS]
+        taken = [(s.start, s.end) for s in base]
+        for kind, a, b, score in pii._proposed(text):
+            if score >= pii.MIN_SCORE and not any(x < b and a < y for x, y in taken):
+                taken.append((a, b))
+        assert sorted(taken) == sorted((s.start, s.end) for s in found)
+
+
 def test_redaction(spark):
     data = [(1, "a x@y.zz b", None, None, None), (2, None, None, None, None), (3, "plain", None, None, None)]
     got = {r.doc_id: (r.redacted, len(r.spans)) for r in pii.spans(frame(spark, data)).collect()}
