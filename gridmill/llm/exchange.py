@@ -4,9 +4,9 @@ A sender gathers the items of some megabytes of text (a parcel), and deals them
 by hash into buckets: one record for each parcel and bucket holds the items as
 packed arrays. A bucket sees all items of its hashes, from all documents, and
 answers with the places of some of them. The answers of a parcel meet its
-directory, which knows which document each place belongs to. Records are evenly
-sized whatever the documents share: a hash that many documents have costs its
-bucket a few bytes from each.
+directory, which knows which document each place belongs to. Of items that are
+alike a parcel sends one, so records are evenly sized whatever the documents share:
+a hash that all documents have costs its bucket one item from each parcel.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from math import ceil, sqrt
 
 import numpy as np
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 
 from gridmill.llm import tokens
 
-#: Bytes of text whose items a bucket gets at least, about; their growth with the root of all bytes; items in a parcel.
+#: Bytes of text whose items a bucket gets at least, about; their growth with the root of all bytes.
 BUCKET_BYTES = 12 << 20
-BUCKET_GROWTH = 50
+BUCKET_GROWTH = 25
+#: Items in a parcel at least, about; their growth with the root of all bytes, and most (some 20 bytes of memory each).
 PARCEL_ITEMS = 1_500_000
-_MOST_ROWS = 60_000
+PARCEL_GROWTH = 2
+MOST_PARCEL_ITEMS = 16_000_000
+MOST_ROWS = 1_000_000
 #: The size of a key filter: 2^24 bits are at most 2^18 rows of 16 bytes.
 FILTER_BITS = 24
 #: Stands for a null identifier, after all others.
@@ -62,14 +66,23 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str = "tie") -> DataFrame:
     return kept.drop("_word", "_bits")
 
 
-def bucket_count(docs: DataFrame) -> int:
+@dataclass(frozen=True)
+class Deal:
+    """How many buckets items are dealt into, and how many items are gathered before."""
+
+    buckets: int
+    parcel_items: int
+
+
+def deal(docs: DataFrame) -> Deal:
     """Enough buckets for all text, and for all cores.
 
-    Buckets get larger with the root of the text's bytes (12 MB of text up to some 60 GB, 50 MB at a terabyte, 500 MB at a hundred):
-    so the records of a parcel do not become as many as its items.
+    Buckets and parcels get larger with the root of the text's bytes (a bucket has the items of 12 MB of text up to a quarter of a
+    terabyte, 80 MB at ten, 250 MB at a hundred; a parcel 1.5 to 16 million): so a record never holds but a few items.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / max(BUCKET_BYTES, BUCKET_GROWTH * sqrt(total))))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / max(BUCKET_BYTES, BUCKET_GROWTH * sqrt(total))))
+    return Deal(buckets, max(PARCEL_ITEMS, min(MOST_PARCEL_ITEMS, int(PARCEL_GROWTH * sqrt(total)))))
 
 
 def pack_places(places: np.ndarray) -> bytes:
@@ -88,12 +101,45 @@ def unpack_places(data: bytes) -> np.ndarray:
     return (np.cumsum(np.where(skip, _SKIP - 1, steps).astype(np.int64)) - 1)[~skip]
 
 
+@dataclass(frozen=True)
+class Items:
+    """A parcel's items, alike ones side by side: group ``k`` is ``order[starts[k] : starts[k] + sizes[k]]``, one of which leads."""
+
+    places: np.ndarray
+    hashes: np.ndarray
+    flags: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+    leaders: np.ndarray
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.order)))
+
+    @cached_property
+    def any_flag(self) -> np.ndarray:
+        return np.maximum.reduceat(self.flags[self.order], self.starts) if len(self.starts) else self.flags
+
+
+Rows = dict[str, np.ndarray]
+#: Which items are alike: their order by groups, where in it each group begins, and each group's leader.
+Alike = Callable[[Rows, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def by_hash(rows: Rows, places: np.ndarray, hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items of one hash are alike; the one with the least place leads."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(order)])
+    return order, starts, np.minimum.reduceat(order, starts) if len(starts) else order
+
+
 @dataclass
 class Parcel:
     """Rows with their keys and ``columns``, and items with the place each has among all places of the parcel."""
 
-    buckets: int
-    rows: list[dict[str, np.ndarray]] = field(default_factory=list)
+    deal: Deal
+    rows: list[Rows] = field(default_factory=list)
     places: list[np.ndarray] = field(default_factory=list)
     hashes: list[np.ndarray] = field(default_factory=list)
     flags: list[np.ndarray] = field(default_factory=list)
@@ -102,7 +148,7 @@ class Parcel:
     n_items: int = 0
     sent: int = 0
 
-    def add(self, rows: dict[str, np.ndarray], n_places: np.ndarray, at: np.ndarray, hashes: np.ndarray, flags: np.ndarray) -> None:
+    def add(self, rows: Rows, n_places: np.ndarray, at: np.ndarray, hashes: np.ndarray, flags: np.ndarray) -> None:
         """``n_places`` by row; ``at`` ascends over the places of these rows."""
         self.rows.append(rows | {"n_places": n_places})
         self.places.append(at + self.n_places)
@@ -114,10 +160,14 @@ class Parcel:
 
     @property
     def full(self) -> bool:
-        return self.n_items >= PARCEL_ITEMS or self.n_rows >= _MOST_ROWS
+        return self.n_items >= self.deal.parcel_items or self.n_rows >= MOST_ROWS
+
+    def records(self, payload: Callable[[Rows, Items, np.ndarray], list[bytes]], alike: Alike = by_hash) -> Iterator[pa.RecordBatch]:
+        """One record a bucket, then the directory; leaves the parcel empty.
 
-    def records(self, payload: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray], list[bytes]]) -> Iterator[pa.RecordBatch]:
-        """One record a bucket, then the directory; leaves the parcel empty."""
+        Of items that are alike only the leader goes to a bucket: a hash that all documents have costs its bucket one
+        item from each parcel. The directory keeps whom each other item follows. ``payload`` makes a record of some groups.
+        """
         if not self.n_rows:
             return
         rows = {k: np.concatenate([r[k] for r in self.rows]) for k in self.rows[0]}
@@ -125,17 +175,23 @@ class Parcel:
         context = TaskContext.get()
         name = hashlib.blake2b(b"".join(rows[k].tobytes() for k in sorted(rows)), digest_size=8).hexdigest()
         name = f"{context.partitionId() if context else 0}-{self.sent}-{name}"
-        bucket = ((hashes >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        numbers, data = [], []
-        for b in range(self.buckets):
-            some = order[edges[b] : edges[b + 1]]
-            if len(some):
-                numbers.append(b)
-                data.append(payload(rows, places[some], hashes[some], flags[some]))
-        numbers.append(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "big") % self.buckets)
-        data.append([rows[k].tobytes() for k in sorted(rows)])
+        order, starts, leaders = alike(rows, places, hashes, flags)
+        items = Items(places, hashes, flags, order, starts, leaders)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(starts)), items.sizes)
+        # Places ascend, so leaders and followers taken as they come are ordered by place.
+        leads = np.zeros(len(order), bool)
+        leads[leaders] = True
+        followed = [pack_places(places[~leads]), places[leaders[group[~leads]]].astype(np.uint32).tobytes()]
+        ranked = group[leads]
+        bucket = ((hashes[leaders[ranked]] >> np.uint64(32)) % np.uint64(self.deal.buckets)).astype(np.uint16 if self.deal.buckets <= 1 << 16 else np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        ranked, bucket = ranked[by_bucket], bucket[by_bucket]
+        edges = np.searchsorted(bucket, np.arange(self.deal.buckets + 1))
+        numbers = np.flatnonzero(np.diff(edges)).tolist()
+        data = [payload(rows, items, ranked[edges[b] : edges[b + 1]]) for b in numbers]
+        numbers.append(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "big") % self.deal.buckets)
+        data.append([rows[k].tobytes() for k in sorted(rows)] + followed)
         self.rows, self.places, self.hashes, self.flags = [], [], [], []
         self.n_rows = self.n_places = self.n_items = 0
         self.sent += 1
@@ -162,20 +218,38 @@ def answered(records: DataFrame, answer: Callable[[list[list[bytes]]], list[list
     return records.groupBy("bucket").applyInArrow(run, "parcel string, directory boolean, data array<binary>")
 
 
-def settled(answers: DataFrame, names: dict[str, type], settle: Callable[[dict[str, np.ndarray], list[list[bytes]]], pa.Table], schema: str) -> DataFrame:
+@dataclass(frozen=True)
+class Followers:
+    """Items that were not sent, by ascending place, each with the place of the item that was sent for it."""
+
+    places: np.ndarray
+    leaders: np.ndarray
+
+    def of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The followers of leaders among the places ``found``, and which of these each follows."""
+        if not len(found) or not len(self.places):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(found)
+        at = np.minimum(np.searchsorted(found[order], self.leaders), len(found) - 1)
+        hit = found[order][at] == self.leaders
+        return self.places[hit], order[at[hit]]
+
+
+def settled(answers: DataFrame, names: dict[str, type], settle: Callable[[Rows, list[list[bytes]], Followers], pa.Table], schema: str) -> DataFrame:
     """A parcel's answers with its directory's columns; ``names`` gives their kinds."""
     ordered = sorted({**names, "n_places": np.int64})
     kinds = {**names, "n_places": np.int64}
 
     def run(table: pa.Table) -> pa.Table:
-        rows: dict[str, np.ndarray] = {}
-        found = []
+        rows: Rows = {}
+        found, followers = [], Followers(np.zeros(0, np.int64), np.zeros(0, np.int64))
         for is_directory, data in zip(table["directory"].to_pylist(), table["data"].to_pylist(), strict=True):
             if is_directory:
-                rows = {k: np.frombuffer(x, kinds[k]) for k, x in zip(ordered, data, strict=True)}
+                rows = {k: np.frombuffer(x, kinds[k]) for k, x in zip(ordered, data, strict=False)}
+                followers = Followers(unpack_places(data[-2]), np.frombuffer(data[-1], np.uint32).astype(np.int64))
             else:
                 found.append(data)
-        return settle(rows, found)
+        return settle(rows, found, followers)
 
     return answers.groupBy("parcel").applyInArrow(run, schema)
 

@@ -71,13 +71,17 @@ def _row_sums(values: np.ndarray, row_ends: np.ndarray) -> np.ndarray:
     return np.diff(total[row_ends], prepend=_U64(0))
 
 
-def counted_sets(keyed: DataFrame, buckets: int, width: int = SHINGLE) -> DataFrame:
+def counted_sets(keyed: DataFrame, deal: exchange.Deal, width: int = SHINGLE) -> DataFrame:
     """For each row: its set's size and two hashes, and how many of its shingles other rows have too (or seem to)."""
     kinds = {**exchange.KEYS, "n": np.int64, "node": np.uint64, "check": np.uint64}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parcel = exchange.Parcel(buckets)
-        payload = lambda _, places, hashes, __: [hashes.astype(np.uint32).tobytes(), exchange.pack_places(places)]
+        parcel = exchange.Parcel(deal)
+
+        def payload(_, items: exchange.Items, some: np.ndarray) -> list[bytes]:
+            leaders = items.leaders[some]
+            return [items.hashes[leaders].astype(np.uint32).tobytes(), exchange.pack_places(items.places[leaders]), np.packbits(items.sizes[some] > 1).tobytes()]
+
         for batch in batches:
             for chunk in tokens.chunks(batch.column("text")):
                 runs, at, counts = shingle_sets(chunk, width)
@@ -91,18 +95,20 @@ def counted_sets(keyed: DataFrame, buckets: int, width: int = SHINGLE) -> DataFr
 
     def answer(records: list[list[bytes]]) -> list[list[bytes] | None]:
         items = [np.frombuffer(r[0], np.uint32) for r in records]
-        ordered = np.sort(np.concatenate(items))
+        # What comes again within a parcel counts twice: that is all a verdict needs.
+        again = [x[np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(x)).astype(bool)] for r, x in zip(records, items, strict=True)]
+        ordered = np.sort(np.concatenate(items + again))
         shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         if not len(shared):
             return [None] * len(records)
         hits = [shared[np.minimum(np.searchsorted(shared, x), len(shared) - 1)] == x for x in items]
         return [[exchange.pack_places(exchange.unpack_places(r[1])[h])] if h.any() else None for r, h in zip(records, hits, strict=True)]
 
-    def settle(rows: dict[str, np.ndarray], found: list[list[bytes]]) -> pa.Table:
+    def settle(rows: exchange.Rows, found: list[list[bytes]], followers: exchange.Followers) -> pa.Table:
         ends = np.cumsum(rows["n_places"])
         shared = np.zeros(len(ends), np.int64)
-        for x in found:
-            shared += np.bincount(np.searchsorted(ends, exchange.unpack_places(x[0]), "right"), minlength=len(ends))
+        for places in (followers.places, *(exchange.unpack_places(x[0]) for x in found)):
+            shared += np.bincount(np.searchsorted(ends, places, "right"), minlength=len(ends))
         columns = {k: rows[k].view(np.int64) for k in kinds} | {"shared": shared}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
@@ -126,13 +132,17 @@ def node_sets(keyed: DataFrame, nodes: DataFrame, width: int = SHINGLE) -> DataF
     return rows.mapInArrow(run, "node long, n long, shingles binary")
 
 
-def prefixes(sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFrame:
+def prefixes(sets: DataFrame, deal: exchange.Deal, percent: int = PERCENT) -> DataFrame:
     """For each node that may still link: its most frequent shingle (``key``) and its prefix, with counts among nodes."""
     kinds = {"node": np.int64, "n": np.int64}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parcel = exchange.Parcel(buckets)
-        payload = lambda _, places, hashes, __: [hashes.tobytes(), exchange.pack_places(places)]
+        parcel = exchange.Parcel(deal)
+
+        def payload(_, items: exchange.Items, some: np.ndarray) -> list[bytes]:
+            leaders = items.leaders[some]
+            return [items.hashes[leaders].tobytes(), exchange.pack_places(items.places[leaders]), items.sizes[some].astype(np.uint32).tobytes()]
+
         for batch in batches:
             n = batch.column("n").to_numpy()
             for k in range(batch.num_rows):
@@ -145,7 +155,8 @@ def prefixes(sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFrame
 
     def answer(records: list[list[bytes]]) -> list[list[bytes] | None]:
         items = [np.frombuffer(r[0], _U64) for r in records]
-        values, counts = np.unique(np.concatenate(items), return_counts=True)
+        values, which = np.unique(np.concatenate(items), return_inverse=True)
+        counts = np.bincount(which, np.concatenate([np.frombuffer(r[2], np.uint32) for r in records]), len(values)).astype(np.int64)
         out: list[list[bytes] | None] = []
         for r, x in zip(records, items, strict=True):
             c = counts[np.searchsorted(values, x)]
@@ -153,11 +164,13 @@ def prefixes(sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFrame
             out.append([exchange.pack_places(exchange.unpack_places(r[1])[more]), x[more].tobytes(), c[more].astype(np.uint32).tobytes()] if more.any() else None)
         return out
 
-    def settle(rows: dict[str, np.ndarray], found: list[list[bytes]]) -> pa.Table:
+    def settle(rows: exchange.Rows, found: list[list[bytes]], followers: exchange.Followers) -> pa.Table:
         ends = np.cumsum(rows["n_places"])
         join = lambda k, kind: np.concatenate([np.frombuffer(x[k], kind) for x in found]) if found else np.zeros(0, kind)
         places = np.concatenate([exchange.unpack_places(x[0]) for x in found]) if found else np.zeros(0, np.int64)
         items, counts = join(1, _U64), join(2, np.uint32)
+        more, after = followers.of(places)
+        places, items, counts = np.concatenate([places, more]), np.concatenate([items, items[after]]), np.concatenate([counts, counts[after]])
         row = np.searchsorted(ends, places, "right")
         order = np.lexsort((items, counts, row))
         items, row = items[order].view(np.int64), row[order]
@@ -246,9 +259,9 @@ def opened(rows: DataFrame, by: list[str], percent: int = PERCENT) -> DataFrame:
     return rows.groupBy(*by).applyInArrow(run, "a long, b long")
 
 
-def node_links(sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFrame:
+def node_links(sets: DataFrame, deal: exchange.Deal, percent: int = PERCENT) -> DataFrame:
     """``(node, root)`` for all nodes that link with another."""
-    marked = materialize(prefixes(sets, buckets, percent), "prefixes")
+    marked = materialize(prefixes(sets, deal, percent), "prefixes")
     parts = marked.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     marked = marked.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     nodes = materialize(marked.join(sets.select("node", "shingles"), "node"), "groups")
@@ -290,13 +303,13 @@ def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     that share an identifier are separate documents of that name. Shingles are told apart by 64-bit hashes.
     """
     keyed = exchange.keyed(docs)
-    buckets = exchange.bucket_count(docs)
-    rows = materialize(counted_sets(keyed, buckets, width), "shingle-counts")
+    deal = exchange.deal(docs)
+    rows = materialize(counted_sets(keyed, deal, width), "shingle-counts")
     may = rows.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n")))
     nodes = may.groupBy("node", "check").agg(F.min(F.struct("id", "tie", "tie2")).alias("first"), F.first("n").alias("n"))
     nodes = materialize(nodes.select("node", "n", "first.*"), "nodes")
     sets = materialize(node_sets(keyed, nodes.select("node", "n", "id", "tie", "tie2"), width), "node-sets")
-    roots = node_links(sets, buckets, percent)
+    roots = node_links(sets, deal, percent)
     names = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("id").alias("component"))
     names = materialize(names.join(least, "root").select("node", "root", "component"), "components")

@@ -46,20 +46,32 @@ def _by_row(rows: dict[str, np.ndarray], places: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([*columns, pa.array(parts, pa.binary())], names=["id", "tie", "tie2", "places"])
 
 
-def _settle_places(rows: dict[str, np.ndarray], found: list[list[bytes]]) -> pa.Table:
-    places = [exchange.unpack_places(x[0]) for x in found]
-    return _by_row(rows, np.concatenate(places) if places else np.zeros(0, np.int64))
+def _settle_places(rows: exchange.Rows, found: list[list[bytes]], followers: exchange.Followers) -> pa.Table:
+    places = np.concatenate([np.zeros(0, np.int64), *(exchange.unpack_places(x[0]) for x in found)])
+    return _by_row(rows, np.concatenate([places, followers.of(places)[0]]))
 
 
-def block_hits(keyed: DataFrame, buckets: int, block: int = BLOCK) -> DataFrame:
+def _settle_repeats(rows: exchange.Rows, found: list[list[bytes]], followers: exchange.Followers) -> pa.Table:
+    """Leaders by the answers; their followers are repeats too, but for those that start where their leader does."""
+    places = np.concatenate([np.zeros(0, np.int64), *(exchange.unpack_places(x[0]) for x in found)])
+    ends = np.cumsum(rows["n_places"])
+    start = lambda at: (rows["id"][row := np.searchsorted(ends, at, "right")], at - (ends - rows["n_places"])[row])
+    mine, theirs = start(followers.places), start(followers.leaders)
+    other = followers.places[(mine[0] != theirs[0]) | (mine[1] != theirs[1])]
+    return _by_row(rows, np.unique(np.concatenate([places, followers.of(places)[0], other])))
+
+
+def block_hits(keyed: DataFrame, deal: exchange.Deal, block: int = BLOCK) -> DataFrame:
     """For each row with any: where its rolling runs of ``block`` words equal some document's block elsewhere."""
 
-    def payload(_, places: np.ndarray, hashes: np.ndarray, aligned: np.ndarray) -> list[bytes]:
-        low = hashes.astype(np.uint32)
-        return [low.tobytes(), exchange.pack_places(places), low[aligned].tobytes()]
+    def payload(_, items: exchange.Items, some: np.ndarray) -> list[bytes]:
+        """Hashes with the leaders' places; which come again in this parcel, and which are some block."""
+        leaders = items.leaders[some]
+        bits = np.packbits(items.sizes[some] > 1).tobytes(), np.packbits(items.any_flag[some]).tobytes()
+        return [items.hashes[leaders].astype(np.uint32).tobytes(), exchange.pack_places(items.places[leaders]), *bits]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parcel = exchange.Parcel(buckets)
+        parcel = exchange.Parcel(deal)
         for batch in batches:
             for chunk in tokens.chunks(batch.column("text")):
                 starts, ends, first = chunk.words()
@@ -72,9 +84,11 @@ def block_hits(keyed: DataFrame, buckets: int, block: int = BLOCK) -> DataFrame:
 
     def answer(records: list[list[bytes]]) -> list[list[bytes] | None]:
         probes = [np.frombuffer(r[0], np.uint32) for r in records]
-        index = np.unique(np.concatenate([np.frombuffer(r[2], np.uint32) for r in records]))
+        bits = lambda k: [np.unpackbits(np.frombuffer(r[k], np.uint8), count=len(p)).astype(bool) for r, p in zip(records, probes, strict=True)]
+        again, aligned = bits(2), bits(3)
+        index = np.unique(np.concatenate([p[x] for p, x in zip(probes, aligned, strict=True)]))
         # Every block is a rolling run too: one that comes once meets only itself.
-        ordered = np.sort(np.concatenate(probes))
+        ordered = np.sort(np.concatenate([*probes, *(p[x] for p, x in zip(probes, again, strict=True))]))
         shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         anchors = np.intersect1d(index, shared, assume_unique=True)
         out: list[list[bytes] | None] = []
@@ -88,19 +102,33 @@ def block_hits(keyed: DataFrame, buckets: int, block: int = BLOCK) -> DataFrame:
     return exchange.settled(exchange.answered(sent, answer), exchange.KEYS, _settle_places, _MARKS)
 
 
-def repeated_windows(keyed: DataFrame, hits: DataFrame, buckets: int, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def repeated_windows(keyed: DataFrame, hits: DataFrame, deal: exchange.Deal, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """For each row with any: where its windows start that also start earlier. Only windows around hits are looked at."""
     names = ["id", "tie", "tie2"]
 
-    def payload(rows: dict[str, np.ndarray], places: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> list[bytes]:
+    def alike(rows: exchange.Rows, places: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of one text are alike; the one that starts first leads."""
         ends = np.cumsum(rows["n_places"])
         row = np.searchsorted(ends, places, "right")
+        order = np.lexsort((places - (ends - rows["n_places"])[row], rows["id"][row], checks, hashes))
+        h, c = hashes[order], checks[order]
+        starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))[: len(order)])
+        return order, starts, order[starts]
+
+    def payload(rows: exchange.Rows, items: exchange.Items, some: np.ndarray) -> list[bytes]:
+        leaders = items.leaders[some]
+        places, ends = items.places[leaders], np.cumsum(rows["n_places"])
+        row = np.searchsorted(ends, places, "right")
         used, index = np.unique(row, return_inverse=True)
         local = (places - (ends - rows["n_places"])[row]).astype(np.uint32)
-        return [hashes.tobytes(), exchange.pack_places(places), index.astype(np.uint16).tobytes(), local.tobytes(), rows["id"][used].tobytes(), checks.tobytes()]
+        kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+        return [
+            items.hashes[leaders].tobytes(), exchange.pack_places(places), index.astype(kind).tobytes(), local.tobytes(),
+            rows["id"][used].tobytes(), items.flags[leaders].tobytes(),
+        ]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parcel = exchange.Parcel(buckets)
+        parcel = exchange.Parcel(deal)
         for batch in batches:
             packed = batch.column("places")
             for chunk in tokens.chunks(batch.column("text")):
@@ -115,12 +143,13 @@ def repeated_windows(keyed: DataFrame, hits: DataFrame, buckets: int, window: in
                 checks = tokens.runs_at(words, at[extended], window, _CHECK).astype(np.uint32)
                 parcel.add(exchange.key_columns(batch, chunk), np.diff(first), at[extended], runs[extended], checks)
                 if parcel.full:
-                    yield from parcel.records(payload)
-        yield from parcel.records(payload)
+                    yield from parcel.records(payload, alike)
+        yield from parcel.records(payload, alike)
 
     def answer(records: list[list[bytes]]) -> list[list[bytes] | None]:
         hashes = np.concatenate([np.frombuffer(r[0], np.uint64) for r in records])
-        ids = np.concatenate([np.frombuffer(r[4], np.int64)[np.frombuffer(r[2], np.uint16)] for r in records])
+        kind = lambda r: np.uint16 if len(r[4]) // 8 <= 1 << 16 else np.uint32
+        ids = np.concatenate([np.frombuffer(r[4], np.int64)[np.frombuffer(r[2], kind(r))] for r in records])
         local = np.concatenate([np.frombuffer(r[3], np.uint32) for r in records])
         checks = np.concatenate([np.frombuffer(r[5], np.uint32) for r in records])
         order = np.lexsort((local, ids, checks, hashes))
@@ -138,7 +167,7 @@ def repeated_windows(keyed: DataFrame, hits: DataFrame, buckets: int, window: in
         return out
 
     sent = exchange.likely(keyed, hits).join(hits, names).select("text", *names, "places").mapInArrow(send, exchange.RECORD_SCHEMA)
-    return exchange.settled(exchange.answered(sent, answer), exchange.KEYS, _settle_places, _MARKS)
+    return exchange.settled(exchange.answered(sent, answer), exchange.KEYS, _settle_repeats, _MARKS)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -146,15 +175,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
     keyed = exchange.keyed(docs)
-    buckets = exchange.bucket_count(docs)
-    hits = materialize(block_hits(keyed, buckets, block), "block-hits")
+    deal = exchange.deal(docs)
+    hits = materialize(block_hits(keyed, deal, block), "block-hits")
     # All copies of a text have the same hits: its first document stands for them. The join is by
     # the whole key, so a text that many documents share does not meet itself in one task.
     firsts = hits.groupBy("tie", "tie2").agg(F.min("id").alias("id")).withColumn("is_first", F.lit(True))
     hits = hits.join(firsts, ["id", "tie", "tie2"], "left")
     later = hits.where(F.col("is_first").isNull()).select("id", "tie", "tie2", F.lit(b"").alias("places"), F.lit(True).alias("everything"))
     own = hits.where("is_first").drop("is_first").dropDuplicates(["id", "tie", "tie2"])
-    marks = repeated_windows(keyed, own, buckets, window, block)
+    marks = repeated_windows(keyed, own, deal, window, block)
     marks = marks.groupBy("id", "tie", "tie2").agg(F.first("places").alias("places")).withColumn("everything", F.lit(False))
     return materialize(marks.unionByName(later.dropDuplicates(["id", "tie", "tie2"])), "repeats")
 
