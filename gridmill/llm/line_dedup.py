@@ -1,12 +1,13 @@
 """Line deduplication with a log-template tree.
 
 A line's place in the tree follows from its number of tokens and its first
-``DEPTH`` tokens, tokens with a digit standing for any; so much is fixed. At a
-leaf, lines that agree with a template in at least ``LIKE`` of their tokens join
-it, and tokens that differ become variable. A template whose lines stand in
-``MIN_DOCS`` or more documents recurs: its lines are dropped from all documents but
-the first (the smallest identifier), so that one copy of what was repeated stays.
-Lines of fewer than ``MIN_WORDS`` words are never dropped.
+``DEPTH`` tokens, tokens with a digit standing for any; so much is fixed. (A line
+whose every token has a digit keeps them as they are: nothing else could tell it.)
+At a leaf, lines that agree with a template in at least ``LIKE`` of their tokens
+join it, and tokens that differ become variable; so lines of one to three words join
+equal ones only. A template whose lines stand in ``MIN_DOCS`` or more documents
+recurs: its lines are dropped from all documents but the first (the smallest
+identifier), so that one copy of what was repeated stays. Lines without a word stay.
 
 Leaves are dealt into buckets by their hash. Equal lines travel once from each
 parcel of text, with at most ``MIN_DOCS`` of their documents' identifiers, which is
@@ -30,7 +31,6 @@ from gridmill.store import materialize
 DEPTH = 3
 LIKE = 0.75
 MIN_DOCS = 5
-MIN_WORDS = 3
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -51,13 +51,14 @@ class Lines:
         self.tokens: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.hashes: list[np.ndarray] = []
-        self.n = 0
+        self.n = self.n_tokens = 0
 
     def add(self, toks: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         self.tokens.append(toks)
         self.counts.append(counts)
         self.hashes.append(hashes)
         self.n += len(counts)
+        self.n_tokens += len(toks)
         return np.arange(self.n - len(counts), self.n)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,14 +71,13 @@ class Lines:
 
 
 def lines_of(chunk: tokens.Chunk) -> tuple[np.ndarray, ...]:
-    """Of lines with ``MIN_WORDS`` words: the place among all lines of the chunk, leaf, hash, tokens and their number; lines by row."""
+    """Of lines with a word: the place among all lines of the chunk, leaf, hash, tokens and their number; lines by row."""
     data = chunk.data
     starts, ends, _ = chunk.words()
     hashes = chunk.running_hash().of(starts, ends)
     digits = np.zeros(len(data) + 1, np.int32)
     np.cumsum(_DIGIT[data], out=digits[1:])
     varies = digits[ends] > digits[starts]
-    toks = np.where(varies, np.uint64(0), hashes | np.uint64(1))
     newline = data == 10
     before = np.zeros(len(data) + 1, np.int64)
     np.cumsum(newline, out=before[1:])
@@ -88,14 +88,12 @@ def lines_of(chunk: tokens.Chunk) -> tuple[np.ndarray, ...]:
     new = np.append(True, place[1:] != place[:-1]) if len(place) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(place)))
-    long = counts >= MIN_WORDS
-    first, counts = first[long], counts[long]
+    some_stay = np.add.reduceat(~varies, first) > 0 if len(first) else np.zeros(0, bool)
+    toks = np.where(varies & np.repeat(some_stay, counts), np.uint64(0), hashes | np.uint64(1))
     leaf = tokens.mix(counts.astype(np.uint64))
-    for k in range(min(DEPTH, MIN_WORDS)):
-        leaf = tokens.mix(leaf ^ (toks[first + k] * np.uint64(2 * k + 3)))
-    for k in range(MIN_WORDS, DEPTH):
-        deeper = counts > k
-        leaf[deeper] = tokens.mix(leaf[deeper] ^ (toks[first[deeper] + k] * np.uint64(2 * k + 3)))
+    for k in range(DEPTH):
+        deep = counts > k
+        leaf[deep] = tokens.mix(leaf[deep] ^ (toks[first[deep] + k] * np.uint64(2 * k + 3)))
     every = _spread(first, counts)
     line = np.zeros(len(first), np.uint64)
     if len(first):
@@ -104,24 +102,42 @@ def lines_of(chunk: tokens.Chunk) -> tuple[np.ndarray, ...]:
     return place[first], leaf, line, (toks[every] >> np.uint64(32)).astype(np.uint32), counts, n_lines
 
 
-def templates(toks: np.ndarray, like: float = LIKE) -> np.ndarray:
-    """The template of each line of one leaf, lines by rows; they come in the order given (that of their first documents)."""
+def templates(toks: np.ndarray, like: float = LIKE, lead: int = DEPTH) -> np.ndarray:
+    """The template of each line of one leaf, lines by rows; they come in the order given (that of their first documents).
+
+    A line joins the template it agrees with most (of equals the oldest), if that is enough. A template that is enough agrees
+    with one at least of any ``most + 1`` tokens, if ``most`` may differ; so only those are looked at that are listed under one of
+    the line's ``most + 1`` least listed tokens. The first ``lead`` tokens are the same throughout a leaf, and are not listed.
+    """
     n = toks.shape[1]
+    lead = min(lead, n)
     need = int(np.ceil(like * n - 1e-9))
+    most = n - need
+    if n - lead <= most:  # all lines of the leaf agree enough
+        return np.zeros(len(toks), np.int64)
     known = np.zeros((16, n), np.uint32)
     used = 0
+    listed: list[dict[int, list[int]]] = [{} for _ in range(n)]
     out = np.zeros(len(toks), np.int64)
     for k, line in enumerate(toks):
-        if used:
-            agree = (known[:used] == line).sum(axis=1)
+        own = line.tolist()
+        lists = sorted((listed[p].get(own[p], ()) for p in range(lead, n)), key=len)[: most + 1]
+        candidates = np.array(sorted({t for x in lists for t in x}), np.int64)
+        if len(candidates):
+            agree = (known[candidates] == line).sum(axis=1)
             best = int(np.argmax(agree))
             if agree[best] >= need:
-                out[k] = best
-                known[best][known[best] != line] = _ANY
+                t = out[k] = candidates[best]
+                for p in np.flatnonzero(known[t] != line).tolist():
+                    if known[t, p] != _ANY:
+                        known[t, p] = _ANY
+                        listed[p].setdefault(int(_ANY), []).append(int(t))
                 continue
         if used == len(known):
             known = np.concatenate([known, np.zeros_like(known)])
         known[used] = line
+        for p in range(lead, n):
+            listed[p].setdefault(own[p], []).append(used)
         out[k] = used
         used += 1
     return out
@@ -147,41 +163,47 @@ def _leaf_verdicts(line: np.ndarray, toks: list[np.ndarray], ids: list[np.ndarra
     return recurs, keeper
 
 
-def recurring_lines(keyed: DataFrame, buckets: int, min_docs: int = MIN_DOCS, like: float = LIKE) -> DataFrame:
+def recurring_lines(keyed: DataFrame, deal: exchange.Deal, min_docs: int = MIN_DOCS, like: float = LIKE) -> DataFrame:
     """For each row with any: the numbers of its lines (from 0) whose template recurs and first stands in another document."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parcel, store = exchange.Parcel(buckets), Lines()
+        parcel, store = exchange.Parcel(deal), Lines()
 
-        def payload(rows: dict[str, np.ndarray], places: np.ndarray, leaves: np.ndarray, index: np.ndarray) -> list[bytes]:
-            toks, starts, counts, hashes = store.joined()
+        def alike(rows: exchange.Rows, places: np.ndarray, leaves: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Equal lines are alike; within a group they come by document."""
+            hashes = store.joined()[3][index]
             ids = rows["id"][np.searchsorted(np.cumsum(rows["n_places"]), places, "right")]
-            _, first, which = np.unique(hashes[index], return_index=True, return_inverse=True)
-            # Of each distinct line, the least identifiers, as many as a verdict needs.
-            order = np.lexsort((ids, which))
-            w, i = which[order], ids[order]
-            once = np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]))
-            w, i = w[once], i[once]
-            rank = np.arange(len(w)) - np.searchsorted(w, w)
-            w, i = w[rank < min_docs], i[rank < min_docs]
-            chosen = index[first]
-            sent = toks[_spread(starts[chosen], counts[chosen])]
+            order = np.lexsort((ids, hashes))
+            starts = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1])[: len(order)])
+            return order, starts, order[starts]
+
+        def payload(rows: exchange.Rows, items: exchange.Items, some: np.ndarray) -> list[bytes]:
+            """Distinct lines, each with its least identifiers, as many as a verdict needs."""
+            toks, starts, counts, hashes = store.joined()
+            leaders = items.leaders[some]
+            chosen = items.flags[leaders]
+            every = items.order[_spread(items.starts[some], items.sizes[some])]
+            group = np.repeat(np.arange(len(some)), items.sizes[some])
+            ids = rows["id"][np.searchsorted(np.cumsum(rows["n_places"]), items.places[every], "right")]
+            once = np.append(True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))
+            group, ids = group[once], ids[once]
+            rank = np.arange(len(group)) - np.searchsorted(group, group)
+            group, ids = group[rank < min_docs], ids[rank < min_docs]
             return [
-                leaves[first].tobytes(), hashes[chosen].tobytes(), counts[chosen].astype(np.uint32).tobytes(), sent.tobytes(),
-                np.bincount(w, minlength=len(first)).astype(np.uint32).tobytes(), i.tobytes(),
-                exchange.pack_places(places), which.astype(np.uint32).tobytes(),
+                items.hashes[leaders].tobytes(), hashes[chosen].tobytes(), counts[chosen].astype(np.uint32).tobytes(), toks[_spread(starts[chosen], counts[chosen])].tobytes(),
+                np.bincount(group, minlength=len(some)).astype(np.uint32).tobytes(), ids.tobytes(), items.places[leaders].astype(np.uint32).tobytes(),
             ]
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal store
-            yield from parcel.records(payload)
+            yield from parcel.records(payload, alike)
             store = Lines()
 
         for batch in batches:
             for chunk in tokens.chunks(batch.column("text")):
                 places, leaves, hashes, toks, counts, n_lines = lines_of(chunk)
                 parcel.add(exchange.key_columns(batch, chunk), n_lines, places, leaves, store.add(toks, counts, hashes))
-                if parcel.full or sum(map(len, store.tokens)) >= exchange.PARCEL_ITEMS:
+                if parcel.full or store.n_tokens >= deal.parcel_items:
                     yield from flush()
         yield from flush()
 
@@ -204,16 +226,17 @@ def recurring_lines(keyed: DataFrame, buckets: int, min_docs: int = MIN_DOCS, li
         out: list[list[bytes] | None] = []
         at = 0
         for r, size in zip(records, sizes, strict=True):
-            which = np.frombuffer(r[7], np.uint32)
-            hit = recurs[at : at + size][which]
-            out.append([exchange.pack_places(exchange.unpack_places(r[6])[hit]), keeper[at : at + size][which[hit]].tobytes()] if hit.any() else None)
+            hit = recurs[at : at + size]
+            out.append([np.frombuffer(r[6], np.uint32)[hit].tobytes(), keeper[at : at + size][hit].tobytes()] if hit.any() else None)
             at += size
         return out
 
-    def settle(rows: dict[str, np.ndarray], found: list[list[bytes]]) -> pa.Table:
+    def settle(rows: exchange.Rows, found: list[list[bytes]], followers: exchange.Followers) -> pa.Table:
         ends = np.cumsum(rows["n_places"])
-        places = np.concatenate([exchange.unpack_places(x[0]) for x in found]) if found else np.zeros(0, np.int64)
-        keeper = np.concatenate([np.frombuffer(x[1], np.int64) for x in found]) if found else np.zeros(0, np.int64)
+        places = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[0], np.uint32) for x in found)])
+        keeper = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[1], np.int64) for x in found)])
+        more, after = followers.of(places)
+        places, keeper = np.concatenate([places, more]), np.concatenate([keeper, keeper[after]])
         row = np.searchsorted(ends, places, "right")
         drop = rows["id"][row] != keeper
         row, places = row[drop], places[drop]
@@ -237,7 +260,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, like: float = LIKE) ->
     The two names get underscores in front where ``docs`` has columns called so.
     """
     names = [fresh(n, docs.columns) for n in ("n_lines", "n_dropped")]
-    marks = recurring_lines(exchange.keyed(docs), exchange.bucket_count(docs), min_docs, like)
+    marks = recurring_lines(exchange.keyed(docs), exchange.deal(docs), min_docs, like)
     marks = materialize(marks.groupBy("id", "tie", "tie2").agg(F.first("lines").alias("lines")), "recurring-lines")
     keys = {k: fresh(f"key_{k}", docs.columns) for k in ("id", "tie", "tie2", "lines")}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from corpus import WORD, clashing, frame, order, rows
 
@@ -120,9 +121,10 @@ def by_tree(data, min_docs):
 
     def parse(line):
         words = WORD.findall(line)
-        if len(words) < line_dedup.MIN_WORDS:
+        if not words:
             return None
-        toks = tuple("\0" if any("0" <= c <= "9" for c in w) else w for w in words)
+        varies = [any("0" <= c <= "9" for c in w) for w in words]
+        toks = tuple("\0" if v and not all(varies) else w for v, w in zip(varies, words, strict=True))
         return (len(toks), *toks[: line_dedup.DEPTH]), toks
 
     leaves = defaultdict(lambda: defaultdict(set))
@@ -177,6 +179,100 @@ def test_lines_keep_columns_and_first_copies(spark):
     assert line_dedup.drop_lines(df.where("false")).count() == 0
 
 
+def plain_templates(toks, like):
+    """Each line against all templates so far."""
+    known, out = [], []
+    for line in toks.tolist():
+        agree = [sum(a == b for a, b in zip(k, line, strict=True)) for k in known]
+        best = max(range(len(known)), key=lambda k: (agree[k], -k), default=None)
+        if best is None or agree[best] < like * len(line) - 1e-9:
+            best = len(known)
+            known.append(list(line))
+        known[best] = [a if a == b else 0 for a, b in zip(known[best], line, strict=True)]
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 12])
+@pytest.mark.parametrize("vocabulary", [2, 4, 30])
+def test_templates_of_a_leaf(n, vocabulary):
+    rng = np.random.default_rng(n)
+    toks = rng.integers(0, vocabulary, (400, n)).astype(np.uint32)
+    toks[:, :3] = 7
+    assert line_dedup.templates(toks).tolist() == plain_templates(toks, line_dedup.LIKE)
+
+
+def test_large_leaf():
+    import time
+
+    rng = np.random.default_rng(0)
+    toks = rng.integers(1, 1 << 31, (100_000, 12)).astype(np.uint32)
+    toks[:, :3] = 0
+    toks[50_000:] = toks[:50_000]
+    toks[50_000:, 5] = 3
+    began = time.time()
+    got = line_dedup.templates(toks)
+    assert time.time() - began < 60
+    assert (got[:50_000] == np.arange(50_000)).all() and (got[50_000:] == got[:50_000]).all()
+
+
+def test_short_lines_and_lines_of_numbers(spark):
+    data = [(k, f"body {'abcdefghij'[k]} stays alone\nLes.\n17 4\n{k} {k}\n\nrow {k} x{k}", "en", "a", 1) for k in range(8)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(frame(spark, data).select("doc_id", "text")).collect()}
+    assert got[0] == data[0][1]
+    # The rows of numbers differ, and "row <any> <any>" is one template.
+    assert all(got[k] == f"body {'abcdefghij'[k]} stays alone\n{k} {k}\n" for k in range(1, 8))
+
+
+def one_record(deal, rows, hashes):
+    """What a parcel of documents with these items sends to its buckets, and its directory."""
+    parcel = exchange.Parcel(deal)
+    n = len(rows)
+    keys = {"id": np.arange(n), "tie": np.arange(n), "tie2": np.arange(n)}
+    counts = np.array([len(h) for h in hashes])
+    parcel.add(keys, counts, np.arange(counts.sum()), np.concatenate(hashes), np.zeros(counts.sum(), bool))
+    payload = lambda _, items, some: [items.hashes[items.leaders[some]].tobytes(), items.places[items.leaders[some]].tobytes()]
+    return [d for b in parcel.records(payload) for d in b.to_pylist()]
+
+
+def test_a_hash_of_all_documents_costs_its_bucket_one_item():
+    hot = np.array([5 << 32, 9 << 32], np.uint64)
+    sizes = []
+    for n in (10, 100_000):
+        records = one_record(exchange.Deal(4, 1 << 30), range(n), [hot] * n)
+        sizes.append(sum(len(x) for r in records if not r["directory"] for x in r["data"]))
+        (directory,) = [r["data"] for r in records if r["directory"]]
+        followers = exchange.Followers(exchange.unpack_places(directory[-2]), np.frombuffer(directory[-1], np.uint32).astype(np.int64))
+        assert (followers.places == np.arange(2, 2 * n)).all() and (followers.leaders == np.arange(2, 2 * n) % 2).all()
+        places, after = followers.of(np.array([1]))
+        assert (places == np.arange(3, 2 * n, 2)).all() and not after.any()
+    assert sizes[0] == sizes[1] == 2 * 16
+
+
+@pytest.mark.parametrize("batch", [10_000, 25_000, 50_000])
+def test_batches_of_any_size(spark, batch):
+    passage = " ".join(f"p{k}" for k in range(20))
+    data = spark.range(75_000).selectExpr("id as doc_id", f"concat('a', id, ' {passage} b', id) as text").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.n_removed: r["count"] for r in substring_dedup.dedup(data).groupBy("n_removed").count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {0: 1, 20: 74_999}
+
+
+def test_one_very_long_text(spark):
+    """Two texts of more than one chunk (1 MB), alike but for a word, and one of one word without end."""
+    words = [f"v{k}" for k in range(300_000)]
+    long, other = " ".join(words), " ".join(words[:150_000] + ["changed"] + words[150_001:])
+    data = [(1, long, "en", "a", 1), (2, other, "en", "a", 1), (3, "x" * 3_000_000, "en", "a", 1)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup(frame(spark, data)).collect()}
+    assert got == {1: (300_000, 0), 2: (300_000, 299_999), 3: (1, 0)}
+    assert {r.doc_id: r.component_id for r in ngram_join.classes(frame(spark, data)).collect()} == {1: 1, 2: 1, 3: 3}
+    lines = [(k, "\n".join([f"{'abcdef'[k]} own {'uvwxyz'[k]} {j}" for j in range(2)] + ["of everyone"] * 100_000), "en", "a", 1) for k in range(6)]
+    assert {r.doc_id: r.n_dropped for r in line_dedup.drop_lines(frame(spark, lines).select("doc_id", "text")).collect()} == {0: 0} | dict.fromkeys(range(1, 6), 100_000)
+
+
 def test_answers_do_not_depend_on_parcels(spark, monkeypatch):
     df = frame(spark, rows(7), parts=1)
     whole = sorted(map(tuple, substring_dedup.dedup(df).collect()), key=repr)
