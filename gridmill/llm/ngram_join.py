@@ -10,11 +10,11 @@ least ``PERCENT`` percent of their union. The result is exact:
 3. Similar nodes form groups: those with the same most frequent shingle, in parts
    of about ``GROUP``. A group's nodes are compared with each other and with the
    first part of their kind.
-4. The token-group matrix holds, for each prefix shingle, the groups whose union has
-   it, with the range of their sizes and components. Where a shingle still meets several
-   components, every node outside its largest component is a query; it opens the groups that the
-   matrix lets through by shingle, size and component. Both ends of a link cannot lie
-   in the largest component, so no link between components is missed.
+4. Every node outside the largest component that meets at a prefix shingle is a query against the
+   groups met there of other components and of fitting sizes; both ends of a link between components cannot
+   lie in the largest one. The token-group matrix stores each group's token union. A query's overlap with
+   the union bounds its overlap with every member, so only groups where that reaches what a link
+   needs are opened, and no link is missed.
 5. Components of all links found are the classes.
 """
 
@@ -35,8 +35,8 @@ from gridmill.store import materialize
 SHINGLE = 3
 PERCENT = 90
 #: Nodes of a group's part, and queries that open one at once, about.
-GROUP = 256
-QUERIES = 1_000
+GROUP = 128
+QUERIES = 128
 _COLUMNS = 4_096
 
 _U64 = np.uint64
@@ -259,6 +259,42 @@ def opened(rows: DataFrame, by: list[str], percent: int = PERCENT) -> DataFrame:
     return rows.groupBy(*by).applyInArrow(run, "a long, b long")
 
 
+def needed(n: np.ndarray, least_n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The least overlap of a set of ``n`` with one of ``least_n`` or more that it links with."""
+    other = np.maximum(least_n, -(-percent * n // 100))
+    return -(-percent * (n + other) // (100 + percent))
+
+
+def token_groups(nodes: DataFrame) -> DataFrame:
+    """The token-group matrix by rows: each group's token union, and its smallest set's size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        union = np.unique(np.concatenate([np.frombuffer(x, _U64) for x in table["shingles"].to_pylist()]))
+        least = min(len(x) // 8 for x in table["shingles"].to_pylist())
+        first = table.slice(0, 1)
+        return pa.table({"key": first["key"], "part": first["part"], "least_n": pa.array([least], pa.int64()), "shingles": pa.array([union.tobytes()], pa.binary())})
+
+    return nodes.select("key", "part", "shingles").groupBy("key", "part").applyInArrow(run, "key long, part int, least_n long, shingles binary")
+
+
+def qualifying(asked: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of ``asked (node, shingles, key, part, load)`` those whose overlap with the group's union may be a link's."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_group = table["least_n"].is_valid().to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x, _U64) for x in table["shingles"].to_pylist()]
+        (g,) = np.flatnonzero(is_group)
+        queries = np.flatnonzero(~is_group)
+        union, least = sets[g], table["least_n"][int(g)].as_py()
+        both = np.array([np.isin(sets[q], union, assume_unique=True, kind="sort").sum() for q in queries], np.int64)
+        n = np.array([len(sets[q]) for q in queries], np.int64)
+        return table.select(["node", "key", "part", "load"]).take(pa.array(queries[both >= needed(n, np.int64(least), percent)], pa.int64()))
+
+    columns = ["node", "shingles", "key", "part", "load", "least_n"]
+    rows = asked.withColumn("least_n", F.lit(None).cast("long")).select(*columns).unionByName(groups.withColumn("node", F.lit(0).cast("long")).select(*columns))
+    return rows.groupBy("key", "part", "load").applyInArrow(run, "node long, key long, part int, load int")
+
+
 def node_links(sets: DataFrame, deal: exchange.Deal, percent: int = PERCENT) -> DataFrame:
     """``(node, root)`` for all nodes that link with another."""
     marked = materialize(prefixes(sets, deal, percent), "prefixes")
@@ -271,7 +307,7 @@ def node_links(sets: DataFrame, deal: exchange.Deal, percent: int = PERCENT) ->
     hubs = hubs.select("node", "shingles", "key", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     first_links = materialize(opened(own.unionByName(hubs), ["key", "part"], percent), "group-links")
     roots = components(first_links)
-    # The token-group matrix over prefix shingles that meet more than one component.
+    # Prefix shingles that meet more than one component ask for groups.
     known = marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     entries = materialize(known.select("node", "n", "key", "part", "root", F.explode("prefix").alias("shingle")), "prefix-shingles")
     held = entries.groupBy("shingle", "root").agg(F.count("*").alias("held"))
@@ -280,17 +316,24 @@ def node_links(sets: DataFrame, deal: exchange.Deal, percent: int = PERCENT) ->
     # The join's output is written, so that a shingle of very many nodes can be split over tasks.
     queries = entries.join(largest, "shingle").where(F.col("root") != F.col("largest"))
     queries = materialize(queries.select("node", "n", "root", "shingle"), "outside-largest")
-    matrix = entries.groupBy("shingle", "key", "part").agg(
+    places = entries.groupBy("shingle", "key", "part").agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("root").alias("low"), F.max("root").alias("high")
     )
     fits = (100 * F.col("most_n") >= percent * F.col("n")) & (percent * F.col("least_n") <= 100 * F.col("n"))
     other = (F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))
-    asks = materialize(queries.join(matrix, "shingle").where(fits & other).select("node", "key", "part").distinct(), "queries")
-    loads = materialize(asks.groupBy("key", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("loads")), "loads")
-    asked = asks.join(loads, ["key", "part"]).withColumn("load", F.pmod(F.xxhash64("node"), "loads").cast("int"))
+    asks = materialize(queries.join(places, "shingle").where(fits & other).select("node", "key", "part").distinct(), "queries")
+    dealt = lambda rows: rows.groupBy("key", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("loads"))
+    every_load = F.explode(F.sequence(F.lit(0), F.col("loads") - 1)).alias("load")
+    loads = materialize(dealt(asks), "loads")
+    asked = asks.join(loads, ["key", "part"]).withColumn("load", F.pmod(F.xxhash64("node"), "loads").cast("int")).drop("loads")
+    asked = asked.join(nodes.select("node", "shingles"), "node")
+    groups = token_groups(nodes.join(loads, ["key", "part"], "left_semi")).join(loads, ["key", "part"]).select("key", "part", "least_n", "shingles", every_load)
+    # What qualifies opens its group; so many queries at once, dealt anew.
+    passed = materialize(qualifying(asked, groups, percent).drop("load"), "qualifying")
+    loads = materialize(dealt(passed), "loads")
+    asked = passed.join(loads, ["key", "part"]).withColumn("load", F.pmod(F.xxhash64("node"), "loads").cast("int"))
     asked = asked.join(nodes.select("node", "shingles"), "node").select("node", "shingles", "key", "part", "load", F.lit(2).alias("role"))
-    there = nodes.join(loads, ["key", "part"])
-    there = there.select("node", "shingles", "key", "part", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)).alias("load"), F.lit(0).alias("role"))
+    there = nodes.join(loads, ["key", "part"]).select("node", "shingles", "key", "part", every_load, F.lit(0).alias("role"))
     more = opened(asked.unionByName(there), ["key", "part", "load"], percent)
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 

@@ -87,6 +87,28 @@ def test_join(spark, monkeypatch, seed, group):
     assert sorted(map(tuple, got.collect()), key=repr) == by_pairs(data)[0]
 
 
+def test_bound_by_token_unions(spark):
+    """Every query that links with a member passes; one that shares less than a link needs with the union does not."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(20, 60)).astype(np.uint64)) for _ in range(40)]
+    sets += [np.unique(np.append(s[: len(s) - 1], np.uint64(9000 + k))) for k, s in enumerate(sets[:20])]
+    schema = "node long, shingles binary, key long, part int"
+    members = [(k, s.tobytes(), k % 4, 0) for k, s in enumerate(sets[:40])]
+    asked = [(k, s.tobytes(), g, 0, 0) for k, s in enumerate(sets) for g in range(4)]
+    groups = ngram_join.token_groups(spark.createDataFrame(members, schema)).selectExpr("*", "0 as load")
+    got = {(r.node, r.key) for r in ngram_join.qualifying(spark.createDataFrame(asked, schema + ", load int"), groups).collect()}
+    links = ngram_join.linked(sets, sets[:40])
+    want = set()
+    for g in range(4):
+        union = np.unique(np.concatenate([s for k, s in enumerate(sets[:40]) if k % 4 == g]))
+        least = min(len(s) for k, s in enumerate(sets[:40]) if k % 4 == g)
+        for k, s in enumerate(sets):
+            other = max(least, -(-90 * len(s) // 100))
+            if 190 * len(np.intersect1d(s, union)) >= 90 * (len(s) + other):
+                want.add((k, g))
+    assert got == want and {(int(q), int(m) % 4) for q, m in np.argwhere(links)} <= got < {(k, g) for k in range(60) for g in range(4)}
+
+
 def test_chains_of_links_are_one_class(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 2)
     words = [f"t{k}" for k in range(400)]
