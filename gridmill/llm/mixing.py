@@ -6,11 +6,12 @@ Targets share out the wanted words by weight, no source above its cap
 exponentially tilted rates that solve the convex dual of the source's token
 constraint. Newton steps, kept inside a bracket, find all lambdas at once; each
 step is one aggregation of the table of sizes, which has a row for each source
-and size. Rates are then rounded into copies by cumulative sums from the longest
+and size, and after ``_STEPS`` the bracket is halved until it is settled. Rates are then rounded into copies by cumulative sums from the longest
 to the shortest, so a source's taken words differ from its target by a document or so.
 
 Everything is DataFrame operations. Rows of one source and size are split into
-parts of about ``PART_ROWS`` by a hash of their identifier.
+parts of about ``PART_ROWS`` by a hash of their identifier and text. Sums run over a
+source's sizes first, then over the parts of each size, so no task sees all parts of a source.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ SHARE = 1.5
 CAP = 2.0
 PART_ROWS = 512
 _NEAR = 1e-9
-_STEPS = 60
+#: After so many Newton steps the bracket is only halved; some 60 halvings leave no number between its ends.
+_STEPS = 20
 _KEY = ["no_source", "source"]
 
 
@@ -39,9 +41,10 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size and the source as a key that has no null."""
+    """doc_id, a hash of the text, size and the source as a key that has no null."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("tie"),
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         word_count(F.col("text").cast("string")).alias("size"),
@@ -107,20 +110,22 @@ def solve(sizes: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
         low = F.when(gap < 0, F.col("dual")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("dual")).otherwise(F.col("high"))
         newton = F.col("dual") - gap / F.when(F.col("slope") > 0, F.col("slope"))
-        inside = (newton > low) & (newton < high)
-        done = F.abs(gap) <= _NEAR * F.greatest(F.col("target"), F.lit(1.0))
-        moved = F.when(done, F.col("dual")).when(inside, newton).otherwise((low + high) / 2)
+        middle = (low + high) / 2
+        inside = (newton > low) & (newton < high) & F.lit(step < _STEPS)
+        # Settled: on target, or no number is left between the bracket's ends.
+        done = (F.abs(gap) <= _NEAR * F.greatest(F.col("target"), F.lit(1.0))) | (middle <= low) | (middle >= high)
+        moved = F.when(done, F.col("dual")).when(inside, newton).otherwise(middle)
         now = materialize(sums.select(*_KEY, "source_size", "docs", "target", moved.alias("dual"), low.alias("low"), high.alias("high"), done.alias("done")), "duals")
-        if step >= _STEPS or not now.where(~F.col("done")).head(1):
+        if not now.where(~F.col("done")).head(1):
             return now.drop("low", "high", "done")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """For each row of ``docs``: doc_id, source, size, source_size, target, rate and ``copies``.
+    """For each row of ``docs``: doc_id, ``tie`` (a hash of its text), source, size, source_size, target, rate and ``copies``.
 
     A null text has size 0, a null source is a source of its own, after all
     others. Reruns agree: which documents of one size get one copy more follows
-    from hashes of their identifiers. Sources without words have target 0.
+    from hashes of their identifiers and texts. Sources without words have target 0.
     """
     rows = materialize(sized(docs), "sizes")
     sizes = materialize(rows.groupBy(*_KEY, "size").agg(F.count("*").alias("n")), "size-counts")
@@ -129,22 +134,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         sizes.where(F.col("n") > PART_ROWS).select(*_KEY, "size", F.ceil(F.col("n") / PART_ROWS).alias("parts")), "large-sizes"
     )
     bin_key = [*_KEY, "size", "part"]
-    hashed = F.xxhash64("doc_id")
+    hashed = F.xxhash64("doc_id", "tie")
     rows = rows.join(large, [*_KEY, "size"], "left").withColumn("part", F.pmod(hashed, F.coalesce("parts", F.lit(1)))).drop("parts")
     bins = rows.groupBy(*bin_key).agg(F.count("*").alias("n")).join(duals, _KEY).withColumn("rate", _rate(cap))
     whole = F.least(F.floor("rate"), F.lit(int(cap)))
     # Longest first: what the last rounding leaves over is then a matter of the shortest documents.
-    ordered = Window.partitionBy(*_KEY).orderBy(F.desc("size"), "part")
-    upto = F.sum(F.col("n") * (F.col("rate") - whole)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    bins = bins.withColumns({"whole": whole, "upto": upto})
-    steps = F.floor(F.col("upto") + 0.5) - F.coalesce(F.floor(F.lag("upto").over(ordered) + 0.5), F.lit(0))
-    plan = bins.withColumn("extra", steps).select(*bin_key, "source_size", "target", "rate", "whole", "extra")
-    place = F.row_number().over(Window.partitionBy(*bin_key).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    # Decimals, so that the sums of a size's parts are the same as the size's own.
+    share = (F.col("n").cast("decimal(18,0)") * F.col("over")).cast("decimal(38,12)")
+    bins = bins.withColumn("whole", whole).withColumn("over", (F.col("rate") - whole).cast("decimal(13,12)"))
+    by_size = bins.groupBy(*_KEY, "size").agg(F.sum(share).alias("share"))
+    longer = Window.partitionBy(*_KEY).orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    by_size = by_size.select(*_KEY, "size", F.coalesce(F.sum("share").over(longer), F.lit(0)).cast("decimal(38,12)").alias("before"))
+    upto = Window.partitionBy(*_KEY, "size").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.join(by_size, [*_KEY, "size"]).withColumn("upto", (F.col("before") + F.sum(share).over(upto)).cast("decimal(38,12)"))
+    copies_upto = lambda c: F.floor(c + F.lit(0.5).cast("decimal(2,1)")).cast("long")
+    bins = bins.withColumn("extra", copies_upto(F.col("upto")) - copies_upto((F.col("upto") - share).cast("decimal(38,12)")))
+    plan = bins.select(*bin_key, "source_size", "target", "rate", "whole", "extra")
+    place = F.row_number().over(Window.partitionBy(*bin_key).orderBy(F.xxhash64("doc_id", "tie", F.lit(1)), "doc_id", "tie"))
     return (
         rows.withColumn("place", place)
         .join(plan, bin_key)
         .select(
-            "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", "rate",
+            "doc_id", "tie", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", "rate",
             F.least(F.col("whole") + (F.col("place") <= F.col("extra")).cast("long"), F.lit(int(cap))).alias("copies"),
         )
     )
@@ -153,17 +164,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def repeat_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, in their own columns."""
     mixed = mix(docs, weights, share, cap)
-    names = {k: fresh(f"mix_{k}", docs.columns) for k in ("id", "no_id", "source", "no_source", "size", "list", "at")}
-    key = [names[k] for k in ("id", "no_id", "source", "no_source", "size")]
+    names = {k: fresh(f"mix_{k}", docs.columns) for k in ("id", "no_id", "tie", "source", "no_source", "size", "list", "at")}
+    key = [names[k] for k in ("id", "no_id", "tie", "source", "no_source", "size")]
 
-    def keyed(df: DataFrame, size: Column) -> DataFrame:
+    def keyed(df: DataFrame, tie: Column, size: Column) -> DataFrame:
         doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
-        return df.withColumns(dict(zip(key, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size), strict=True)))
+        return df.withColumns(dict(zip(key, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), tie, F.coalesce(source, F.lit("")), source.isNull(), size), strict=True)))
 
-    # Rows alike in identifier, source and size share a list of copies, dealt out in order.
-    lists = keyed(mixed, F.col("size")).groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(names["list"]))
-    rows = keyed(docs, word_count(F.col("text").cast("string"))).join(lists, key)
-    rows = rows.withColumn(names["at"], F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    # Rows alike in identifier, text and source share a list of copies, dealt out in order.
+    lists = keyed(mixed, F.col("tie"), F.col("size")).groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(names["list"]))
+    text = F.col("text").cast("string")
+    rows = keyed(docs, F.xxhash64(text), word_count(text)).join(lists, key)
+    rows = rows.withColumn(names["at"], F.row_number().over(Window.partitionBy(*key).orderBy(names["tie"])))
     copies = F.element_at(names["list"], F.col(names["at"])).cast("int")
     rows = rows.where(copies > 0).withColumn(names["at"], F.explode(F.sequence(F.lit(1), copies)))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

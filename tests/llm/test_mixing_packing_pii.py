@@ -61,6 +61,20 @@ def test_large_sizes_are_parted(spark, monkeypatch):
         assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 3
 
 
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7])
+def test_all_rows_of_one_identifier(spark, monkeypatch, ids):
+    """Null or repeated identifiers are parted by their texts: no part holds them all."""
+    monkeypatch.setattr(mixing, "PART_ROWS", 20)
+    data = [(ids(k), f"word{k} of three", "en", "ab"[k % 2], 1) for k in range(400)]
+    out = mixing.mix(frame(spark, data)).collect()
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 3
+    assert mixing.repeat_documents(frame(spark, data)).count() == sum(r.copies for r in out)
+    pieces = packing.pack(packing.cut(frame(spark, data)), shard_pieces=50)
+    assert pieces.count() == 400 and pieces.selectExpr("sequence_id >> 24 as shard").distinct().count() == 8
+
+
 @pytest.mark.parametrize("data", [[], [(1, None, None, None, None)], [(1, "", "en", "a", 0), (1, "", "en", "a", 0)]])
 def test_mix_without_words(spark, data):
     out = mixing.mix(frame(spark, data)).collect()
