@@ -147,7 +147,7 @@ def _holds(x: np.ndarray, names: list[str], conditions: tuple[Condition, ...]) -
     return out
 
 
-def _best_condition(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: int) -> tuple[float, Condition | None]:
+def _best_condition(x: np.ndarray, bad: np.ndarray, names: list[str]) -> tuple[float, Condition | None]:
     """The threshold with the highest FOIL gain over the rows still covered."""
     p0, n0 = bad.sum(), (~bad).sum()
     best: tuple[float, Condition | None] = (0.0, None)
@@ -159,8 +159,6 @@ def _best_condition(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: int)
         ends = np.flatnonzero(v[1:] > v[:-1])
         if not len(ends):
             continue
-        if len(ends) > cuts:
-            ends = ends[np.linspace(0, len(ends) - 1, cuts).astype(int)]
         middle = (v[ends] + v[ends + 1]) / 2
         for above in (False, True):
             p = (p0 - left[ends]) if above else left[ends]
@@ -174,26 +172,26 @@ def _best_condition(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: int)
 
 
 def learn(
-    x: np.ndarray, label: np.ndarray, names: list[str], *, max_rules: int = 24, max_conditions: int = 3,
-    min_precision: float = 0.95, min_covered: int = 3, cuts: int = 512,
-) -> list[Rule]:
+    x: np.ndarray, label: np.ndarray, names: list[str], *, min_precision: float = 0.95, min_covered: int = 3
+) -> list[Rule]:
     """A decision list for label 0. Rows are taken as ordered at random; every third one prunes.
 
-    Without rows of both labels the list is empty and nothing is rejected.
+    Every threshold between two values is tried. A rule grows until it covers no other label or nothing
+    gains; the list ends with the first rule that is not precise or covers too few. Without rows of both labels the list is empty and nothing is rejected.
     """
     bad = label == 0
     prunes = np.arange(len(x)) % 3 == 2
     left, rules = np.ones(len(x), bool), []
-    while len(rules) < max_rules:
+    while True:
         grow = left & ~prunes
         if not (bad & grow).any():
             break
         conditions: tuple[Condition, ...] = ()
-        while len(conditions) < max_conditions:
+        while True:
             now = grow & _holds(x, names, conditions)
             if not (now & ~bad).any() and conditions:
                 break
-            _, found = _best_condition(x[now], bad[now], names, cuts)
+            _, found = _best_condition(x[now], bad[now], names)
             if found is None:
                 break
             conditions += (found,)
@@ -230,14 +228,22 @@ def labelled_sample(labels: DataFrame, limit: int, fold: tuple[int, int] | None
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_LABELLED, fold: tuple[int, int] | None = (3, 1)) -> list[Rule]:
-    """Learn from at most ``limit`` labelled documents; their whole texts are counted on the executors."""
+    """Learn from at most ``limit`` labelled documents; their whole texts are counted on the executors.
+
+    Documents that fail the base rules are not learned from: the list is asked about the others only.
+    Of rows that share an identifier the one with the least counts is taken.
+    """
     sample = labelled_sample(labels, limit, fold)
     texts = id_and_text(docs).join(F.broadcast(sample), "doc_id")
     over = features()
     rows = (
         with_counts(texts, "text", {k: k for k in COUNTS})
+        .groupBy("doc_id", "label")
+        .agg(F.min(F.struct(*COUNTS)).alias("counts"))
+        .select("doc_id", "label", "counts.*")
+        .where(~base_failed())
         .select("doc_id", "label", *[v.alias(f"f_{k}") for k, v in over.items()])
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "f_words")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .toPandas()
     )
     return learn(rows[[f"f_{k}" for k in over]].to_numpy(float), rows["label"].to_numpy(), list(over))
