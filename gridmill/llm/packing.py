@@ -41,6 +41,7 @@ def _encoder(json_path: str, ranks_path: str | None):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(json_path)
+    special = [t.content for t in own.get_added_tokens_decoder().values()]
     slow = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
     if ranks_path is None:
         return slow
@@ -50,7 +51,7 @@ def _encoder(json_path: str, ranks_path: str | None):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(f"ranks:{ranks_path}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow(text) if "<|" in text else np.array(fast.encode_ordinary(text), np.uint32)
+    return lambda text: slow(text) if any(t in text for t in special) else np.array(fast.encode_ordinary(text), np.uint32)
 
 
 def default_tokenizer() -> tuple[str, str | None]:
@@ -145,8 +146,8 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces; within a sequence offsets have no gaps from 0.
 
-    Full pieces are sequences of their own. The shard of a piece follows from its
-    document, start and checksum, so reruns agree up to the order of equal rows.
+    Full pieces are sequences of their own. The shard of a piece follows from its place in the written
+    table, so that repeated rows are dealt evenly too, and a task that is run again deals alike.
     """
     pieces = materialize(pieces, "pieces")
     shards = max(1, ceil(pieces.count() / shard_pieces))
@@ -158,7 +159,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
         where, offset = best_fit_decreasing(group["length"].to_numpy(), window)
         return group[columns].assign(sequence_id=(int(key[0]) << _SHARD_BITS) + where, offset=offset)
 
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("_shard").applyInPandas(run, schema)
 
 

@@ -9,7 +9,7 @@ apart cannot be alike and are not compared; others by their Jaccard likeness.
 
 from __future__ import annotations
 
-from itertools import count
+from itertools import accumulate, count
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,11 +31,10 @@ ANCHORS = (
 CHAIN = 2
 #: After so many words without an anchor, content words begin chains themselves.
 REACH = 4
-#: Sets whose lengths' ratio is below this are not compared, unless ``likeness`` is given another; their likeness counts as 0.
-FLOOR = 0.1
 #: Rows of one ordered bucket, about.
 BUCKET_ROWS = 250
-_COARSE = 256
+#: Identifiers are cut into this many cells squared, of about as many rows each.
+_CELLS = 64
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -79,8 +78,8 @@ def fingerprint(signatures: Column) -> Column:
     return F.concat_ws("", F.transform(signatures, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")))
 
 
-def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
-    """Jaccard likeness, by lengths first: the shorter over the longer bounds it. Two empty sets are alike."""
+def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
+    """Jaccard likeness; two empty sets are alike. With a ``floor``, sets whose lengths' ratio, which bounds it, is below that count as 0."""
     shorter, longer = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
     return (
@@ -88,35 +87,63 @@ def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
     ).cast("double")
 
 
+def _placed(docs: DataFrame, bucket_rows: int) -> DataFrame:
+    """Adds ``cell`` and ``bucket``, both ascending with (doc_id, tie), and ``tie``, a hash of the text.
+
+    Cells are cut at quantiles of the identifiers, so that identifiers with gaps are spread too; within a cell buckets are
+    even steps of the identifier. An identifier that is a quantile twice has a cell of its own, and rows
+    without one too: there buckets are even steps of ``tie``.
+    """
+    cells = _CELLS * _CELLS
+    n, none, low, high = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    cuts: list[int] = []
+    if n > bucket_rows and high is not None:
+        shares = F.array(*(F.lit(k / cells) for k in range(1, cells)))
+        cuts = docs.agg(F.percentile_approx("doc_id", shares, F.lit(16 * cells))).first()[0]
+    often = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    starts = sorted({low or 0, *cuts, *often, *(c + 1 for c in often if c + 1 <= (high or 0))})
+    per_cell = max(1, ceil((n - none) / max(len(set(cuts)), 1) / bucket_rows))
+    own = {c: max(1, ceil(n * sum(x == c for x in cuts) / cells / bucket_rows)) for c in often}
+    parts = [own.get(c, per_cell) for c in starts]
+    firsts = [0, *accumulate(parts)]
+    # The cell is found in two steps: a row of cells, then the cell in it.
+    rows = [starts[k : k + _CELLS] for k in range(0, len(starts), _CELLS)]
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    place = F.col("doc_id")
+    row = F.greatest(F.size(F.filter(longs([r[0] for r in rows]), lambda c: c <= place)), F.lit(1))
+    within = F.size(F.filter(F.element_at(F.array(*(longs(r) for r in rows)), row), lambda c: c <= place))
+    at = lambda xs: F.element_at(longs(xs), F.col("cell"))
+    placed = docs.withColumn("tie", F.xxhash64("text"))
+    placed = placed.withColumn("cell", F.when(place.isNotNull(), F.greatest((row - 1) * _CELLS + within, F.lit(1)).cast("int")).otherwise(F.lit(0)))
+    start, end = at(starts).cast("double"), at([*starts[1:], (high or 0) + 1]) if (high or 0) < (1 << 63) - 1 else at([*starts[1:], high or 0])
+    by_tie = (F.col("tie").cast("double") + float(1 << 63)) / float(1 << 64)
+    by_id = (place.cast("double") - start) / F.greatest(end.cast("double") - start, F.lit(1.0))
+    own_cell = F.array_contains(longs(often), at(starts)) if often else F.lit(False)
+    step = lambda share, of: F.least(F.floor(F.greatest(share, F.lit(0.0)) * of), of - 1)
+    apart = max(1, ceil(none / bucket_rows))
+    bucket = F.when(F.col("cell") == 0, step(by_tie, F.lit(apart)) - apart).otherwise(at(firsts) + step(F.when(own_cell, by_tie).otherwise(by_id), at(parts)))
+    return placed.withColumn("bucket", bucket.cast("long"))
+
+
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, Window]:
     """Rows in ordered buckets of descending doc_id, each bucket ending with a guest: the first row of the bucket after.
 
     Returns the rows with ``guest`` and the window over which ``lead`` finds the next row; drop guests
     after that. Null identifiers come last; rows of one identifier follow a hash of their text.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    cuts = [low or 0]
-    if n > bucket_rows and high is not None:
-        shares = [k / _COARSE for k in range(1, _COARSE)]
-        cuts += docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(100 * _COARSE))).first()[0]
-    cuts = sorted(set(cuts))
-    fine = max(1, ceil(n / len(cuts) / bucket_rows))
-    edges = F.array(*(F.lit(float(c)) for c in [*cuts, (high or 0) + 1]))
-    place = F.col("doc_id").cast("double")
-    # The last edge is above all identifiers, but for rounding of the largest.
-    coarse = F.least(F.size(F.filter(edges, lambda c: c <= place)), F.lit(len(cuts)))
-    at, after = F.element_at(edges, F.col("coarse")), F.element_at(edges, F.col("coarse") + 1)
-    inner = F.least(F.floor((place - at) * F.lit(float(fine)) / F.greatest(after - at, F.lit(1.0))), F.lit(fine - 1))
-    placed = docs.withColumn("coarse", F.when(F.col("doc_id").isNotNull(), coarse))
-    placed = placed.withColumn("bucket", F.coalesce(F.col("coarse") * fine + inner, F.lit(-1)).cast("long")).drop("coarse")
-    placed = placed.withColumn("tie", F.xxhash64("text"))
+    placed = _placed(docs, bucket_rows)
     # One row a bucket; the bucket above takes its first row as a guest, the lowest takes the highest's.
-    heads = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
-    order = Window.orderBy("bucket")
-    heads = heads.select("bucket", "head", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(Window.partitionBy())).alias("host"))
+    # A cell's buckets are ordered among themselves; only the cells, a fixed number, are ordered in one task.
+    heads = placed.groupBy("cell", "bucket").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
     heads = materialize(heads, "bucket-heads")
+    cells = heads.groupBy("cell").agg(F.min("bucket").alias("first"))
+    cells = cells.withColumns({
+        "after": F.lead("first").over(Window.orderBy("cell")), "lowest": F.min("first").over(Window.partitionBy()),
+    }).select("cell", F.coalesce("after", "lowest").alias("after"))
+    heads = heads.withColumn("host", F.lead("bucket").over(Window.partitionBy("cell").orderBy("bucket"))).join(F.broadcast(cells), "cell")
+    heads = materialize(heads.select("bucket", "head", F.coalesce("host", "after").alias("host")), "bucket-hosts")
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tie") == F.col("head.tie"))
-    rows = placed.join(heads, "bucket", "left").withColumn(
+    rows = placed.drop("cell").join(heads, "bucket", "left").withColumn(
         "places",
         F.when(is_head, F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))))
         .otherwise(F.array(F.struct("bucket", F.lit(False).alias("guest")))),

@@ -40,6 +40,32 @@ def test_next_and_edited(spark, bucket_rows, far, monkeypatch):
         assert r.next_sigs == prints[ordered[(k + 1) % len(ordered)][0]]
 
 
+@pytest.mark.parametrize("ids", ["clustered", "null", "one", "third", "far"])
+def test_buckets_are_small_and_in_order(spark, ids, monkeypatch):
+    """Whatever the identifiers, no bucket holds many rows, and buckets follow (doc_id, hash of the text)."""
+    monkeypatch.setattr(spotsigs, "_CELLS", 8)
+    import random
+
+    rng = random.Random(3)
+    of = {
+        "clustered": lambda k: (k % 5 << 40) + k // 5, "null": lambda k: None, "one": lambda k: 7, "third": lambda k: 500 if k % 3 else k,
+        "far": lambda k: rng.choice([-1, 1]) * ((1 << 63) - 1 - k),
+    }[ids]
+    data = [(of(k), f"text {k}", None, None, None) for k in range(3000)]
+    got = spotsigs._placed(frame(spark, data).select("doc_id", "text"), 20).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + 1
+    # At the ends of their range identifiers differ by less than a double tells.
+    assert len(got) == 3000 and (ids == "far" or max(sizes.values()) <= 120)
+    got.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
+    assert [r.bucket for r in got] == sorted(r.bucket for r in got) and [r.cell for r in got] == sorted(r.cell for r in got)
+    rows_, order_by = spotsigs.with_next(frame(spark, data).select("doc_id", "text"), 20)
+    after = {r.text: r.after for r in rows_.withColumn("after", F.lead("text").over(order_by)).where("not guest").collect()}
+    got.reverse()
+    assert len(after) == 3000 and all(after[r.text] == got[(k + 1) % 3000].text for k, r in enumerate(got))
+
+
 def plain(text):
     """Signatures as tuples, by the rule in words."""
     import re
@@ -76,7 +102,8 @@ def test_signatures_against_plain_python(spark):
 
 def test_likeness(spark):
     df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), ([1], list(range(1, 30)))], "a array<long>, b array<long>")
-    assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.0, 0.0]
+    assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"), 0.1)).collect()] == [0.5, 1.0, 0.0, 0.0]
+    assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.0, 1 / 29]
 
 
 def test_short_text_quoted_in_a_long_one(spark, tmp_path):
