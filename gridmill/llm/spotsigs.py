@@ -33,7 +33,7 @@ CHAIN = 2
 REACH = 4
 #: Rows of one ordered bucket, about.
 BUCKET_ROWS = 250
-#: Identifiers are cut into this many cells squared, of about as many rows each.
+#: Identifiers are cut into this many cells squared at most, of about as many rows each.
 _CELLS = 64
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -87,6 +87,11 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
     ).cast("double")
 
 
+def _numbers(xs: list, kind: str = "long") -> Column:
+    """A constant array. One text costs the driver one call, where a column for each number costs one each."""
+    return F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")
+
+
 def _placed(docs: DataFrame, bucket_rows: int) -> DataFrame:
     """Adds ``cell`` and ``bucket``, both ascending with (doc_id, tie), and ``tie``, a hash of the text.
 
@@ -94,11 +99,11 @@ def _placed(docs: DataFrame, bucket_rows: int) -> DataFrame:
     even steps of the identifier. An identifier that is a quantile twice has a cell of its own, and rows
     without one too: there buckets are even steps of ``tie``.
     """
-    cells = _CELLS * _CELLS
     n, none, low, high = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    cells = max(2, min(_CELLS * _CELLS, ceil(n / bucket_rows)))
     cuts: list[int] = []
     if n > bucket_rows and high is not None:
-        shares = F.array(*(F.lit(k / cells) for k in range(1, cells)))
+        shares = _numbers([k / cells for k in range(1, cells)], "double")
         cuts = docs.agg(F.percentile_approx("doc_id", shares, F.lit(16 * cells))).first()[0]
     often = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     starts = sorted({low or 0, *cuts, *often, *(c + 1 for c in often if c + 1 <= (high or 0))})
@@ -107,18 +112,16 @@ def _placed(docs: DataFrame, bucket_rows: int) -> DataFrame:
     parts = [own.get(c, per_cell) for c in starts]
     firsts = [0, *accumulate(parts)]
     # The cell is found in two steps: a row of cells, then the cell in it.
-    rows = [starts[k : k + _CELLS] for k in range(0, len(starts), _CELLS)]
-    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
     place = F.col("doc_id")
-    row = F.greatest(F.size(F.filter(longs([r[0] for r in rows]), lambda c: c <= place)), F.lit(1))
-    within = F.size(F.filter(F.element_at(F.array(*(longs(r) for r in rows)), row), lambda c: c <= place))
-    at = lambda xs: F.element_at(longs(xs), F.col("cell"))
+    row = F.greatest(F.size(F.filter(_numbers(starts[::_CELLS]), lambda c: c <= place)), F.lit(1))
+    within = F.size(F.filter(F.slice(_numbers(starts), (row - 1) * _CELLS + 1, F.lit(_CELLS)), lambda c: c <= place))
+    at = lambda xs: F.element_at(_numbers(xs), F.col("cell"))
     placed = docs.withColumn("tie", F.xxhash64("text"))
     placed = placed.withColumn("cell", F.when(place.isNotNull(), F.greatest((row - 1) * _CELLS + within, F.lit(1)).cast("int")).otherwise(F.lit(0)))
     start, end = at(starts).cast("double"), at([*starts[1:], (high or 0) + 1]) if (high or 0) < (1 << 63) - 1 else at([*starts[1:], high or 0])
     by_tie = (F.col("tie").cast("double") + float(1 << 63)) / float(1 << 64)
     by_id = (place.cast("double") - start) / F.greatest(end.cast("double") - start, F.lit(1.0))
-    own_cell = F.array_contains(longs(often), at(starts)) if often else F.lit(False)
+    own_cell = F.array_contains(_numbers(often), at(starts)) if often else F.lit(False)
     step = lambda share, of: F.least(F.floor(F.greatest(share, F.lit(0.0)) * of), of - 1)
     apart = max(1, ceil(none / bucket_rows))
     bucket = F.when(F.col("cell") == 0, step(by_tie, F.lit(apart)) - apart).otherwise(at(firsts) + step(F.when(own_cell, by_tie).otherwise(by_id), at(parts)))
