@@ -6,6 +6,10 @@ neighbours' index vectors over the learning texts, scaled to length one. A
 document is the mean of its words' vectors, the mean of its shapes' vectors,
 their lengths, its size, and how often words come again; a network of one hidden layer turns that into a
 logit, which a temperature fitted on rows left out of learning calibrates.
+
+Words and shapes are known by the slot their hash falls into (``WORD_SLOTS``, ``SHAPE_SLOTS``), so a model's
+size does not grow with the vocabulary. Learning texts stay on the executors: the driver gets word
+vectors and a pooled vector for each document, both of fixed size.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from gridmill.llm import tokens
 from gridmill.llm.frames import id_and_text
 from gridmill.llm.quality_rules import labelled_sample
+from gridmill.store import materialize
 
 #: Labelled documents whose whole texts are read for learning, at most.
 MAX_LABELLED = 4_000
@@ -159,21 +164,46 @@ def _train(x: np.ndarray, y: np.ndarray, model: Model, epochs: int, rng: np.rand
     model.w1, model.b1, model.w2, model.b2 = p["w1"], p["b1"], p["w2"], float(p["b2"][0])
 
 
-def learn(texts: pa.Array, label: np.ndarray, *, epochs: int = 40, seed: int = 7) -> Model:
-    """Fit on labelled texts; every fifth is left for the temperature. With one label only, that label is likely everywhere."""
-    sized = lambda n: np.zeros((n, DIMENSIONS))
-    words, shapes = sized(WORD_SLOTS), sized(SHAPE_SLOTS)
+def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of all word and shape slots: the index vectors of neighbours, summed over ``texts (text)``, at length one.
+
+    A task sends the slots it has seen; sums are whole numbers, so their order plays no part.
+    """
     index = (_index_vectors(WORD_SLOTS, 1), _index_vectors(SHAPE_SLOTS, 2))
-    for chunk in tokens.chunks(texts):
-        w, s, first = _slots(chunk)
-        _add_contexts(words, w, first, *index[0])
-        _add_contexts(shapes, s, first, *index[1])
-    # What was never seen keeps its own index vector.
-    for total, (at, sign) in ((words, index[0]), (shapes, index[1])):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((n, DIMENSIONS)) for n in (WORD_SLOTS, SHAPE_SLOTS)]
+        for batch in batches:
+            for chunk in tokens.chunks(batch.column(0)):
+                w, s, first = _slots(chunk)
+                for total, slots, vectors in zip(totals, (w, s), index, strict=True):
+                    _add_contexts(total, slots, first, *vectors)
+        for kind, total in enumerate(totals):
+            seen = np.flatnonzero(total.any(axis=1))
+            sums = pa.array([x.tobytes() for x in total[seen].astype(np.int64)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), kind), pa.int32()), pa.array(seen, pa.int32()), sums], names=["kind", "slot", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        slots, which = np.unique(table["slot"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(slots), DIMENSIONS), np.int64)
+        np.add.at(total, which, np.frombuffer(b"".join(table["sums"].to_pylist()), np.int64).reshape(-1, DIMENSIONS))
+        return pa.table({"kind": table["kind"].slice(0, 1).take(pa.array(np.zeros(len(slots), np.int64))), "slot": pa.array(slots, pa.int32()), "sums": pa.array([x.tobytes() for x in total], pa.binary())})
+
+    parts = texts.select("text").mapInArrow(run, "kind int, slot int, sums binary").withColumn("block", F.shiftright("slot", 8))
+    got = parts.groupBy("kind", "block").applyInArrow(lambda t: add(t), "kind int, slot int, sums binary").toArrow()
+    totals = [np.zeros((n, DIMENSIONS)) for n in (WORD_SLOTS, SHAPE_SLOTS)]
+    kinds, slots = got["kind"].to_numpy(), got["slot"].to_numpy()
+    sums = np.frombuffer(b"".join(got["sums"].to_pylist()), np.int64).reshape(-1, DIMENSIONS)
+    for kind, (total, (at, sign)) in enumerate(zip(totals, index, strict=True)):
+        total[slots[kinds == kind]] = sums[kinds == kind]
+        # What was never seen keeps its own index vector.
         unseen = np.flatnonzero(~total.any(axis=1))
         np.add.at(total, (unseen[:, None], at[unseen]), sign[unseen])
-    model = Model(_unit(words), _unit(shapes), np.zeros(1), np.ones(1), np.zeros((1, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
-    x = np.concatenate([np.zeros((0, 2 * DIMENSIONS + _SCALARS)), *(model.pooled(c) for c in tokens.chunks(texts))])
+    return _unit(totals[0]), _unit(totals[1])
+
+
+def fit_network(model: Model, x: np.ndarray, label: np.ndarray, *, epochs: int = 40, seed: int = 7) -> Model:
+    """Train on pooled vectors; every fifth is left for the temperature. With one label only, that label is likely everywhere."""
     y = label.astype(float)
     if not len(x):
         model.mean, model.w1, model.b1, model.w2 = np.zeros(2 * DIMENSIONS + _SCALARS), np.zeros((2 * DIMENSIONS + _SCALARS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN)
@@ -191,13 +221,26 @@ def learn(texts: pa.Array, label: np.ndarray, *, epochs: int = 40, seed: int = 7
 def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_LABELLED, fold: tuple[int, int] | None = (3, 1)) -> Model:
     """Learn from at most ``limit`` labelled documents outside the held-out fold.
 
-    Null labels and documents without an identifier are not learned from.
+    Null labels and documents without an identifier are not learned from; of rows that share an identifier the
+    least text is.
     """
     sample = labelled_sample(labels, limit, fold)
-    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").toArrow()
-    order = np.lexsort((rows["doc_id"].to_numpy(), tokens.mix(rows["doc_id"].to_numpy().astype(np.uint64))))
-    rows = rows.take(pa.array(order[:limit]))
-    return learn(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows["label"].to_numpy())
+    texts = id_and_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "labelled-texts")
+    words, shapes = word_vectors(texts)
+    model = Model(words, shapes, np.zeros(1), np.ones(1), np.zeros((1, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pooled = [x.astype(float).tobytes() for c in tokens.chunks(batch.column("text")) for x in shared.value.pooled(c)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(pooled, pa.binary())], names=["doc_id", "label", "x"])
+
+    rows = texts.mapInArrow(run, "doc_id long, label int, x binary").toArrow()
+    ids = rows["doc_id"].to_numpy()
+    order = np.lexsort((ids, tokens.mix(ids.astype(np.uint64))))
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), float).reshape(-1, 2 * DIMENSIONS + _SCALARS)
+    return fit_network(model, x[order], rows["label"].to_numpy()[order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
