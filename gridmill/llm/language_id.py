@@ -2,10 +2,14 @@
 
 The blended-spectrum presence kernel of two texts is the number of byte n-grams
 (n = 2, 3, 4, any case, other signs as spaces) that both hold, over the
-geometric mean of how many each holds. Kernel ridge regression, one language
+geometric mean of how many each holds; n-grams are hashed into ``SLOTS`` slots, and
+those of one slot count as one (a segment of 4 KB fills about a quarter of them). Kernel ridge regression, one language
 against the rest, is solved in the space spanned by landmark texts (Nyström).
 Long texts are read in segments, all of them, and their scores averaged, so
 the presence of n-grams does not saturate. Scoring is two matrix products.
+
+Learning texts stay on the executors: the driver gets landmarks, sums of kernel rows
+and of their products, and for each text left out its mean kernel row.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm import tokens
@@ -27,6 +31,8 @@ from gridmill.store import materialize
 MAX_PER_LANGUAGE = 600
 MAX_LABELLED = 4_000
 LANDMARKS = 96
+#: Learning texts lie in at most so many parts, each of which sends its sums to the driver.
+SAMPLE_PARTS = 64
 #: So many languages' counts are sent to every executor; more are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
 SLOTS = 1 << 13
@@ -108,36 +114,102 @@ class Model:
         return names, np.array(best)
 
 
-def learn(texts: pa.Array, languages: np.ndarray, *, ridge: float = 1e-2, seed: int = 11) -> Model:
-    """Landmarks are segments drawn evenly over the languages; a tenth of the texts sets the sharpness of the probabilities."""
-    names = sorted(set(languages.tolist()))
-    if not names:
-        return Model([UNKNOWN], np.zeros((1, SLOTS), np.float32), np.zeros((1, 1)), 1.0)
-    xs, ys, docs = [], [], []
-    for chunk in tokens.chunks(texts):
+def _segment_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """By text: identifier, language, the presence matrix of its segments (512 at a time) and their sizes in bytes."""
+    ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
+    for chunk in tokens.chunks(batch.column("text")):
         edges, rows = segments(chunk)
-        xs.append(presence(chunk.data, edges).astype(np.uint8))
-        ys.append(languages[chunk.first_row + rows])
-        docs.append(chunk.first_row + rows)
-    x, lang, doc = np.concatenate(xs), np.concatenate(ys), np.concatenate(docs)
-    rng = np.random.default_rng(seed)
-    chosen = []
-    for name in names:
-        own = np.flatnonzero(lang == name)
-        chosen.append(rng.permutation(own)[: max(2, LANDMARKS // len(names))])
-    model = Model(names, _scaled(x[np.concatenate(chosen)].astype(np.float32)), np.zeros((1, 1)), 1.0)
-    k = np.concatenate([model.kernel(x[a : a + 512].astype(np.float32)) for a in range(0, len(x), 512)])
-    values, vectors = np.linalg.eigh(model.landmarks @ model.landmarks.T)
+        at = np.searchsorted(rows, np.arange(chunk.rows + 1))
+        for k in range(chunk.rows):
+            for a in range(at[k], at[k + 1], 512):
+                b = min(a + 512, at[k + 1])
+                yield ids[chunk.first_row + k], langs[chunk.first_row + k], presence(chunk.data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]), np.maximum(np.diff(edges[a : b + 1]), 1)
+
+
+def landmarks(texts: DataFrame, each: int) -> tuple[np.ndarray, list[str]]:
+    """``each`` segments of each language, picked by hash, and the languages in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            seen: dict[int, int] = {}
+            for doc_id, lang, x, _ in _segment_rows(batch):
+                own, first = best.setdefault(lang, []), seen.get(doc_id, 0)
+                rank = tokens.mix(tokens.mix(np.full(len(x), doc_id, np.int64).astype(np.uint64)) ^ np.arange(first, first + len(x), dtype=np.uint64))
+                own += [(int(r), np.packbits(row.astype(np.uint8)).tobytes()) for r, row in zip(rank >> np.uint64(1), x, strict=True)]
+                seen[doc_id] = first + len(x)
+                best[lang] = sorted(own)[:each]
+        rows = [(lang, *r) for lang, own in best.items() for r in own]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "rank", "bits"])
+
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "bits"))
+    got = texts.mapInArrow(run, "lang string, rank long, bits binary").withColumn("place", place).where(F.col("place") <= each)
+    rows = sorted((r.lang, r.rank, bytes(r.bits)) for r in got.collect())
+    bits = [np.unpackbits(np.frombuffer(r[2], np.uint8)) for r in rows]
+    return np.array(bits, np.float32).reshape(len(rows), SLOTS), sorted({r[0] for r in rows})
+
+
+def kernel_sums(texts: DataFrame, model: Model, leave: bool) -> pa.Table:
+    """Of each task: by language the sum and number of its kernel rows, the sum of their outer products, and left texts' mean rows.
+
+    With ``leave``, a tenth of the texts, by hash, is left out of the sums.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        width = len(m.landmarks)
+        gram, sums, left, first = np.zeros((width, width)), {}, {}, None
+        for batch in batches:
+            for doc_id, lang, x, sizes in _segment_rows(batch):
+                k = m.kernel(x).astype(float)
+                first = doc_id if first is None else min(first, doc_id)
+                if leave and int(tokens.mix(np.array([doc_id], np.int64).astype(np.uint64))[0]) % 10 == 9:
+                    total, weight = left.get((doc_id, lang), (0.0, 0))
+                    left[doc_id, lang] = total + sizes @ k, weight + int(sizes.sum())
+                else:
+                    gram += k.T @ k
+                    total, n = sums.get(lang, (0.0, 0))
+                    sums[lang] = total + k.sum(axis=0), n + len(k)
+        rows = [("sum", first, lang, n, total.tobytes()) for lang, (total, n) in sorted(sums.items())]
+        rows += [("left", doc_id, lang, 1, (total / weight).tobytes()) for (doc_id, lang), (total, weight) in sorted(left.items())]
+        rows += [("gram", first, "", 0, gram.tobytes())] if sums else []
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["kind", "first", "lang", "n", "data"])
+
+    return texts.mapInArrow(run, "kind string, first long, lang string, n long, data binary").toArrow().sort_by([("kind", "ascending"), ("first", "ascending"), ("lang", "ascending")])
+
+
+def learn(texts: DataFrame, *, ridge: float = 1e-2) -> Model:
+    """Kernel ridge regression over ``texts (doc_id, lang, text)``; what is left out sets the sharpness of the probabilities."""
+    n_languages = texts.select("lang").distinct().count()
+    if not n_languages:
+        return Model([UNKNOWN], np.zeros((1, SLOTS), np.float32), np.zeros((1, 1)), 1.0)
+    marks, names = landmarks(texts, max(2, LANDMARKS // n_languages))
+    model = Model(names, _scaled(marks), np.zeros((1, 1)), 1.0)
+    got = kernel_sums(texts, model, leave=True)
+    if "sum" not in got["kind"].to_pylist():
+        got = kernel_sums(texts, model, leave=False)
+    width = len(model.landmarks)
+    gram, by_language, n, left, truth = np.zeros((width, width)), np.zeros((len(names), width)), 0, [], []
+    for r in got.to_pylist():
+        data = np.frombuffer(r["data"], float)
+        if r["kind"] == "gram":
+            gram += data.reshape(width, width)
+        elif r["kind"] == "sum":
+            by_language[names.index(r["lang"])] += data
+            n += r["n"]
+        else:
+            left.append(data)
+            truth.append(names.index(r["lang"]))
+    values, vectors = np.linalg.eigh(model.landmarks.astype(float) @ model.landmarks.T.astype(float))
     keep = values > 1e-6 * values.max() if values.max() > 0 else values > np.inf
     root = vectors[:, keep] / np.sqrt(values[keep])
-    target = np.where(lang[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    left_out = doc % 10 == 9
-    phi = k @ root
-    use = ~left_out if (~left_out).any() else left_out | True
-    solved = np.linalg.solve(phi[use].T @ phi[use] + ridge * use.sum() / 100 * np.eye(phi.shape[1]), phi[use].T @ target[use])
-    model.weights = root @ solved
-    if left_out.any():
-        scores, truth = k[left_out] @ model.weights, np.searchsorted(names, lang[left_out])
+    # One against the rest: 1 for the language's rows, -1 for all others.
+    target = 2 * by_language.T - by_language.sum(axis=0)[:, None]
+    model.weights = root @ np.linalg.solve(root.T @ gram @ root + ridge * n / 100 * np.eye(int(keep.sum())), root.T @ target)
+    if left:
+        scores = np.array(left) @ model.weights
 
         def loss(s: float) -> float:
             model.sharpness = s
@@ -150,7 +222,8 @@ def learn(texts: pa.Array, languages: np.ndarray, *, ridge: float = 1e-2, seed:
 def fit(docs: DataFrame, *, lang: str = "lang", fold: tuple[int, int] | None = (5, 0), per_language: int = MAX_PER_LANGUAGE, limit: int = MAX_LABELLED) -> Model:
     """Learn from about ``per_language`` documents of each language, ``limit`` in all at most, outside the held-out fold.
 
-    Which documents follows from hashes of their identifiers. Null languages and null texts are not learned from.
+    Which documents follows from hashes of their identifiers. Null languages and null texts are not learned from;
+    of rows that share an identifier and a language the least text is.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
@@ -163,10 +236,8 @@ def fit(docs: DataFrame, *, lang: str = "lang", fold: tuple[int, int] | None = (
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(counts, "lang").where(draw < F.lit(float(per_language)) / F.col("n"))
     sample = sample.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit)
-    got = id_and_text(docs).join(F.broadcast(sample), "doc_id").toArrow()
-    got = got.take(pa.array(np.lexsort((got["lang"].to_numpy(zero_copy_only=False).astype(str), got["doc_id"].to_numpy()))[:limit]))
-    texts = got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return learn(texts, np.array(got["lang"].to_pylist(), dtype=object))
+    texts = id_and_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).where(F.col("text").isNotNull())
+    return learn(materialize(texts.repartition(SAMPLE_PARTS, "doc_id").sortWithinPartitions("doc_id", "lang"), "language-texts"))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

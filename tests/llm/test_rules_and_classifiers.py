@@ -6,6 +6,8 @@ import pyarrow as pa
 import pytest
 from corpus import WORD, clashing, frame, rows
 
+from pyspark.sql import functions as F
+
 from gridmill.llm import language_id, quality_classifier, quality_rules
 
 
@@ -93,6 +95,48 @@ def test_classifier_scores_every_row(spark):
     assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
 
 
+def test_word_vectors_against_plain_python(spark, monkeypatch):
+    data = [(k, t, None, None, None) for k, t in enumerate(["a b a c", "c c b", "", "Zed", "a  zed b", None, "d e f g h d"])]
+    texts = frame(spark, data)
+    words, _ = quality_classifier.word_vectors(texts)
+    at, sign = quality_classifier._index_vectors(quality_classifier.WORD_SLOTS, 1)
+
+    def slot(word):
+        (chunk,) = quality_classifier.tokens.chunks(pa.array([word]))
+        return int(quality_classifier._slots(chunk)[0][0])
+
+    def index(word):
+        out = np.zeros(quality_classifier.DIMENSIONS)
+        for a, s in zip(at[slot(word)], sign[slot(word)], strict=True):
+            out[a] += s
+        return out
+
+    total = {}
+    for _, text, *_ in data:
+        own = (text or "").lower().split()
+        for i, w in enumerate(own):
+            for j in range(max(0, i - 2), min(len(own), i + 3)):
+                if j != i:
+                    total[w] = total.get(w, 0) + index(own[j])
+    for w in ["a", "b", "c", "d", "e", "zed", "never"]:
+        want = total.get(w, index(w))
+        np.testing.assert_allclose(words[slot(w)], want / np.linalg.norm(want), atol=1e-6)
+    model = quality_classifier.Model(words, words[: quality_classifier.SHAPE_SLOTS], *([None] * 7))
+    (chunk,) = quality_classifier.tokens.chunks(pa.array(["a b a c"]))
+    np.testing.assert_allclose(model.pooled(chunk)[0][: quality_classifier.DIMENSIONS], np.mean([words[slot(w)] for w in "abac"], axis=0), atol=1e-6)
+
+
+def test_learning_from_a_very_long_text_and_repeats(spark):
+    docs, labels = _labelled(spark, 60)
+    long = " ".join(f"word{k}" for k in range(600_000))
+    more = frame(spark, [(2, long, "en", "a", 1)] * 2 + [(3, "again and again", "en", "a", 1)] * 500)
+    model = quality_classifier.fit(docs.where("doc_id > 3").unionByName(more), labels)
+    assert quality_classifier.score(more, model).where("score between 0 and 1").count() == 502
+    assert len(quality_rules.judge(more, quality_rules.fit(docs.unionByName(more), labels)).where("n_words = 600000").collect()) == 2
+    langs = language_id.fit(more.withColumn("lang", F.lit("en")).unionByName(frame(spark, list(_tongues(60))).selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars")))
+    assert {r.lang_pred for r in language_id.identify(more, langs).where("doc_id = 2").collect()} == {"en"}
+
+
 LETTERS = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
 
 
@@ -120,6 +164,34 @@ def test_language_of_odd_texts(spark):
     assert language_id.identify(odd, nobody).where("lang_pred <> 'und'").count() == 0
 
 
+def test_kernel_and_regression_against_plain_python(spark):
+    """Kernels by sets of n-grams; weights by a ridge over all learning rows at once; a text's score is the mean of its segments'."""
+    data = list(_tongues(30))
+    texts = frame(spark, data).select("doc_id", "lang", "text")
+    marks, names = language_id.landmarks(texts, 4)
+    model = language_id.learn(texts)
+    grams = lambda t: {t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)}
+    like = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    assert names == ["aa", "bb", "cc"] and marks.shape == (12, language_id.SLOTS)
+    by_size = {int(language_id.presence(np.frombuffer(d[1].encode(), np.uint8), np.array([0, len(d[1])])).sum()) for d in data}
+    assert {int(m.sum()) for m in marks} <= by_size
+    # Every text is short, so a landmark is a text.
+    (chunk,) = language_id.tokens.chunks(pa.array([d[1] for d in data]))
+    x = language_id.presence(chunk.data, language_id.segments(chunk)[0])
+    k = np.array([[like(grams(a[1]), grams(b[1])) for b in data] for a in data])
+    # Some 300 n-grams in 8,192 slots: one in thirty falls into a slot that is taken.
+    np.testing.assert_allclose(language_id._scaled(x) @ language_id._scaled(x).T, k, atol=0.1)
+    lang = np.array([d[2] for d in data])
+    target = np.where(lang[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    use = np.array([int(language_id.tokens.mix(np.array([d[0]], np.uint64))[0]) % 10 != 9 for d in data])
+    values, vectors = np.linalg.eigh(model.landmarks.astype(float) @ model.landmarks.T.astype(float))
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    phi = model.kernel(x).astype(float) @ root
+    solved = np.linalg.solve(phi[use].T @ phi[use] + 1e-2 * use.sum() / 100 * np.eye(phi.shape[1]), phi[use].T @ target[use])
+    np.testing.assert_allclose(phi @ solved, model.kernel(x) @ model.weights, atol=1e-3)
+    assert [names[j] for j in (phi @ solved).argmax(axis=1)] == lang.tolist()
+
+
 def test_presence_counts_n_grams_once_and_within_segments():
     texts = ["abab", "abc", "a" * 9000, "", "x"]
     (chunk,) = list(language_id.tokens.chunks(pa.array(texts)))
