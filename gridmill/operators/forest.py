@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.constants import MAX_DEPTH, NUM_CLASSES, NUM_TREES
+from gridmill.shipping import ship
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, cls int"
 #: Above this many nodes expressions give way to an Arrow function: the JVM bounds a method's size.
@@ -145,6 +146,7 @@ def train(samples: DataFrame, features: list[str], config: ForestConfig = Forest
 
     Samples are painted pixels, a few for each image, whatever the size of the images. Features are taken in single precision.
     """
+    ship(samples.sparkSession)
     drawn = bootstrap(samples, config.trees).join(samples.select("row", *features, "cls"), "row")
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -204,6 +206,7 @@ def probabilities(rows: DataFrame, forest: Sequence[Node], features: list[str],
 
 
 def _probabilities_by_arrow(rows: DataFrame, trees: list[dict[int, Node]], features: list[str], classes: int, max_visits: int | None) -> DataFrame:
+    ship(rows.sparkSession)
     tables = []
     for tree in trees:
         ordered = [tree[k] for k in range(len(tree))]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmill.store import materialize
+from gridmill.store import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def components(edges: DataFrame, rounds: int = 64, few: int = 0) -> DataFrame:
     now = materialize(_clean(edges.select("a", "b")), "links")
     before = None
     for _ in range(rounds):
-        now = materialize(_clean(_small_star(_clean(_large_star(now)))), "links")
+        last, now = now, materialize(_clean(_small_star(_clean(_large_star(now)))), "links")
+        release(last)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -134,7 +134,8 @@ def luma_expr(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(grey * 1000).cast("long").alias("luma"))
 
 
-@query(None)
+@query("""SELECT 'sample.tif [ch' || c.range || ']' AS image_id, x.range AS x, y.range AS y, y.range * 24 + x.range AS i, CAST((y.range * 24 + x.range) * 2 + c.range AS DOUBLE) AS v
+  FROM range(2) c, range(24) x, range(30) y""")
 def src_tiff(spark, sf_dir):
     """A file written by our own encoder and read back through Spark's file reader, channel by channel."""
     from gridmill.sources import images
@@ -147,7 +148,7 @@ def src_tiff(spark, sf_dir):
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
     out.write(bytearray(tiff.encode(plane)))
     out.close()
-    return images.pixels(images.read_tiff_rows(spark, path))
+    return _pixels(images.pixels(images.read_tiff_rows(spark, path)))
 
 
 # --- projections ---------------------------------------------------------------------------------
@@ -374,10 +375,46 @@ def tree_depth1(spark, sf_dir):
     return _longs(top, "side", "cls")
 
 
-@query(None)
+def _forest_sql(trees: int, depth: int) -> str:
+    """Bootstrap, then every open node of a level split at once; nodes are numbered by their paths, left before right."""
+    names = ", ".join(EMBED_FEATURES)
+    side = f"CASE b.feature {' '.join(f'WHEN {k} THEN s.{f}' for k, f in enumerate(EMBED_FEATURES))} END < b.threshold"
+    steps = [f"""{sql.EMBED_ROWS}, rows AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, {names}, cls FROM emb), n AS (SELECT count(*) AS n FROM emb),
+      dr AS (SELECT t.range AS tree, k.range AS k, (t.range * 7919 + k.range * 104729 + 1) % 2147483648 AS s0, n FROM n, range({trees}) t, range((SELECT n FROM n)) k),
+      bs AS (SELECT tree, CAST(((((s0 * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % n AS BIGINT) AS row FROM dr),
+      s0 AS (SELECT tree, '' AS path, {names}, cls FROM bs JOIN rows USING (row))"""]
+    for d in range(depth + 1):
+        steps.append(f"""c{d} AS (SELECT tree, path, cls, count(*) AS n FROM s{d} GROUP BY 1, 2, 3),
+          t{d} AS (SELECT tree, path, sum(n) AS n, count(*) AS kinds, arg_min(cls, (-n, cls)) AS majority FROM c{d} GROUP BY 1, 2)""")
+        if d == depth:
+            steps.append(f"n{d} AS (SELECT tree, path, -1 AS feature, 0.0::DOUBLE AS threshold, majority AS cls FROM t{d})")
+            continue
+        body = _split_sql("g").split("long AS", 1)[1].replace("FROM emb", f"FROM e{d}")
+        for name in ("cell", "run", "imp", "best"):
+            body = body.replace(f"{name} AS (", f"{name}{d} AS (").replace(f"FROM {name} ", f"FROM {name}{d} ").replace(f"FROM {name})", f"FROM {name}{d})")
+        body = body.replace("FROM long ", f"FROM long{d} ")
+        steps.append(f"""e{d} AS (SELECT tree || ':' || path AS g, {names}, cls FROM s{d} JOIN (SELECT tree, path FROM t{d} WHERE n >= 2 AND kinds > 1) USING (tree, path)), long{d} AS {body},
+          n{d} AS (SELECT t.tree, t.path, coalesce(b.feature, -1) AS feature, coalesce(b.threshold, 0.0)::DOUBLE AS threshold, CASE WHEN b.g IS NULL THEN majority ELSE -1 END AS cls
+            FROM t{d} t LEFT JOIN best{d} b ON b.g = t.tree || ':' || t.path),
+          s{d + 1} AS (SELECT s.tree, s.path || CASE WHEN {side} THEN 'L' ELSE 'R' END AS path, {", ".join(f"s.{f}" for f in EMBED_FEATURES)}, s.cls FROM s{d} s JOIN best{d} b ON b.g = s.tree || ':' || s.path)""")
+    every = " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(depth + 1))
+    return f"""WITH {", ".join(steps)}, nodes AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS node FROM ({every}))
+      SELECT a.tree, a.node, CAST(a.feature AS BIGINT) AS feature, a.threshold, CASE WHEN a.feature < 0 THEN -1 ELSE a.node + 1 END AS "left", CASE WHEN a.feature < 0 THEN -1 ELSE r.node END AS "right", CAST(a.cls AS BIGINT) AS cls
+      FROM nodes a LEFT JOIN nodes r ON r.tree = a.tree AND r.path = a.path || 'R'"""
+
+
+@query(_forest_sql(8, 8))
 def forest_train(spark, sf_dir):
     rows = _embed(spark, sf_dir).withColumn("row", (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long"))
-    return forest.train(rows, EMBED_FEATURES)
+    return _longs(forest.train(rows, EMBED_FEATURES), "tree", "node", "feature", "left", "right", "cls")
+
+
+@query(None)
+def retrain(spark, sf_dir):
+    """Train on painted pixels of all images, classify every pixel, count each class's objects."""
+    painted = _painted(spark, sf_dir)
+    labels_ = painted.select("image_id", F.col("i"), F.col("cls").cast("int").alias("cls"))
+    return _longs(pipeline.retrain(events_raster(spark, sf_dir), labels_, *EVENTS_SIZE, SIGMA), "cls")
 
 
 @query("SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, CAST(feature AS BIGINT) AS feature, CAST(threshold AS DOUBLE) AS threshold, CAST(l AS BIGINT) AS \"left\", CAST(r AS BIGINT) AS \"right\", CAST(cls AS BIGINT) AS cls FROM (VALUES "
@@ -430,6 +467,12 @@ def mask_threshold(spark, sf_dir):
     return _longs(pipeline.class_masks(_classified(spark, sf_dir)).select("image_id", "cls", "i"), "cls")
 
 
+@query(sql.select(sql.CLASSIFIED, " UNION ALL ".join(f"SELECT image_id, {c}::BIGINT AS cls, i FROM prob WHERE p{c} >= 0.25" for c in range(4))))
+def mask_membership(spark, sf_dir):
+    """At a quarter of the votes a pixel may be in several classes' masks."""
+    return _longs(pipeline.class_masks(_classified(spark, sf_dir), threshold=0.25), "cls", "i").select("image_id", "cls", "i")
+
+
 @query(sql.select(f"{sql.SHIP}, m AS (SELECT r2.image_id, r2.x, r2.y, r2.i FROM r2 JOIN (SELECT image_id, avg(v) AS a FROM r2 GROUP BY 1) q USING (image_id) WHERE r2.v >= q.a)",
   "SELECT a.image_id, a.i AS a, b.i AS b FROM m a JOIN m b ON b.image_id = a.image_id AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1))"))
 def neighbor_edges(spark, sf_dir):
@@ -441,6 +484,13 @@ def ccl_labels(spark, sf_dir):
     return _labelled(spark, sf_dir).select("image_id", "i", "label")
 
 
+@query(sql.select(sql.OBJECTS, "SELECT image_id, i, label FROM lab"))
+def ccl_tiles(spark, sf_dir):
+    """The same components from tiles of 7 x 7 pixels, joined across their borders."""
+    mask = raster.at_least_mean(events_raster(spark, sf_dir))
+    return ccl.label_components(mask, *EVENTS_SIZE, tile=7).select("image_id", F.col("i").cast("long").alias("i"), "label")
+
+
 @query(sql.select(sql.OBJECTS, "SELECT image_id, i, CAST(coalesce(lab.label, 0) AS BIGINT) AS label FROM r1 LEFT JOIN lab USING (image_id, i)"))
 def ccl_label_map(spark, sf_dir):
     return ccl.label_map(events_raster(spark, sf_dir), _labelled(spark, sf_dir))
@@ -480,6 +530,14 @@ def markers_visible(spark, sf_dir):
     return _longs(objects.markers(_class_objects(spark, sf_dir), visible).select("image_id", "cls", "label", "area"), "cls")
 
 
+@query(sql.select(sql.OBJECTS, "SELECT image_id, label, area, sum_x / area AS cx, round(1.5 + 1.6 * ln(area), 9) AS radius FROM obj WHERE label % 4 <> 1"))
+def markers_shown(spark, sf_dir):
+    """Objects of four classes, of which one is hidden and one has no setting."""
+    visible = spark.createDataFrame([(1, False), (2, True), (3, True)], "cls int, visible boolean")
+    found = _objects(spark, sf_dir).withColumn("cls", (F.col("label") % 4).cast("int"))
+    return objects.markers(found, visible).select("image_id", "label", "area", "cx", F.round("radius", 9).alias("radius"))
+
+
 _COUNTS = "SELECT c.range AS cls, count(obj.label) AS objects FROM range(4) c LEFT JOIN obj ON obj.cls = c.range GROUP BY 1"
 
 

@@ -15,19 +15,25 @@ _PACKAGE = Path(__file__).resolve().parent
 _sent: set[str] = set()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process; ``local-cluster`` is not."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def _found_anyway() -> bool:
-    """Workers inherit PYTHONPATH, and look in the folder they start in."""
+    """Workers of a local session inherit PYTHONPATH, and look in the folder they start in."""
     root = str(_PACKAGE.parent)
     return root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to all executors, once for each application, where they are not on the path.
+    """Send the package's sources to all executors, once for each application; a local session's may be on the path.
 
-    Spark serves the archive from the driver, to executors that start later too.
+    What the driver's own path holds says nothing about other machines. Spark serves the archive from the driver, to executors that start later too.
     """
     app = spark.sparkContext.applicationId
-    if app in _sent or _found_anyway():
+    if app in _sent or (is_local(spark) and _found_anyway()):
         return
     folder = tempfile.mkdtemp(prefix="gridmill-code-")
     atexit.register(shutil.rmtree, folder, True)

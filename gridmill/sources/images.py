@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridmill.functions.scalars import channel_name
+from gridmill.shipping import ship
 from gridmill.sources import tiff
 
 _SCHEMA = "name string, file_size long, width int, height int, channel int, channels int, dtype string, y int, row array<double>"
@@ -40,6 +41,7 @@ def _batches(rows: Iterator[tuple], most: int = 256) -> Iterator[pa.RecordBatch]
 
 def read_tiff_rows(spark: SparkSession, path: str) -> DataFrame:
     """A row of samples for each image row and channel of the TIFF files under ``path``."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]*").load(path).select("path", "length", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,9 +53,24 @@ def read_tiff_rows(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, _SCHEMA)
 
 
+def _photos(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").option("pathGlobFilter", "*.{png,PNG,jpg,JPG,jpeg,JPEG}").load(path)
+
+
+def unreadable_photos(spark: SparkSession, path: str) -> DataFrame:
+    """``(origin)`` of files under ``path`` that are named like pictures and cannot be read as such."""
+    return _photos(spark, path).where(F.col("image.nChannels") < 0).select("image.origin")
+
+
 def read_photo_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The luma of PNG and JPG files, row by row. Spark's image reader gives blue, green, red."""
-    files = spark.read.format("image").option("pathGlobFilter", "*.{png,PNG,jpg,JPG,jpeg,JPEG}").option("dropInvalid", True).load(path)
+    """The luma of PNG and JPG files, row by row. Spark's image reader gives blue, green, red.
+
+    A file that is no picture is an error that names it; :func:`unreadable_photos` lists such files beforehand.
+    """
+    ship(spark)
+    files = _photos(spark, path)
+    valid = F.raise_error(F.concat(F.lit("not a picture: "), F.col("image.origin")))
+    files = files.where(F.when(F.col("image.nChannels") < 0, valid.cast("boolean")).otherwise(F.lit(True)))
     files = files.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.operators.labels import PIXEL, keep_latest
-from gridmill.store import shared_dir
+from gridmill.store import complete_tables, remove, shared_dir
 
 
 def debounced(events: DataFrame, gap: str, by: list[str], ts: str = "ts", watermark: str | None = None) -> DataFrame:
@@ -35,26 +35,38 @@ def primary_only(pointers: DataFrame) -> DataFrame:
 
 
 class LabelStore:
-    """Labels as a table of the shared folder, replaced by each micro-batch of edits (a null class erases).
+    """Labels as a table of a shared folder, replaced by each micro-batch of edits (a null class erases).
 
-    Versions are numbered by batch, so a batch that is run again writes the same version.
+    Versions are numbered by opening of the store and by batch. A store that is opened again goes on from the newest version
+    that was written to its end; a batch that is run again starts from the version before it, so its result is the same.
+    The newest two versions are kept. ``folder`` is by default the session's shared folder.
     """
 
-    def __init__(self, spark, name: str) -> None:
-        self._spark, self._path, self._version = spark, f"{shared_dir(spark)}/labels-{name}", None
+    def __init__(self, spark, name: str, folder: str | None = None) -> None:
+        self._spark, self._path = spark, f"{folder or shared_dir(spark)}/labels-{name}"
+        self._opening = max((v[0] for v in self._versions()), default=-1) + 1
 
-    def labels(self) -> DataFrame:
-        if self._version is None:
+    def _versions(self) -> list[tuple[int, int]]:
+        return sorted(tuple(map(int, v.split("-"))) for v in complete_tables(self._spark, self._path))
+
+    def _read(self, version: tuple[int, int] | None) -> DataFrame:
+        if version is None:
             return self._spark.createDataFrame([], "image_id string, x int, y int, cls int")
-        return self._spark.read.parquet(f"{self._path}/{self._version}")
+        return self._spark.read.parquet(f"{self._path}/{version[0]}-{version[1]}")
+
+    def labels(self) -> DataFrame:
+        return self._read(max(self._versions(), default=None))
 
     def apply(self, edits: DataFrame, batch: int) -> None:
+        now = (self._opening, batch)
+        before = [v for v in self._versions() if v < now]
         latest = edits.withColumn("order", F.col("ts"))
         touched = edits.select(*PIXEL).distinct()
-        kept = self.labels().join(touched, PIXEL, "left_anti")
+        kept = self._read(max(before, default=None)).join(touched, PIXEL, "left_anti")
         merged = kept.unionByName(keep_latest(latest, ["order", "event_id"]))
-        merged.write.mode("overwrite").parquet(f"{self._path}/{batch}")
-        self._version = batch
+        merged.write.mode("overwrite").parquet(f"{self._path}/{now[0]}-{now[1]}")
+        for a, b in before[:-1]:
+            remove(self._spark, f"{self._path}/{a}-{b}")
 
     def sink(self) -> Callable[[DataFrame, int], None]:
         """For ``writeStream.foreachBatch``."""

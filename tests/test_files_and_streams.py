@@ -151,3 +151,62 @@ def test_pointers_and_export(spark):
     (plane,) = tree["Input Data"]["local_data"].values()
     assert plane[0] == (1, 3, 4) and np.frombuffer(plane[1], np.float32).tolist() == [float(k) for k in range(12)]
     assert tree["PixelClassification"]["LabelSets"]["labels000"]["block0000"][2]["blockSlice"] == "[2:3,1:2,0:1]"
+
+
+def test_label_store_opens_again(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    edits = lambda *rows: spark.createDataFrame(rows, "image_id string, x int, y int, cls int, ts long, event_id long")
+    store = events.LabelStore(spark, "a", folder)
+    assert store.labels().count() == 0
+    store.apply(edits(("a", 0, 0, 1, 1, 1), ("a", 1, 0, 2, 2, 2)), 0)
+    store.apply(edits(("a", 1, 0, None, 3, 3)), 1)
+    store.apply(edits(("a", 5, 5, 3, 4, 4)), 2)
+    again = events.LabelStore(spark, "a", folder)
+    assert sorted(map(tuple, again.labels().collect())) == [("a", 0, 0, 1), ("a", 5, 5, 3)]
+    # A new stream counts its batches from 0; the same batch twice gives the same labels; an unfinished version does not count.
+    for _ in range(2):
+        again.apply(edits(("a", 9, 9, 0, 5, 5)), 0)
+    (tmp_path / "labels-a" / "9-9").mkdir()
+    third = events.LabelStore(spark, "a", folder)
+    assert sorted(map(tuple, third.labels().collect())) == [("a", 0, 0, 1), ("a", 5, 5, 3), ("a", 9, 9, 0)]
+    assert len([p for p in (tmp_path / "labels-a").iterdir() if (p / "_SUCCESS").exists()]) == 2
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from gridmill import shipping, store
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1000]"
+
+    assert not shipping.is_local(Session) and shipping.is_local(spark)
+    with pytest.raises(RuntimeError):
+        store.shared_dir(Session)
+    sent = []
+    Session.sparkContext.applicationId, Session.sparkContext.addPyFile = "app-x", staticmethod(sent.append)
+    monkeypatch.setenv("PYTHONPATH", str(shipping._PACKAGE.parent))
+    shipping.ship(Session)
+    shipping.ship(Session)
+    assert len(sent) == 1
+
+
+def test_tables_are_released(spark):
+    import os
+
+    from gridmill import store
+
+    df = store.materialize(spark.range(3), "few")
+    path = df._gridmill_table.removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(path)
+    store.release(df)
+    assert not os.path.exists(path)
+
+
+def test_unreadable_photos(spark, tmp_path):
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    assert [r.origin.rsplit("/", 1)[-1] for r in images.unreadable_photos(spark, str(tmp_path)).collect()] == ["broken.png"]
+    with pytest.raises(Exception, match="not a picture"):
+        images.read_photo_rows(spark, str(tmp_path)).count()
