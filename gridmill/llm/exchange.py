@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm import tokens
+from gridmill.shipping import ship
 
 #: Bytes of text whose items a bucket gets at least, about; their growth with the root of all bytes.
 BUCKET_BYTES = 12 << 20
@@ -45,6 +46,7 @@ RECORD_SCHEMA = "bucket int, parcel string, directory boolean, data array<binary
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty), and the key of a row: its identifier without null, and two hashes of its text."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     return docs.select(

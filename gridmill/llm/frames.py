@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridmill.shipping import ship
+
 
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores in front until no column is called that (case does not count)."""
@@ -25,6 +27,7 @@ def with_batch_columns(
 
     The added names must be free; see :func:`fresh`.
     """
+    ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *added])
     names, at = [f.name for f in schema.fields], df.columns.index(text)
 
@@ -37,4 +40,5 @@ def with_batch_columns(
 
 def id_and_text(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that other columns, whatever their names, play no part."""
+    ship(df.sparkSession)
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
