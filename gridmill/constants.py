@@ -17,6 +17,8 @@ OVERLAY_ALPHA = 0.4
 DEFAULT_SIGMA = 1.0
 #: The second scale of the difference of Gaussians, as a share of the first.
 SECOND_SCALE = 0.66
+#: Fixed value: the filter bank's widest kernel reaches so many pixels to either side.
+MAX_RADIUS = 32
 
 MARKER_MIN_RADIUS = 1.5
 MARKER_LOG_SCALE = 1.6

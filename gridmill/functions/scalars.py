@@ -40,6 +40,16 @@ def contrast_window(v: Column, low: Column, high: Column) -> Column:
     return clamp((v - low) / F.greatest(high - low, F.lit(1e-4)), 0.0, 1.0)
 
 
+def with_low(low: Column, high: Column) -> Column:
+    """A display window after its lower edge was moved: it stops at the upper one."""
+    return F.struct(F.least(low, high).alias("low"), high.alias("high"))
+
+
+def with_high(low: Column, high: Column) -> Column:
+    """The same for the upper edge."""
+    return F.struct(low.alias("low"), F.greatest(high, low).alias("high"))
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 

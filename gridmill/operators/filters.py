@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.constants import DEFAULT_SIGMA, SECOND_SCALE
+from gridmill.constants import DEFAULT_SIGMA, MAX_RADIUS, SECOND_SCALE
 
 FEATURES = [f"f{k}" for k in range(8)]
 
@@ -43,7 +43,12 @@ def half_kernel(sigma: float, order: int = 0) -> list[float]:
 
 
 def kernels(sigma: float = DEFAULT_SIGMA) -> dict[str, dict[int, float]]:
-    """Weights by offset of smoothing, first and second derivative, and smoothing at the smaller scale."""
+    """Weights by offset of smoothing, first and second derivative, and smoothing at the smaller scale.
+
+    Every tap is a window expression, so their number is bounded: a radius above ``MAX_RADIUS`` is an error.
+    """
+    if ceil(4 * sigma) > MAX_RADIUS:
+        raise ValueError(f"sigma {sigma} needs a radius of {ceil(4 * sigma)}, more than {MAX_RADIUS}")
     out = {}
     for name, scale, order in (("k0", sigma, 0), ("k1", sigma, 1), ("k2", sigma, 2), ("k0s", sigma * SECOND_SCALE, 0)):
         half = half_kernel(scale, order)

@@ -180,6 +180,14 @@ def contrast_window(spark, sf_dir):
     return events_raster(spark, sf_dir).select("image_id", "i", grey.alias("grey"), scalars.contrast_window(F.col("v"), F.lit(2.0), F.lit(2.0)).alias("narrow"))
 
 
+@query("""SELECT event_id, least(value, 40.0) AS low_moved, greatest(value, 60.0) AS high_moved FROM events""")
+def window_edit(spark, sf_dir):
+    """Each event's value as the new lower edge of a window up to 40, and as the new upper edge of one from 60 on."""
+    value = F.col("value")
+    low, high = scalars.with_low(value, F.lit(40.0)), scalars.with_high(F.lit(60.0), value)
+    return table(spark, sf_dir, "events").select("event_id", low["low"].alias("low_moved"), high["high"].alias("high_moved"))
+
+
 @query("SELECT x AS zoom_in, round(greatest(0.1, least(32.0, exp(-x * 0.01)))::DOUBLE, 9) AS scale, (x - 3.0 - 1.5) / 2.0 AS board, round(1 - power(1 - x / 100.0, 3), 9) AS eased FROM (SELECT CAST(p_size AS DOUBLE) AS x FROM part)")
 def camera(spark, sf_dir):
     x = F.col("p_size").cast("double")

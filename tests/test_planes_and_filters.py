@@ -54,6 +54,9 @@ def test_kernels():
         assert abs(sum(k["k2"].values())) < 1e-6 and abs(sum(d * d * w / 2 for d, w in k["k2"].items()) - 1) < 1e-5
     with pytest.raises(ValueError):
         filters.half_kernel(0)
+    assert max(filters.kernels(8.0)["k2"]) == 32
+    with pytest.raises(ValueError):
+        filters.kernels(8.1)
 
 
 def test_features_match_numpy_and_each_other(spark):
