@@ -123,3 +123,17 @@ def test_shares(spark):
     assert (r["gini"], r["pure"], r["majority"]) == (0.5, False, 0)
     samples, _ = rows_of(spark, [(0,)] * 3, [1, 1, 0])
     assert forest.class_shares(samples.selectExpr("0 as g", "cls"), "g").first()["majority"] == 1
+
+
+def test_train_classify_and_count(spark):
+    """Two bright squares on a dark ground, every pixel labelled: two objects of class 1, one of class 0."""
+    from gridmill.plans import pipeline
+
+    bright = lambda x, y: (2 <= x < 8 and 2 <= y < 8) or (13 <= x < 19 and 11 <= y < 17)
+    grid = [("a", x, y, y * 22 + x, 200.0 if bright(x, y) else 10.0) for y in range(20) for x in range(22)]
+    pixels = spark.createDataFrame(grid, "image_id string, x int, y int, i long, v double")
+    labels = pixels.selectExpr("image_id", "i", "cast(v > 100 as int) as cls")
+    counts = {r.cls: r.objects for r in pipeline.retrain(pixels, labels, 22, 20).collect()}
+    assert counts == {0: 1, 1: 2, 2: 0, 3: 0}
+    few = pipeline.retrain(pixels, labels.limit(4), 22, 20)
+    assert {r.cls: r.objects for r in few.collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
