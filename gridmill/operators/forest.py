@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 
 from gridmill.constants import MAX_DEPTH, NUM_CLASSES, NUM_TREES
 from gridmill.shipping import ship
+from gridmill.store import materialize, release
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, cls int"
 #: Above this many nodes expressions give way to an Arrow function: the JVM bounds a method's size.
 MOST_EXPRESSION_NODES = 4_000
+#: Above this many samples all executors grow the trees together, level by level; up to it a task grows a tree. Both give the same forest.
+MOST_TASK_SAMPLES = 500_000
+#: Ranges of values that a feature is cut into where executors search for splits together.
+VALUE_RANGES = 64
 
 
 @dataclass(frozen=True)
@@ -30,6 +35,11 @@ class ForestConfig:
     min_split: int = 2
     classes: int = NUM_CLASSES
 
+    @classmethod
+    def of(cls, trees: int | None = None, depth: int | None = None, min_split: int | None = None, classes: int | None = None) -> ForestConfig:
+        """A forest on its own, apart from the application's: what is missing or 0 is 10 trees of depth 10, two rows to split, two classes."""
+        return cls(trees or 10, depth or 10, min_split or 2, classes or 2)
+
 
 # --- bootstrap -----------------------------------------------------------------------------------
 
@@ -41,22 +51,22 @@ def draw(tree: Column, k: Column, n: Column | int) -> Column:
     return F.floor(step(step(seed)) / 65536) % n
 
 
-def bootstrap(spark_df: DataFrame, trees: int) -> DataFrame:
+def bootstrap(samples: DataFrame, trees: int) -> DataFrame:
     """``(tree, k, row)`` over rows numbered ``row`` from 0; a single tree takes all rows in order."""
-    n = spark_df.agg(F.count("*").alias("n"))
-    rows = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).where(F.col("n") > 0)
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    drawn = F.col("k") if trees == 1 else draw(F.col("tree"), F.col("k"), F.col("n"))
+    n = samples.count()
+    rows = samples.sparkSession.range(n).withColumnRenamed("id", "k").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = F.col("k") if trees == 1 else draw(F.col("tree"), F.col("k"), n)
     return rows.select("tree", "k", drawn.cast("long").alias("row"))
 
 
 # --- impurity as aggregates ---------------------------------------------------------------------
 
 
-def class_shares(rows: DataFrame, by: str, cls: str = "cls") -> DataFrame:
-    """Of each group: size, Gini impurity, purity and majority class."""
-    counts = rows.groupBy(by, cls).agg(F.count("*").alias("n"))
-    return counts.groupBy(by).agg(
+def class_shares(rows: DataFrame, by: str | list[str], cls: str = "cls", weight: Column | None = None) -> DataFrame:
+    """Of each group: size, Gini impurity, purity and majority class. A row counts ``weight`` times, once unless given."""
+    by = [by] if isinstance(by, str) else by
+    counts = rows.groupBy(*by, cls).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
+    return counts.groupBy(*by).agg(
         F.sum("n").alias("size"),
         (1 - F.sum(F.col("n").cast("double") * F.col("n")) / F.pow(F.sum("n").cast("double"), F.lit(2.0))).alias("gini"),
         (F.count("*") == 1).alias("pure"),
@@ -64,29 +74,59 @@ def class_shares(rows: DataFrame, by: str, cls: str = "cls") -> DataFrame:
     )
 
 
-def best_splits(rows: DataFrame, features: list[str], classes: int, by: list[str]) -> DataFrame:
+def value_ranges(rows: DataFrame, features: list[str], ranges: int = VALUE_RANGES) -> list[list[float]]:
+    """For each feature the values, about evenly far apart in rank, at which ranges of its values begin."""
+    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    cuts = rows.agg(*[F.percentile_approx(f, shares).alias(f) for f in features]).first()
+    return [sorted(set(c or ())) or [-float("inf")] for c in cuts]
+
+
+def best_splits(rows: DataFrame, features: list[str], classes: int, by: list[str], weight: Column | None = None, ranges: list[list[float]] | None = None) -> DataFrame:
     """For each group its best split ``(feature, threshold, impurity)``; groups with no two different values have none.
 
     Rows become one for each feature and value with counts by class; running sums give every midpoint's two sides.
+    With ``ranges`` (of :func:`value_ranges`) sums run within ranges of values, and over the few ranges: no task
+    then holds all values of a group's feature. A row counts ``weight`` times, once unless given.
     """
-    counts = [F.sum((F.col("cls") == c).cast("long")).alias(f"c{c}") for c in range(classes)]
+    weight = F.lit(1).cast("long") if weight is None else weight
+    every_class = range(classes)
     names = ", ".join(f"{k}, `{f}`" for k, f in enumerate(features))
-    long = rows.select(*by, "cls", F.expr(f"stack({len(features)}, {names}) as (feature, value)"))
+    long = rows.select(*by, "cls", weight.alias("_weight"), F.expr(f"stack({len(features)}, {names}) as (feature, value)"))
+    counts = [F.sum(F.when(F.col("cls") == c, F.col("_weight")).otherwise(0).cast("long")).alias(f"c{c}") for c in every_class]
     cells = long.groupBy(*by, "feature", "value").agg(*counts)
-    line = Window.partitionBy(*by, "feature").orderBy("value")
-    every = Window.partitionBy(*by, "feature")
+    keys = [*by, "feature"]
+    if ranges is None:
+        line = Window.partitionBy(*keys).orderBy("value")
+        following = F.lead("value").over(line)
+        before = [F.lit(0)] * classes
+        totals = [F.sum(f"c{c}").over(Window.partitionBy(*keys)) for c in every_class]
+    else:
+        starts = F.split(F.element_at(F.array(*[F.lit(" ".join(map(repr, r))) for r in ranges]), F.col("feature") + 1), " ").cast("array<double>")
+        cells = cells.withColumn("range", F.size(F.filter(starts, lambda start: start <= F.col("value"))))
+        parts = cells.groupBy(*keys, "range").agg(F.min("value").alias("first"), *[F.sum(f"c{c}").alias(f"s{c}") for c in every_class])
+        over = Window.partitionBy(*keys).orderBy("range")
+        parts = parts.select(
+            *keys, "range", F.lead("first").over(over).alias("beyond"),
+            *[F.coalesce(F.sum(f"s{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"b{c}") for c in every_class],
+            *[F.sum(f"s{c}").over(Window.partitionBy(*keys)).alias(f"a{c}") for c in every_class],
+        )
+        cells = cells.join(parts, [*keys, "range"])
+        line = Window.partitionBy(*keys, "range").orderBy("value")
+        following = F.coalesce(F.lead("value").over(line), F.col("beyond"))
+        before = [F.col(f"b{c}") for c in every_class]
+        totals = [F.col(f"a{c}") for c in every_class]
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.select(
-        *by, "feature", ((F.col("value") + F.lead("value").over(line)) / 2).alias("threshold"),
-        *[F.sum(f"c{c}").over(upto).alias(f"l{c}") for c in range(classes)],
-        *[F.sum(f"c{c}").over(every).alias(f"t{c}") for c in range(classes)],
+        *by, "feature", ((F.col("value") + following) / 2).alias("threshold"),
+        *[(before[c] + F.sum(f"c{c}").over(upto)).alias(f"l{c}") for c in every_class],
+        *[totals[c].alias(f"t{c}") for c in every_class],
     ).where(F.col("threshold").isNotNull())
-    left = sum((F.col(f"l{c}") for c in range(classes)), F.lit(0))
-    total = sum((F.col(f"t{c}") for c in range(classes)), F.lit(0))
+    left = sum((F.col(f"l{c}") for c in every_class), F.lit(0))
+    total = sum((F.col(f"t{c}") for c in every_class), F.lit(0))
     cells = cells.withColumns({"nl": left, "nt": total}).withColumn("nr", F.col("nt") - F.col("nl"))
     square = lambda n, d: (n / d) * (n / d)
-    gl = sum((square(F.col(f"l{c}"), F.col("nl")) for c in range(classes)), F.lit(0.0))
-    gr = sum((square(F.col(f"t{c}") - F.col(f"l{c}"), F.col("nr")) for c in range(classes)), F.lit(0.0))
+    gl = sum((square(F.col(f"l{c}"), F.col("nl")) for c in every_class), F.lit(0.0))
+    gr = sum((square(F.col(f"t{c}") - F.col(f"l{c}"), F.col("nr")) for c in every_class), F.lit(0.0))
     impurity = (F.col("nl") / F.col("nt")) * (1.0 - gl) + (F.col("nr") / F.col("nt")) * (1.0 - gr)
     best = cells.withColumn("impurity", impurity).groupBy(*by).agg(F.min(F.struct("impurity", "feature", "threshold")).alias("best"))
     return best.select(*by, "best.feature", "best.threshold", "best.impurity")
@@ -142,10 +182,13 @@ def grow_tree(x: np.ndarray, y: np.ndarray, config: ForestConfig) -> list[tuple[
 
 
 def train(samples: DataFrame, features: list[str], config: ForestConfig = ForestConfig()) -> DataFrame:
-    """The node table of a forest grown from ``(row, features…, cls)``, rows numbered from 0; a task grows a tree.
+    """The node table of a forest grown from ``(row, features…, cls)``, rows numbered from 0. Features are taken in single precision.
 
-    Samples are painted pixels, a few for each image, whatever the size of the images. Features are taken in single precision.
+    Samples are painted pixels, commonly a few for each image: a task then grows a tree. More than
+    ``MOST_TASK_SAMPLES`` are left where they are, see :func:`train_by_levels`.
     """
+    if samples.count() > MOST_TASK_SAMPLES:
+        return train_by_levels(samples, features, config)
     ship(samples.sparkSession)
     drawn = bootstrap(samples, config.trees).join(samples.select("row", *features, "cls"), "row")
 
@@ -159,6 +202,57 @@ def train(samples: DataFrame, features: list[str], config: ForestConfig = Forest
     return drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def train_by_levels(samples: DataFrame, features: list[str], config: ForestConfig = ForestConfig()) -> DataFrame:
+    """The same forest as :func:`train`: all open nodes of all trees are split at once, a round for each level.
+
+    A row drawn several times by a tree is kept once with its number. What comes to the driver is the forest itself.
+    """
+    spark = samples.sparkSession
+    drawn = bootstrap(samples, config.trees).groupBy("tree", "row").agg(F.count("*").alias("weight"))
+    values = [F.col(f).cast("float").cast("double").alias(f) for f in features]
+    rows = drawn.join(samples.select("row", *values, "cls"), "row").select("tree", F.lit(1).cast("long").alias("node"), *features, "cls", "weight")
+    rows = materialize(rows, "forest-rows")
+    ranges = value_ranges(rows, features, VALUE_RANGES)
+    by, weight = ["tree", "node"], F.col("weight")
+    levels: list[dict[tuple[int, int], tuple[int, float, int]]] = []
+    for depth in range(config.depth + 1):
+        nodes = {(r.tree, r.node): r for r in class_shares(rows, by, weight=weight).collect()}
+        best = best_splits(rows, features, config.classes, by, weight, ranges).collect() if depth < config.depth else []
+        split = {(r.tree, r.node): r for r in best}
+        level = {}
+        for key, node in nodes.items():
+            found = split.get(key) if not node["pure"] and node["size"] >= config.min_split else None
+            level[key] = (-1, 0.0, node["majority"]) if found is None else (found["feature"], found["threshold"], -1)
+        levels.append(level)
+        splits = [(t, n, f, v) for (t, n), (f, v, _) in levels[-1].items() if f >= 0]
+        if not splits:
+            break
+        chosen = rows.join(spark.createDataFrame(splits, "tree int, node long, feature int, threshold double"), by)
+        value = F.element_at(F.array(*features), F.col("feature") + 1)
+        child = F.col("node") * 2 + F.when(value < F.col("threshold"), 0).otherwise(1)
+        last, rows = rows, materialize(chosen.select("tree", child.alias("node"), *features, "cls", "weight"), "forest-rows")
+        release(last)
+    release(rows)
+    return spark.createDataFrame(_in_order({k: v for level in levels for k, v in level.items()}), NODE_SCHEMA)
+
+
+def _in_order(found: dict[tuple[int, int], tuple[int, float, int]]) -> list[Node]:
+    """Nodes known by path (the root 1, below n the nodes 2n and 2n + 1), numbered in the order they are visited."""
+    out: list[list] = []
+    for tree in sorted({t for t, _ in found}):
+        first, waiting = len(out), [(1, None)]
+        while waiting:
+            path, above = waiting.pop()
+            at = len(out) - first
+            if above is not None:
+                out[first + above][5 if path % 2 else 4] = at
+            feature, threshold, cls = found[tree, path]
+            out.append([tree, at, feature, threshold, -1, -1, cls])
+            if feature >= 0:
+                waiting += [(2 * path + 1, at), (2 * path, at)]
+    return [tuple(n) for n in out]
+
+
 # --- inference ------------------------------------------------------------------------------------
 
 Node = tuple[int, int, int, float, int, int, int]

@@ -303,11 +303,12 @@ def label_totals(spark, sf_dir):
     return labels.totals(_painted(spark, sf_dir))
 
 
-@query(sql.select(f"{sql.FILTERS}, lbl AS (SELECT image_id, i, (7 * x + 13 * y) % 4 AS cls FROM r1 WHERE (7 * x + 13 * y) % 11 = 0 AND image_id = 'view')",
+@query(sql.select(f"{sql.FILTERS}, {sql.LATEST}, lbl AS (SELECT image_id, y * 24 + x AS i, cls FROM last)",
   "SELECT image_id, i, CAST(cls AS BIGINT) AS cls, " + ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in RASTER_FEATURES) + " FROM feat JOIN lbl USING (image_id, i)"))
 def gather_features(spark, sf_dir):
-    rows = pipeline.training_set(_features(spark, sf_dir), _painted(spark, sf_dir).where("image_id = 'view'").select("image_id", "i", "cls"))
-    return _longs(_rounded(rows, *RASTER_FEATURES), "cls")
+    """Features where strokes left a label, on all images."""
+    left = labels.keep_latest(_strokes(spark, sf_dir), ["ts", "event_id"]).select("image_id", scalars.pixel_index(F.col("x"), F.col("y"), EVENTS_SIZE[0]).alias("i"), "cls")
+    return _longs(_rounded(pipeline.training_set(_features(spark, sf_dir), left), *RASTER_FEATURES), "cls")
 
 
 @query(sql.select(f"{sql.FILTERS}, lbl AS (SELECT image_id, i, (7 * x + 13 * y) % 4 AS cls FROM r1 WHERE (7 * x + 13 * y) % 11 = 0)",
@@ -413,10 +414,17 @@ def _forest_sql(trees: int, depth: int) -> str:
 
 @query(_forest_sql(8, 8))
 def forest_train(spark, sf_dir):
-    rows = _embed(spark, sf_dir).withColumn("row", (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long"))
+    rows = pipeline.numbered(_embed(spark, sf_dir), ["vec_id"])
     return _longs(forest.train(rows, EMBED_FEATURES), "tree", "node", "feature", "left", "right", "cls")
 
 
+@query(_forest_sql(8, 8))
+def forest_train_by_levels(spark, sf_dir):
+    """The same forest, grown by all executors together as beyond a task's samples."""
+    rows = pipeline.numbered(_embed(spark, sf_dir), ["vec_id"])
+    return _longs(forest.train_by_levels(rows, EMBED_FEATURES), "tree", "node", "feature", "left", "right", "cls")
+
+
 @query(None)
 def retrain(spark, sf_dir):
     """Train on painted pixels of all images, classify every pixel, count each class's objects."""
@@ -578,10 +586,10 @@ def segmentation(spark, sf_dir):
     return _longs(render.segmentation(_classified(spark, sf_dir)), "code").select("image_id", "i", "code")
 
 
-@query(sql.select(sql.CLASSIFIED, "SELECT r1.image_id, r1.i, " + ", ".join(f"coalesce(prob.{p}, -1.0)::DOUBLE AS {p}" for p in _P) + " FROM r1 LEFT JOIN (SELECT * FROM prob WHERE image_id <> 'view') prob ON prob.image_id = r1.image_id AND prob.i = r1.i"))
+@query(sql.select(sql.CLASSIFIED, "SELECT r1.image_id, r1.i, " + ", ".join(f"coalesce(prob.{p}, -1.0)::DOUBLE AS {p}" for p in _P) + " FROM r1 LEFT JOIN prob ON prob.image_id = r1.image_id AND prob.i = r1.i"))
 def probabilities(spark, sf_dir):
     grid = events_raster(spark, sf_dir).select("image_id", "i")
-    return render.stored_probabilities(grid, _classified(spark, sf_dir).where("image_id <> 'view'"))
+    return render.stored_probabilities(grid, _classified(spark, sf_dir))
 
 
 _RGB = [tuple(bytes.fromhex(c[1:])) for c in CLASS_COLORS]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.constants import DEFAULT_SIGMA, MEMBER_THRESHOLD, MIN_LABELS_TO_TRAIN, NUM_CLASSES
 from gridmill.operators import ccl, filters, forest, objects
+from gridmill.store import materialize
 
 
 def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -17,10 +18,12 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def numbered(samples: DataFrame, order: list[str]) -> DataFrame:
-    """Rows numbered from 0 in a stated order. Painted samples only: their number is what a person paints."""
-    from pyspark.sql import Window
-
-    return samples.withColumn("row", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """Rows numbered ``row`` from 0 in a stated order without ties. They are sorted by ranges and counted in each, so no task holds all."""
+    ranged = materialize(samples.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    few = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each task of the sort
+    few = few.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(few.select("_range", "_before"), "_range").withColumn("row", (within - 1 + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
 def class_masks(classified: DataFrame, classes: int = NUM_CLASSES, threshold: float = MEMBER_THRESHOLD) -> DataFrame:

@@ -137,3 +137,39 @@ def test_train_classify_and_count(spark):
     assert counts == {0: 1, 1: 2, 2: 0, 3: 0}
     few = pipeline.retrain(pixels, labels.limit(4), 22, 20)
     assert {r.cls: r.objects for r in few.collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def drawn_samples(spark, n, values, classes, seed):
+    rng = np.random.default_rng(seed)
+    return rows_of(spark, rng.integers(0, values, (n, 3)) / 7, rng.integers(0, classes, n))
+
+
+@pytest.mark.parametrize("n, values, ranges, config", [(300, 40, 64, dict(trees=3, depth=3)), (60, 3, 1, dict(trees=1, depth=4, min_split=5))])
+def test_levels_give_the_same_forest(spark, monkeypatch, n, values, ranges, config):
+    samples, names = drawn_samples(spark, n, values, 3, n)
+    config = forest.ForestConfig(classes=3, **config)
+    want = forest.collect_forest(forest.train(samples, names, config))
+    monkeypatch.setattr(forest, "VALUE_RANGES", ranges)
+    monkeypatch.setattr(forest, "MOST_TASK_SAMPLES", 0)
+    assert forest.collect_forest(forest.train(samples, names, config)) == want
+
+
+def test_ranges_lose_no_split(spark):
+    samples, names = drawn_samples(spark, 200, 50, 4, 1)
+    samples = samples.selectExpr("*", "row % 3 as g")
+    want = sorted(map(tuple, forest.best_splits(samples, names, 4, ["g"]).collect()))
+    for ranges in (2, 7, 200):
+        assert sorted(map(tuple, forest.best_splits(samples, names, 4, ["g"], ranges=forest.value_ranges(samples, names, ranges)).collect())) == want
+
+
+def test_defaults_of_a_forest():
+    assert forest.ForestConfig.of() == forest.ForestConfig.of(0, 0, 0, 0) == forest.ForestConfig(10, 10, 2, 2)
+    assert forest.ForestConfig() == forest.ForestConfig(8, 8, 2, 4) and forest.ForestConfig.of(3).trees == 3
+
+
+def test_numbered(spark):
+    from gridmill.plans import pipeline
+
+    rows = spark.createDataFrame([(int(k), f"x{k}") for k in np.random.default_rng(0).permutation(500)], "k int, t string").repartition(7)
+    assert all(r.row == r.k and r.t == f"x{r.k}" for r in pipeline.numbered(rows, ["k"]).collect())
+    assert pipeline.numbered(rows.where("k < 0"), ["k"]).count() == 0
