@@ -87,6 +87,35 @@ def color_channels(text: Column) -> Column:
     return F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b"))
 
 
+#: The sixteen basic colour names of style sheets.
+NAMED_COLORS = {
+    "black": "#000000", "silver": "#c0c0c0", "gray": "#808080", "white": "#ffffff", "maroon": "#800000", "red": "#ff0000", "purple": "#800080", "fuchsia": "#ff00ff",
+    "green": "#008000", "lime": "#00ff00", "olive": "#808000", "yellow": "#ffff00", "navy": "#000080", "blue": "#0000ff", "teal": "#008080", "aqua": "#00ffff",
+}
+
+
+def css_color(text: Column) -> Column:
+    """A style sheet's colour as four parts of 1: three, four, six or eight hexadecimal digits, ``rgb()`` or ``rgba()`` of plain
+    numbers, a basic name or ``transparent``. Anything else, and null, is opaque red.
+    """
+    plain = F.lower(F.trim(text))
+    named = F.create_map(*[F.lit(x) for pair in {**NAMED_COLORS, "transparent": "#00000000"}.items() for x in pair])
+    plain = F.coalesce(named[plain], plain)
+    plain = F.when(plain.rlike("^#[0-9a-f]{3,4}$"), F.regexp_replace(plain, "([0-9a-f])", "$1$1")).otherwise(plain)
+    digits = F.regexp_extract(plain, "^#([0-9a-f]{6}(?:[0-9a-f]{2})?)$", 1)
+    hexa = lambda at: F.conv(F.substring(digits, at, 2), 16, 10).cast("double") / 255.0
+    pattern = r"^rgba?\(\s*([0-9]+)\s*,\s*([0-9]+)\s*,\s*([0-9]+)\s*(?:,\s*([0-9]*\.?[0-9]+)\s*)?\)$"
+    number = lambda k: F.regexp_extract(plain, pattern, k).try_cast("double")
+    part = lambda k: F.when(digits != "", hexa(2 * k - 1)).when(plain.rlike(pattern), F.least(number(k), F.lit(255.0)) / 255.0)
+    opacity = F.when(F.length(digits) == 8, hexa(7)).when(plain.rlike(pattern), F.least(F.coalesce(number(4), F.lit(1.0)), F.lit(1.0)))
+    return F.struct(F.coalesce(part(1), F.lit(1.0)).alias("r"), *[F.coalesce(part(k), F.lit(0.0)).alias(c) for k, c in ((2, "g"), (3, "b"))], F.coalesce(opacity, F.lit(1.0)).alias("a"))
+
+
+def fixed_digits(v: Column, digits: int) -> Column:
+    """A number below 10^20 as text with so many digits after the point; halves of its decimal text go away from zero."""
+    return F.round(v.cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def trimmed_or_null(text: Column) -> Column:
     """Without surrounding white space of any kind; null if nothing is left."""
     return F.nullif(F.regexp_replace(text, r"(?U)^[\s﻿]+|[\s﻿]+$", ""), F.lit(""))
@@ -130,11 +159,17 @@ def client_pixel(client: Column, origin: Column, size: Column, shown: Column) ->
 
 
 def register(spark: SparkSession) -> None:
-    """The expressions that are useful in SQL text, as SQL functions."""
+    """The expressions that are useful in SQL text, as SQL functions; ``brush_disc`` is a table of the pixels a brush touches."""
     for statement in (
         "contrast_window(v DOUBLE, lo DOUBLE, hi DOUBLE) RETURNS DOUBLE RETURN greatest(0D, least(1D, (v - lo) / greatest(hi - lo, 1e-4D)))",
         f"marker_radius(area DOUBLE) RETURNS DOUBLE RETURN {MARKER_MIN_RADIUS}D + {MARKER_LOG_SCALE}D * ln(area)",
         "luma(r DOUBLE, g DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN 0.299D * r + 0.587D * g + 0.114D * b",
         "pixel_index(x BIGINT, y BIGINT, width BIGINT) RETURNS BIGINT RETURN y * width + x",
+        """brush_disc(cx INT, cy INT, radius DOUBLE, width INT, height INT) RETURNS TABLE (px INT, py INT) RETURN
+             SELECT px, py FROM (SELECT cx + dx AS px, cy + dy AS py, dx, dy
+               FROM (SELECT explode(sequence(-CAST(ceil(radius) AS INT), CAST(ceil(radius) AS INT))) AS dx)
+               LATERAL VIEW explode(sequence(-CAST(ceil(radius) AS INT), CAST(ceil(radius) AS INT))) AS dy)
+             WHERE px BETWEEN 0 AND width - 1 AND py BETWEEN 0 AND height - 1 AND dx * dx + dy * dy <= radius * radius
+               AND (radius <> 1 OR (dx = 0 AND dy = 0) OR NOT (cx BETWEEN 0 AND width - 1 AND cy BETWEEN 0 AND height - 1))""",
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {statement}")

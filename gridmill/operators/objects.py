@@ -36,7 +36,7 @@ def markers(objects: DataFrame, visible: DataFrame | None = None) -> DataFrame:
     rows = centroids(objects).withColumn("radius", marker_radius(F.col("area")))
     if visible is None:
         return rows
-    return rows.join(F.broadcast(visible), "cls", "left").where(F.coalesce("visible", F.lit(True))).drop("visible")
+    return rows.join(visible, "cls", "left").where(F.coalesce("visible", F.lit(True))).drop("visible")
 
 
 def class_counts(objects: DataFrame, classes: int) -> DataFrame:

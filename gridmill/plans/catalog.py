@@ -378,7 +378,7 @@ def tree_depth1(spark, sf_dir):
     rows = _embed(spark, sf_dir).withColumn("g", F.col("vec_id") % 5)
     best = forest.best_splits(rows, EMBED_FEATURES, 4, ["g"])
     value = F.element_at(F.array(*EMBED_FEATURES), F.col("feature") + 1)
-    sided = rows.join(F.broadcast(best), "g").withColumn("side", F.when(value < F.col("threshold"), 0).otherwise(1))
+    sided = rows.join(best, "g").withColumn("side", F.when(value < F.col("threshold"), 0).otherwise(1))
     counts = sided.groupBy("g", "side", "cls").agg(F.count("*").alias("n"))
     top = counts.groupBy("g", "side").agg((-F.max(F.struct("n", (-F.col("cls")).alias("c")))["c"]).alias("cls"))
     return _longs(top, "side", "cls")
@@ -602,6 +602,42 @@ def composite(spark, sf_dir):
     shown = render.composite(_classified(spark, sf_dir), render.palette(spark), 1.0, 4.0)
     return _longs(_rounded(shown, "r", "g", "b", digits=9), "x", "y")
 
+_STYLES = ["#ff595e", "FFCA3A", "#8ac92680", "#1982", " Navy ", "rgb(12, 300, 7)", "rgba(1,2,3,0.25)", "transparent", "#12", "nope"]
+_PARSED = [(255, 89, 94, 1.0), (255, 0, 0, 1.0), (138, 201, 38, 128 / 255), (17, 153, 136, 34 / 255), (0, 0, 128, 1.0), (12, 255, 7, 1.0), (1, 2, 3, 0.25), (0, 0, 0, 0.0), (255, 0, 0, 1.0), (255, 0, 0, 1.0)]
+
+
+@query("WITH c(k, r, g, b, a) AS (VALUES " + ", ".join(f"({k}, {r}, {g}, {b}, CAST({a!r} AS DOUBLE))" for k, (r, g, b, a) in enumerate(_PARSED)) + ") SELECT doc_id, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b, round(a, 9) AS a FROM documents JOIN c ON k = doc_id % 10")
+def css_colors(spark, sf_dir):
+    """Ten ways to write a colour, three of them not valid."""
+    style = F.element_at(F.array(*map(F.lit, _STYLES)), (F.col("doc_id") % 10 + 1).cast("int"))
+    c = scalars.css_color(style)
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.round(c[x] * 255).cast("long").alias(x) for x in "rgb"], F.round(c["a"], 9).alias("a"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(0.125 AS DECIMAL(4,3)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS eighth, CAST(CAST(l_quantity AS DECIMAL(38,4)) AS VARCHAR) AS quantity FROM lineitem")
+def fixed_digits(spark, sf_dir):
+    value = F.round(F.col("l_extendedprice").cast("double") / 8, 12)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", scalars.fixed_digits(value, 2).alias("eighth"), scalars.fixed_digits(F.col("l_quantity").cast("double"), 4).alias("quantity")
+    )
+
+
+@query(sql.select(f"{sql.CLASSIFIED}, pal(cls, r, g, b) AS (VALUES (0, 1.0, 0.0, 0.0), (1, 255 / 255.0, 202 / 255.0, 58 / 255.0), (2, 0.0, 128 / 255.0, 128 / 255.0), (3, 25 / 255.0, 130 / 255.0, 196 / 255.0)), q AS (SELECT *, {_ARGMAX} AS cls, greatest(0.0, least(1.0, (v - 1.0) / 3.0))::DOUBLE AS grey FROM prob)",
+  "SELECT q.image_id, q.x, q.y, " + ", ".join(f"round(grey * 0.6 + CAST({c} AS DOUBLE) * 0.4, 9) AS {c}" for c in "rgb") + " FROM q JOIN pal USING (cls)"))
+def composite_recolored(spark, sf_dir):
+    """Two classes have new colours, one of them not valid; a fifth colour is ignored, a missing one changes nothing."""
+    edits = spark.createDataFrame([(0, "no colour"), (2, "teal"), (3, None), (7, "lime")], "cls int, color string")
+    shown = render.composite(_classified(spark, sf_dir), render.recolored(render.palette(spark), edits), 1.0, 4.0)
+    return _longs(_rounded(shown, "r", "g", "b", digits=9), "x", "y")
+
+
+@query(_brush_sql(2.0).replace("event_id % 10 = 0 AND ", ""))
+def brush_function(spark, sf_dir):
+    """The table function of SQL text, beside the operator."""
+    scalars.register(spark)
+    _strokes(spark, sf_dir).createOrReplaceTempView("gridmill_strokes")
+    return spark.sql(f"SELECT event_id, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py FROM gridmill_strokes, LATERAL brush_disc(x, y, 2D, {EVENTS_SIZE[0]}, {EVENTS_SIZE[1]})")
+
 
 _RAW = [
     {"labelColors": ["#ff0000", "red", "#12345", "#00FF00", "#111111", "#222222"], "classNames": ["  Padded  ", "   ", "ok"]},
@@ -620,6 +656,16 @@ def settings_sanitize(spark, sf_dir):
     return rows.select("id", F.col("slot").cast("long").alias("slot"), F.col("s.label_colors").alias("color"), F.col("s.class_names").alias("name"))
 
 
+@query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '#00ff00' ELSE '#8ac926' END AS c, CASE WHEN doc_id % 2 = 0 THEN source END AS n FROM documents) "
+  "SELECT doc_id, '{\"labelColors\":[' || coalesce('\"' || c || '\"', 'null') || ',\"#123456\"],\"classNames\":[' || coalesce('\"' || n || '\"', 'null') || ']}' AS written, "
+  "coalesce(c, '#ff595e') || ',#123456,#8ac926,#1982c4' AS shown FROM d")
+def settings_write(spark, sf_dir):
+    """Saved settings as text, and what is shown: saved colours over the defaults."""
+    color = F.when(F.col("doc_id") % 3 == 1, F.lit("#00ff00")).when(F.col("doc_id") % 3 == 2, F.lit("#8ac926"))
+    colors, names = F.array(color, F.lit("#123456")), F.array(F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    return table(spark, sf_dir, "documents").select("doc_id", settings.to_text(colors, names).alias("written"), F.array_join(settings.with_defaults(colors), ",").alias("shown"))
+
+
 @query("SELECT f.range AS feature, s.range AS scale_index, f.range < 2 AND s.range < 2 AS selected FROM range(6) f, range(7) s")
 def feature_selection(spark, sf_dir):
     return _longs(project.feature_selection(spark), "feature", "scale_index").select("feature", "scale_index", "selected")

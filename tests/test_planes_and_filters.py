@@ -113,3 +113,33 @@ def test_scalars(spark):
     assert one.select(scalars.argmax_class([F.lit(0.5), F.lit(0.5)])).first()[0] == 0
     assert one.select(scalars.client_pixel(F.lit(110.0), F.lit(10.0), F.lit(50), F.lit(200.0))).first()[0] == 25
     assert one.select(scalars.argmax_class([F.lit(-1.0), F.lit(-1.0)])).first()[0] is None
+
+
+def test_colors_and_digits(spark):
+    one = spark.range(1)
+    color = lambda text: tuple(round(v * 255, 3) for v in one.select(scalars.css_color(F.lit(text).cast("string")).alias("c")).first().c)
+    assert color("#0f8") == (0, 255, 136, 255) and color("#0f8c") == (0, 255, 136, 204)
+    assert color("RGBA( 1 , 2,3, .5 )") == (1, 2, 3, 127.5) and color(" Teal ") == (0, 128, 128, 255)
+    assert color("") == color(None) == color("rgb(1,2)") == (255, 0, 0, 255)
+    text = lambda v, n: one.select(scalars.fixed_digits(F.lit(v), n)).first()[0]
+    assert [text(2.0, 4), text(-1.25, 1), text(0.0004, 2), text(7.5, 0)] == ["2.0000", "-1.3", "0.00", "8"]
+
+
+def test_brush_as_a_table_function(spark):
+    scalars.register(spark)
+    spots = [(k, x, y) for k, (x, y) in enumerate([(0, 0), (5, 3), (-1, 2), (7, 4)])]
+    strokes = spark.createDataFrame(spots, "k int, x int, y int")
+    strokes.createOrReplaceTempView("spots")
+    for radius in (0.0, 1.0, 1.5, 3.0):
+        want = sorted(tuple(r) for r in labels.brush(strokes, radius, 8, 5).select("k", "px", "py").collect())
+        got = sorted(tuple(r) for r in spark.sql(f"select k, px, py from spots, lateral brush_disc(x, y, {radius}D, 8, 5)").collect())
+        assert got == want
+
+
+def test_unclassified_pixels_are_marked(spark):
+    from gridmill.operators import render
+
+    grid = plane(spark, np.array([[1.0, 2.0]]))
+    some = grid.where("x = 1").withColumns({f"p{c}": F.lit(c / 6.0) for c in range(4)})
+    got = {r.i: (r.p0, r.p1, r.p2, r.p3) for r in render.stored_probabilities(grid, some).collect()}
+    assert got == {0: (-1.0,) * 4, 1: (0.0, 1 / 6, 2 / 6, 3 / 6)}
