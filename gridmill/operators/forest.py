@@ -293,16 +293,17 @@ def probabilities(rows: DataFrame, forest: Sequence[Node], features: list[str],
     trees = _by_tree(forest)
     bits = len(trees).bit_length()
     if len(forest) > MOST_EXPRESSION_NODES or bits * classes > 62:
-        return _probabilities_by_arrow(rows, trees, features, classes, max_visits)
+        return probabilities_by_arrow(rows, forest, features, classes, max_visits)
     votes = rows.withColumn("_votes", sum((_ballot(t, features, bits, max_visits) for t in trees), F.lit(0).cast("long")))
     field = lambda c: F.shiftright("_votes", bits * c).bitwiseAND(F.lit((1 << bits) - 1))
     return votes.withColumns({f"p{c}": field(c) / float(len(trees)) for c in range(classes)}).drop("_votes")
 
 
-def _probabilities_by_arrow(rows: DataFrame, trees: list[dict[int, Node]], features: list[str], classes: int, max_visits: int | None) -> DataFrame:
+def probabilities_by_arrow(rows: DataFrame, forest: Sequence[Node], features: list[str], classes: int = NUM_CLASSES, max_visits: int | None = None) -> DataFrame:
+    """The same in Arrow batches, all rows of a batch a step at a time."""
     ship(rows.sparkSession)
     tables = []
-    for tree in trees:
+    for tree in _by_tree(forest):
         ordered = [tree[k] for k in range(len(tree))]
         tables.append([np.array([n[c] for n in ordered]) for c in (2, 3, 4, 5, 6)])
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ from gridmill.operators import ccl, filters, forest, labels, objects, planes, ra
 from gridmill.plans import oracles as sql
 from gridmill.plans import pipeline
 from gridmill.plans.fixed import EMBED_FEATURES, FOREST, RASTER_FEATURES, SIGMA
-from gridmill.sinks import project
+from gridmill.shipping import ship
+from gridmill.sinks import files, hdf5, project
 from gridmill.sources import tables, tiff
 from gridmill.sources.tables import EVENTS_SIZE, SHIP_SIZE, events_raster, ship_raster, table
+from gridmill.store import materialize
 from gridmill.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +48,20 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
 
 
+def _read_back(spark: SparkSession, df: DataFrame, read: Callable[[bytes], list], schema: str) -> DataFrame:
+    """Rows that ``read`` finds in the files ``(file, content)``, read where the files are."""
+    ship(spark)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(frames):
+        for frame in frames:
+            for name, content in zip(frame["file"], frame["content"], strict=True):
+                yield pd.DataFrame([(name, *r) for r in read(bytes(content))], columns=names)
+
+    return df.select("file", "content").mapInPandas(run, schema)
+
+
 def _pixels(df: DataFrame) -> DataFrame:
     return _longs(df, "x", "y", "i").select("image_id", "x", "y", "i", "v")
 
@@ -197,6 +215,21 @@ def camera(spark, sf_dir):
     return _rounded(rows, "scale", "eased", digits=9)
 
 
+@query("SELECT p_partkey, CAST(floor((p_retailprice - 10.0) * 50 / 200.0) AS INTEGER) AS px FROM part")
+def client_pixel(spark, sf_dir):
+    px = scalars.client_pixel(F.col("p_retailprice").cast("double"), F.lit(10.0), F.lit(50), F.lit(200.0))
+    return table(spark, sf_dir, "part").select("p_partkey", px.alias("px"))
+
+
+@query(sql.select(sql.EVENTS, """SELECT image_id, y * 24 + x AS i, greatest(0.0, least(1.0, (v - 1.0) / 3.0))::DOUBLE AS grey, round(1.5 + 1.6 * ln(v + 1), 9) AS radius,
+  round(0.299 * v + 0.587 * x + 0.114 * y, 9)::DOUBLE AS luma FROM r1"""))
+def sql_functions(spark, sf_dir):
+    """The functions of SQL text."""
+    scalars.register(spark)
+    events_raster(spark, sf_dir).createOrReplaceTempView("gridmill_pixels")
+    return spark.sql("SELECT image_id, pixel_index(x, y, 24) AS i, contrast_window(v, 1, 4) AS grey, round(marker_radius(v + 1), 9) AS radius, round(luma(v, x, y), 9) AS luma FROM gridmill_pixels")
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%a %b ') || lpad(CAST(day(o_orderdate) AS VARCHAR), 2, ' ') || strftime(o_orderdate, ' %H:%M:%S %Y') AS ctime FROM orders")
 def project_time(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.ctime(F.col("o_orderdate")).alias("ctime"))
@@ -248,6 +281,13 @@ for _name, _columns in (
     _feature_query(_name, _columns)
 
 
+@query(_round_sql(sql.FILTERS, "feat", RASTER_FEATURES))
+def features_stored(spark, sf_dir):
+    """Features written once to the shared folder and read from there."""
+    stored = materialize(_features(spark, sf_dir), "features")
+    return _rounded(stored, *RASTER_FEATURES).select("image_id", "i", *RASTER_FEATURES)
+
+
 # --- labels ----------------------------------------------------------------------------------------
 
 
@@ -452,6 +492,22 @@ def forest_probs(spark, sf_dir):
     return _classified(spark, sf_dir).select("image_id", "i", *_P)
 
 
+@query(sql.select(sql.CLASSIFIED, "SELECT image_id, i, p0, p1, p2, p3 FROM prob"))
+def forest_probs_by_arrow(spark, sf_dir):
+    """The same in Arrow batches, as for forests too large for an expression."""
+    rows = forest.probabilities_by_arrow(_features(spark, sf_dir), FOREST, RASTER_FEATURES)
+    return rows.select("image_id", "i", *_P)
+
+
+@query(f"""WITH n(tree, node, feature, threshold, l, r, cls) AS (VALUES {", ".join(str(n) for n in FOREST)}),
+  o AS (SELECT *, row_number() OVER (ORDER BY tree, node) - 1 AS slot, (row_number() OVER (ORDER BY tree, node) - 1) - node AS first FROM n)
+  SELECT slot, CAST(feature AS BIGINT) AS feature, CASE WHEN feature < 0 THEN 0.0 ELSE threshold END::DOUBLE AS threshold,
+    CAST(CASE WHEN feature < 0 THEN -1 ELSE first + l END AS BIGINT) AS "left", CAST(CASE WHEN feature < 0 THEN -(cls + 1) ELSE first + r END AS BIGINT) AS "right", node = 0 AS root FROM o""")
+def forest_flat(spark, sf_dir):
+    slots, roots = forest.to_flat(FOREST)
+    return spark.createDataFrame([(k, *map(float, slot[1:2]), slot[0], slot[2], slot[3], k in roots) for k, slot in enumerate(slots)], "slot long, threshold double, feature long, left long, right long, root boolean")
+
+
 @query(f"WITH {sql.EMBED_PROB} SELECT vec_id, CAST({_ARGMAX} AS BIGINT) AS cls FROM prob")
 def forest_predict(spark, sf_dir):
     rows = forest.probabilities(_embed(spark, sf_dir).drop("cls"), FOREST, EMBED_FEATURES)
@@ -592,6 +648,20 @@ def probabilities(spark, sf_dir):
     return render.stored_probabilities(grid, _classified(spark, sf_dir))
 
 
+def _samples(content: bytes) -> list[tuple]:
+    plane = tiff.decode(content).samples
+    return [(k, c, float(v)) for (k, c), v in np.ndenumerate(plane.reshape(-1, plane.shape[2]))]
+
+
+@query(sql.select(sql.CLASSIFIED, f"""SELECT image_id || '_segmentation.tif' AS file, i, CAST(0 AS BIGINT) AS channel, CAST({_ARGMAX} + 1 AS DOUBLE) AS v FROM prob
+  UNION ALL SELECT image_id || '_probabilities.tif', i, c.range, CAST(CAST(CASE c.range WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS FLOAT) AS DOUBLE) FROM prob, range(4) c"""))
+def exported_files(spark, sf_dir):
+    """What stands in the TIFF files that classified images are exported to."""
+    classified = _classified(spark, sf_dir)
+    made = files.segmentation_files(render.segmentation(classified), *EVENTS_SIZE).unionByName(files.probability_files(classified, *EVENTS_SIZE))
+    return _read_back(spark, made, _samples, "file string, i long, channel long, v double")
+
+
 _RGB = [tuple(bytes.fromhex(c[1:])) for c in CLASS_COLORS]
 _PALETTE = "pal(cls, r, g, b) AS (VALUES " + ", ".join(f"({k}, {r} / 255.0::DOUBLE, {g} / 255.0::DOUBLE, {b} / 255.0::DOUBLE)" for k, (r, g, b) in enumerate(_RGB)) + ")"
 
@@ -699,6 +769,40 @@ def ilp_manifest(spark, sf_dir):
     return project.manifest(images, labels.bounding_boxes(labels.keep_latest(_strokes(spark, sf_dir), ["ts", "event_id"])))
 
 
+def _exported(spark, sf_dir) -> tuple[list[str], dict]:
+    """The images in their order, and the project file they are exported to, read back."""
+    painted = labels.keep_latest(_strokes(spark, sf_dir), ["ts", "event_id"])
+    order = [r["image_id"] for r in _ordered_images(spark, sf_dir).orderBy("ord").collect()]
+    return order, hdf5.read_tree(project.export(events_raster(spark, sf_dir), painted, order, *EVENTS_SIZE, "now"))
+
+
+@query(sql.select(f"{sql.EVENTS}, {_ORDERED}", "SELECT format('lane{:04d}', ord) AS lane, image_id AS nickname, i, v FROM im JOIN r1 USING (image_id)"))
+def project_planes(spark, sf_dir):
+    """Raw data in an exported project file, by the paths its lanes name."""
+    _, tree = _exported(spark, sf_dir)
+    rows = []
+    for lane, info in tree["Input Data"]["infos"].items():
+        raw = info["Raw Data"]
+        plane = np.frombuffer(tree["Input Data"]["local_data"][raw["inner_path"][1].decode().rsplit("/", 1)[-1]][1], np.float32)
+        rows += [(lane, raw["nickname"][1].decode(), k, float(v)) for k, v in enumerate(plane)]
+    return spark.createDataFrame(rows, "lane string, nickname string, i long, v double")
+
+
+@query(sql.select(f"{_ORDERED}, {sql.LATEST}, bx AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM last GROUP BY 1)", """
+  SELECT format('labels{:03d}', ord) AS label_set, gx.range AS x, gy.range AS y, CAST(coalesce(last.cls + 1, 0) AS BIGINT) AS code FROM im JOIN bx USING (image_id)
+    JOIN range(24) gx ON gx.range BETWEEN x0 AND x1 JOIN range(30) gy ON gy.range BETWEEN y0 AND y1
+    LEFT JOIN last ON last.image_id = im.image_id AND last.x = gx.range AND last.y = gy.range"""))
+def project_labels(spark, sf_dir):
+    """Blocks of labels in an exported project file, at the places their slices name."""
+    _, tree = _exported(spark, sf_dir)
+    rows = []
+    for name, blocks in tree["PixelClassification"]["LabelSets"].items():
+        for shape, raw, attributes in blocks.values():
+            (y0, _), (x0, _), _ = (map(int, part.split(":")) for part in attributes["blockSlice"][1:-1].split(","))
+            rows += [(name, x0 + x, y0 + y, int(code)) for (y, x), code in np.ndenumerate(np.frombuffer(raw, np.uint8).reshape(shape[:2]))]
+    return spark.createDataFrame(rows, "label_set string, x long, y long, code long")
+
+
 # --- stream operators, as batches ---------------------------------------------------------------------
 
 
@@ -712,3 +816,21 @@ def debounce_sessions(spark, sf_dir):
 @query("SELECT event_type, date_trunc('hour', ts) AS frame_ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def coalesce_latest(spark, sf_dir):
     return streams.latest_of_frame(table(spark, sf_dir, "events"), "1 hour", ["event_type"], "value", tie="event_id")
+
+
+@query(sql.select(sql.STROKES, """SELECT image_id, x, y, cls FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY cls % 2 DESC, ts DESC, event_id DESC) AS r FROM st)
+  WHERE r = 1 AND cls <> 3"""))
+def label_store(spark, sf_dir):
+    """Two batches of strokes through a store that is opened again in between; strokes of the last class erase."""
+    strokes = _strokes(spark, sf_dir).withColumns({"batch": F.col("cls") % 2, "cls": F.when(F.col("cls") != 3, F.col("cls"))})
+    name = uuid.uuid4().hex
+    for k in range(2):
+        streams.LabelStore(spark, name).apply(strokes.where(F.col("batch") == k).drop("batch"), k)
+    return _longs(streams.LabelStore(spark, name).labels(), "x", "y", "cls")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 50 <> 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0)")
+def primary_pointers(spark, sf_dir):
+    """Users as strokes; some have a second pointer down."""
+    pointers = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("user_id").alias("stroke"), (F.col("event_id") % 50 != 0).alias("is_primary"))
+    return streams.primary_only(pointers).select("event_id", "user_id")
