@@ -65,23 +65,37 @@ def _lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
+def _pages(data: bytes) -> tuple[str, list[dict[int, tuple]]]:
+    """The byte order, and the tags of each image of the file."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(f"{order}H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
     at = struct.unpack(f"{order}I", data[4:8])[0]
-    tags = {}
-    for k in range(struct.unpack_from(f"{order}H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
-        size = _SIZES.get(kind, 1) * n
-        where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{order}I", data, at + 10 + 12 * k)[0]
-        tags[tag] = struct.unpack_from(f"{order}{n}{_CODES[kind]}", data, where) if kind in _CODES else (data[where : where + size],)
-    return order, tags
+    pages, seen = [], set()
+    while at and at not in seen:
+        seen.add(at)
+        tags = {}
+        entries = struct.unpack_from(f"{order}H", data, at)[0]
+        for k in range(entries):
+            tag, kind, n = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
+            size = _SIZES.get(kind, 1) * n
+            where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{order}I", data, at + 10 + 12 * k)[0]
+            tags[tag] = struct.unpack_from(f"{order}{n}{_CODES[kind]}", data, where) if kind in _CODES else (data[where : where + size],)
+        pages.append(tags)
+        at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * entries)[0]
+    return order, pages
 
 
 def decode(data: bytes) -> Image:
-    """The first image of the file. A size that does not fit the samples is an error."""
-    order, tags = _tags(data)
+    """The file's image; smaller versions of it (thumbnails, pyramids) are passed over.
+
+    Several images, which make a stack of more than two axes, are an error, and so is a size that does not fit the samples.
+    """
+    order, pages = _pages(data)
+    whole = [tags for tags in pages if not tags.get(254, (0,))[0] & 1]
+    if len(whole) > 1:
+        raise ValueError(f"only two-dimensional images are read, not {len(whole)} in one file")
+    tags = (whole or pages)[0]
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, channels = tags[256][0], tags[257][0], one(277, 1)
     kind = np.dtype(f"{order}{_KINDS[one(339, 1)]}{one(258, 8) // 8}")

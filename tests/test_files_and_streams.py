@@ -47,6 +47,22 @@ def test_packed_tiff():
         tiff.decode(b"not an image")
 
 
+def test_stacks_are_an_error():
+    """A second image is appended to the chain; as a smaller version of the first it is passed over."""
+    plane = np.arange(6, dtype=np.uint16).reshape(2, 3)
+    data = tiff.encode(plane)
+    entries = struct.unpack_from("<H", data, 8)[0]
+    link = 10 + 12 * entries
+    for reduced, error in ((0, True), (1, False)):
+        page = struct.pack("<H", entries + 1) + struct.pack("<HHII", 254, 4, 1, reduced) + data[10:link] + struct.pack("<I", 0)
+        stack = data[:link] + struct.pack("<I", len(data)) + data[link + 4 :] + page
+        if error:
+            with pytest.raises(ValueError, match="two-dimensional"):
+                tiff.decode(stack)
+        else:
+            assert tiff.decode(stack).samples[:, :, 0].tolist() == plane.tolist()
+
+
 def test_tiff_files_through_spark(spark, tmp_path):
     plane = np.arange(2 * 3 * 4, dtype=np.uint16).reshape(3, 4, 2)
     (tmp_path / "one.TIF").write_bytes(tiff.encode(plane))
@@ -96,7 +112,9 @@ def test_project_file():
 def test_exported_files(spark):
     pixels = spark.range(6).selectExpr("'a.png' as image_id", "id as i", "int(id % 3) as code", *[f"double(id) / {k + 1} as p{k}" for k in range(4)])
     made = files.segmentation_files(pixels, 3, 2).unionByName(files.probability_files(pixels, 3, 2))
-    bundle = zipfile.ZipFile(io.BytesIO(files.bundle(made)))
+    told: list[int] = []
+    bundle = zipfile.ZipFile(io.BytesIO(files.bundle(made, told.append)))
+    assert told == [1, 2]
     assert sorted(bundle.namelist()) == ["a_probabilities.tif", "a_segmentation.tif"]
     assert tiff.decode(bundle.read("a_segmentation.tif")).samples.ravel().tolist() == [0, 1, 2, 0, 1, 2]
     assert tiff.decode(bundle.read("a_probabilities.tif")).samples.shape == (2, 3, 4)
