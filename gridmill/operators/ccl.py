@@ -18,7 +18,7 @@ from gridmill.store import materialize
 
 TILE = 512
 #: So many pairs of components at tile borders are joined on the driver; more by the distributed operator.
-FEW_EDGES = 100_000
+FEW_EDGES = 20_000
 
 
 def runs_to_roots(x: np.ndarray, y: np.ndarray) -> np.ndarray:

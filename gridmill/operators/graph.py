@@ -54,13 +54,11 @@ def _few(edges: DataFrame, found: list) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 64, few: int = 0) -> DataFrame:
     """``(node, root)`` for every node of ``edges (a, b)`` that is not the least of its component; root is that one.
 
-    Up to ``few`` edges are settled on the driver at once, which saves rounds; more never come there.
+    Up to ``few`` edges, counted once they are written, are settled on the driver, which saves rounds; more never come there.
     """
-    if few:
-        found = edges.select("a", "b").limit(few + 1).collect()
-        if len(found) <= few:
-            return _few(edges, found)
     now = materialize(_clean(edges.select("a", "b")), "links")
+    if few and now.count() <= few:
+        return _few(now, now.collect())
     before = None
     for _ in range(rounds):
         last, now = now, materialize(_clean(_small_star(_clean(_large_star(now)))), "links")
