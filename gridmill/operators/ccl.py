@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.operators.graph import components
+from gridmill.shipping import ship
 from gridmill.store import materialize
 
 TILE = 512
@@ -60,6 +61,7 @@ def label_components(mask: DataFrame, width: int, height: int, tile: int = TILE,
     ``by`` are the columns within which components lie, ``image_id`` alone unless given. An object that is only the last
     pixel has label ``width * height`` like any other.
     """
+    ship(mask.sparkSession)
     by = by or ["image_id"]
     tiled = mask.withColumns({"_tx": F.floor(F.col("x") / tile).cast("int"), "_ty": F.floor(F.col("y") / tile).cast("int")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiled.schema.fields) + ", local long"

@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from gridmill.constants import NUM_CLASSES
+from gridmill.shipping import ship
 from gridmill.sources import tiff
 
 
 def _files(pixels: DataFrame, columns: list[str], kind: str, suffix: str, width: int, height: int) -> DataFrame:
     """``(file, content)``: one TIFF for each image, made in the task that has its pixels."""
+    ship(pixels.sparkSession)
 
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         plane = np.zeros((height * width, len(columns)), kind)
