@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import language_id, line_dedup, mixing, ngram_join, oracles, packing, pii, quality_classifier, quality_rules, spotsigs, substring_dedup
+from gridmill.llm import (
+    conversation_trie, exact_topk, language_id, line_dedup, mixing, ngram_join, oracles, packing, periodic_runs, pii, quality_classifier, quality_rules,
+    spotsigs, substring_dedup,
+)
 from gridmill.llm.ids import in_fold
 
 
@@ -78,6 +81,29 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.build(_table(spark, sf_dir, "conversations")).nodes()
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.collapse(periodic_runs.with_planted_repeats(_table(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -90,9 +116,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,
         "op10_language_id": op10_language_id,
+        "op11_exact_topk": op11_exact_topk,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn, hash, or depend on an order that SQL cannot state; they are tested against brute force."""
-    return {"op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_ngram_join": oracles.NGRAM_JOIN}
+    return {
+        "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op5_ngram_join": oracles.NGRAM_JOIN,
+        "op11_exact_topk": oracles.EXACT_TOPK,
+        "op12_conversation_trie": oracles.CONVERSATION_TRIE,
+    }

@@ -71,4 +71,7 @@ def test_stages_take_odd_tables(spark):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_queries_run_and_keep_documents(spark, name):
     out = catalog.queries()[name](spark, DATA)
+    if "doc_id" not in out.columns:
+        assert out.count() > 0  # op11 and op12 read other tables; test_new_operators.py compares their results
+        return
     assert out.select("doc_id").distinct().count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
