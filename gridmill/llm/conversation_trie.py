@@ -28,7 +28,7 @@ from gridmill.shipping import ship
 from gridmill.store import materialize
 
 #: Turns below a light node at most, at least; the limit grows with the root of all turns, so heavy nodes stay few.
-LIMIT = 4_096
+LIMIT = 512
 #: Turns in a bucket, about.
 BUCKET_TURNS = 1 << 17
 #: So many heavy nodes (64 bytes each) are broadcast; more are joined.
