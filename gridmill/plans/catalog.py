@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
 from collections.abc import Callable
 
 import numpy as np
@@ -18,10 +20,10 @@ from gridmill.plans import oracles as sql
 from gridmill.plans import pipeline
 from gridmill.plans.fixed import EMBED_FEATURES, FOREST, RASTER_FEATURES, SIGMA
 from gridmill.shipping import ship
-from gridmill.sinks import files, hdf5, project
-from gridmill.sources import tables, tiff
+from gridmill.sinks import files, hdf5, project, ranges
+from gridmill.sources import images, tables, tiff
 from gridmill.sources.tables import EVENTS_SIZE, SHIP_SIZE, events_raster, ship_raster, table
-from gridmill.store import materialize
+from gridmill.store import materialize, scratch
 from gridmill.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,11 +158,8 @@ def luma_expr(spark, sf_dir):
   FROM range(2) c, range(24) x, range(30) y""")
 def src_tiff(spark, sf_dir):
     """A file written by our own encoder and read back through Spark's file reader, channel by channel."""
-    from gridmill.sources import images
-    from gridmill.store import shared_dir
-
     plane = np.arange(2 * 30 * 24, dtype=np.uint16).reshape(30, 24, 2)
-    path = f"{shared_dir(spark)}/tiff-sample-{abs(hash(sf_dir))}"
+    path = scratch(spark, "tiff-sample")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(f"{path}/sample.tif")
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
@@ -169,6 +168,15 @@ def src_tiff(spark, sf_dir):
     return _pixels(images.pixels(images.read_tiff_rows(spark, path)))
 
 
+@query(sql.select(sql.SHIP, "SELECT image_id || '.tif' AS image_id, x, y, i, v FROM r2 WHERE y BETWEEN 10 AND 29 AND image_id <> 'N'"))
+def tiff_scan(spark, sf_dir):
+    """Images of line items, written by ranges of pixels and scanned by strips; conditions on files and rows reach the scan."""
+    folder = scratch(spark, "ship-files")
+    ranges.save(files.tiff_ranges(ship_raster(spark, sf_dir), ["v"], "f8", ".tif", *SHIP_SIZE), folder)
+    rows = images.scan_tiffs(spark, folder).where((F.col("y") >= 10) & (F.col("y") <= 29) & F.col("name").isin("A.tif", "R.tif"))
+    return _pixels(images.pixels(rows))
+
+
 # --- projections ---------------------------------------------------------------------------------
 
 
@@ -648,18 +656,43 @@ def probabilities(spark, sf_dir):
     return render.stored_probabilities(grid, _classified(spark, sf_dir))
 
 
-def _samples(content: bytes) -> list[tuple]:
-    plane = tiff.decode(content).samples
-    return [(k, c, float(v)) for (k, c), v in np.ndenumerate(plane.reshape(-1, plane.shape[2]))]
+_EXPORT_SQL = sql.select(sql.CLASSIFIED, f"""SELECT image_id || '_segmentation.tif' AS file, i, CAST(0 AS BIGINT) AS channel, CAST({_ARGMAX} + 1 AS DOUBLE) AS v FROM prob
+  UNION ALL SELECT image_id || '_probabilities.tif', i, c.range, CAST(CAST(CASE c.range WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS FLOAT) AS DOUBLE) FROM prob, range(4) c""")
 
 
-@query(sql.select(sql.CLASSIFIED, f"""SELECT image_id || '_segmentation.tif' AS file, i, CAST(0 AS BIGINT) AS channel, CAST({_ARGMAX} + 1 AS DOUBLE) AS v FROM prob
-  UNION ALL SELECT image_id || '_probabilities.tif', i, c.range, CAST(CAST(CASE c.range WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS FLOAT) AS DOUBLE) FROM prob, range(4) c"""))
+def _export_ranges(spark, sf_dir) -> DataFrame:
+    classified = materialize(_classified(spark, sf_dir), "classified")
+    return files.segmentation_ranges(render.segmentation(classified), *EVENTS_SIZE).unionByName(files.probability_ranges(classified, *EVENTS_SIZE))
+
+
+@query(_EXPORT_SQL)
 def exported_files(spark, sf_dir):
-    """What stands in the TIFF files that classified images are exported to."""
-    classified = _classified(spark, sf_dir)
-    made = files.segmentation_files(render.segmentation(classified), *EVENTS_SIZE).unionByName(files.probability_files(classified, *EVENTS_SIZE))
-    return _read_back(spark, made, _samples, "file string, i long, channel long, v double")
+    """What stands in the TIFF files that classified images are exported to: written by ranges, scanned by strips."""
+    folder = scratch(spark, "export")
+    ranges.save(_export_ranges(spark, sf_dir), folder)
+    rows = images.scan_tiffs(spark, folder).select(F.col("name").alias("file"), "y", "x0", "width", F.col("channel").cast("long").alias("channel"), F.posexplode("row").alias("at", "v"))
+    return rows.select("file", (F.col("y").cast("long") * F.col("width") + F.col("x0") + F.col("at")).alias("i"), "channel", "v")
+
+
+@query(_EXPORT_SQL)
+def archived_files(spark, sf_dir):
+    """The same from the members of a ZIP file whose ranges were deflated in tasks."""
+    folder = scratch(spark, "archive")
+    ranges.save(files.zip_ranges(_export_ranges(spark, sf_dir), "images.zip"), folder)
+
+    def members(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    yield pd.DataFrame({"file": z.namelist(), "content": [z.read(n) for n in z.namelist()]})
+
+    found = spark.read.format("binaryFile").load(f"{folder}/images.zip").select("content").mapInPandas(members, "file string, content binary")
+
+    def samples(content: bytes) -> list[tuple]:
+        plane = tiff.decode(content).samples
+        return [(k, c, float(v)) for (k, c), v in np.ndenumerate(plane.reshape(-1, plane.shape[2]))]
+
+    return _read_back(spark, found, samples, "file string, i long, channel long, v double")
 
 
 _RGB = [tuple(bytes.fromhex(c[1:])) for c in CLASS_COLORS]

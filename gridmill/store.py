@@ -49,6 +49,15 @@ def release(df: DataFrame) -> None:
     remove(df.sparkSession, df._gridmill_table)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that go when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/gridmill/{name}-{uuid.uuid4().hex}"
+    where, fs = _at(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -1,6 +1,4 @@
-import io
 import struct
-import zipfile
 import zlib
 
 import numpy as np
@@ -8,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmill.operators.labels import keep_latest
-from gridmill.sinks import files, hdf5, project
+from gridmill.sinks import hdf5, project
 from gridmill.sources import images, tiff
 from gridmill.streaming import events
 
@@ -109,18 +107,6 @@ def test_project_file():
         project.build([project.ProjectImage(f"i{k}", ramp) for k in range(100)], "now")
 
 
-def test_exported_files(spark):
-    pixels = spark.range(6).selectExpr("'a.png' as image_id", "id as i", "int(id % 3) as code", *[f"double(id) / {k + 1} as p{k}" for k in range(4)])
-    made = files.segmentation_files(pixels, 3, 2).unionByName(files.probability_files(pixels, 3, 2))
-    told: list[int] = []
-    bundle = zipfile.ZipFile(io.BytesIO(files.bundle(made, told.append)))
-    assert told == [1, 2]
-    assert sorted(bundle.namelist()) == ["a_probabilities.tif", "a_segmentation.tif"]
-    assert tiff.decode(bundle.read("a_segmentation.tif")).samples.ravel().tolist() == [0, 1, 2, 0, 1, 2]
-    assert tiff.decode(bundle.read("a_probabilities.tif")).samples.shape == (2, 3, 4)
-    assert files.bundle(made.where("false")) is None
-
-
 def _edits(spark):
     rows = [(k, f"2024-01-01 00:00:{s:02d}", "a", k % 2, 0, None if k == 5 else k % 4) for k, s in enumerate((0, 1, 2, 30, 31, 59))]
     return spark.createDataFrame(rows, "event_id long, at string, image_id string, x int, y int, cls int").withColumn("ts", F.to_timestamp("at")).drop("at")
