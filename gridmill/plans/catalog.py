@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -25,6 +24,7 @@ from gridmill.sources import images, tables, tiff
 from gridmill.sources.tables import EVENTS_SIZE, SHIP_SIZE, events_raster, ship_raster, table
 from gridmill.store import materialize, scratch
 from gridmill.streaming import events as streams
+from gridmill.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -856,14 +856,43 @@ def coalesce_latest(spark, sf_dir):
 def label_store(spark, sf_dir):
     """Two batches of strokes through a store that is opened again in between; strokes of the last class erase."""
     strokes = _strokes(spark, sf_dir).withColumns({"batch": F.col("cls") % 2, "cls": F.when(F.col("cls") != 3, F.col("cls"))})
-    name = uuid.uuid4().hex
+    folder = scratch(spark, "label-store")
     for k in range(2):
-        streams.LabelStore(spark, name).apply(strokes.where(F.col("batch") == k).drop("batch"), k)
-    return _longs(streams.LabelStore(spark, name).labels(), "x", "y", "cls")
+        streams.LabelStore(spark, "strokes", folder).apply(strokes.where(F.col("batch") == k).drop("batch"), k)
+    return _longs(streams.LabelStore(spark, "strokes", folder).labels(), "x", "y", "cls")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id % 50 <> 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0)")
+@query(sql.select(sql.STROKES, """SELECT image_id, x, y, cls FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY ts DESC, event_id DESC) AS r FROM st)
+  WHERE r = 1 AND cls <> 3"""))
+def label_state(spark, sf_dir):
+    """Strokes of two folders' worth through a stream that is stopped and started again from its checkpoint; labels are read from its state."""
+    strokes = _strokes(spark, sf_dir).withColumn("cls", F.when(F.col("cls") != 3, F.col("cls")))
+    folder = scratch(spark, "label-state")
+    own = state.stateful(spark, 4)
+    for half in range(2):
+        strokes.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{folder}/strokes")
+        stream = own.readStream.schema(strokes.schema).parquet(f"{folder}/strokes")
+        changes = state.label_changes(stream, "60 days").writeStream.outputMode("update").format("noop")
+        changes.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _longs(state.labels_in(spark, f"{folder}/checkpoint"), "x", "y", "cls").select("image_id", "x", "y", "cls")
+
+
+@query("""WITH p AS (SELECT event_id AS seq, ts, user_id % 40 AS device, event_id % 3 AS pointer, CASE event_type WHEN 'view' THEN 'press' WHEN 'purchase' THEN 'release' ELSE 'move' END AS kind,
+    event_id % 9 = 0 AS other FROM events),
+  own AS (SELECT * FROM p WHERE pointer = 0),
+  down AS (SELECT seq, count(*) FILTER (kind = 'press') AS n FROM (SELECT m.seq, q.pointer, arg_max(q.kind, (q.ts, q.seq)) AS kind
+    FROM own m JOIN p q ON q.device = m.device AND q.kind <> 'move' AND (q.ts, q.seq) <= (m.ts, m.seq) GROUP BY 1, 2) GROUP BY 1),
+  begun AS (SELECT m.seq, max((q.ts, q.seq)) AS at, arg_max(q.other, (q.ts, q.seq)) AS other FROM own m JOIN own q ON q.device = m.device AND q.kind = 'press' AND (q.ts, q.seq) <= (m.ts, m.seq) GROUP BY 1),
+  ended AS (SELECT m.seq, max((q.ts, q.seq)) AS at FROM own m JOIN begun b ON b.seq = m.seq JOIN own q ON q.device = m.device AND q.kind = 'release' AND (q.ts, q.seq) <= (m.ts, m.seq)
+    AND q.other = b.other AND (q.ts, q.seq) > b.at GROUP BY 1)
+  SELECT m.seq AS event_id, m.device FROM own m LEFT JOIN down ON down.seq = m.seq LEFT JOIN begun b ON b.seq = m.seq LEFT JOIN ended e ON e.seq = m.seq
+  WHERE m.kind = 'press' OR (m.kind = 'move' AND b.at IS NOT NULL AND e.at IS NULL AND m.other = b.other AND coalesce(down.n, 0) <= 1)""")
 def primary_pointers(spark, sf_dir):
-    """Users as strokes; some have a second pointer down."""
-    pointers = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("user_id").alias("stroke"), (F.col("event_id") % 50 != 0).alias("is_primary"))
-    return streams.primary_only(pointers).select("event_id", "user_id")
+    """Groups of users as devices of three pointers: presses paint, moves pause while a second pointer is down."""
+    kind = F.when(F.col("event_type") == "view", "press").when(F.col("event_type") == "purchase", "release").otherwise("move")
+    event = F.col("event_id")
+    pointers = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 40).alias("device"), "ts", event.alias("seq"), (event % 3).alias("pointer"), (event % 3 == 0).alias("is_primary"), kind.alias("kind"),
+        F.when(event % 9 == 0, "other").otherwise("one").alias("image_id"),
+    )
+    return state.painting(pointers).select(F.col("seq").alias("event_id"), "device")

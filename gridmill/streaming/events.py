@@ -1,4 +1,4 @@
-"""The stream operators: quiet-time sessions, latest of a frame, and the label store. Each works on batches and streams."""
+"""Stream operators without keyed state of their own: quiet-time sessions, latest of a frame, a label table for ``foreachBatch``. Each works on batches and streams."""
 
 from __future__ import annotations
 
@@ -28,12 +28,6 @@ def latest_of_frame(events: DataFrame, frame: str, by: list[str], value: str, ts
     return events.groupBy(*by, F.window(ts, frame).alias("frame")).agg(last.alias("last")).select(*by, F.col("frame.start").alias("frame_ts"), F.col("last.value").alias(value))
 
 
-def primary_only(pointers: DataFrame) -> DataFrame:
-    """Of pointer events ``(stroke, is_primary, …)`` those that paint: the primary pointer's, while no second one is down."""
-    others = pointers.where(~F.col("is_primary")).select("stroke").distinct()
-    return pointers.where("is_primary").join(others, "stroke", "left_anti")
-
-
 class LabelStore:
     """Labels as a table of a shared folder, replaced by each micro-batch of edits (a null class erases).
 

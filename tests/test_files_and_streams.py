@@ -145,10 +145,7 @@ def test_label_store(spark, tmp_path):
     assert sorted(map(tuple, store.labels().collect())) == sorted(map(tuple, keep_latest(df, ["ts", "event_id"]).collect())) == [("a", 0, 0, 0)]
 
 
-def test_pointers_and_export(spark):
-    rows = [("a", True, 1), ("a", True, 2), ("b", True, 3), ("b", False, 4)]
-    kept = events.primary_only(spark.createDataFrame(rows, "stroke string, is_primary boolean, n int"))
-    assert sorted(r.n for r in kept.collect()) == [1, 2]
+def test_project_export(spark):
     pixels = spark.range(12).selectExpr("'a.tif' as image_id", "id as i", "double(id) as v")
     labels = spark.createDataFrame([("a.tif", 1, 2, 3)], "image_id string, x int, y int, cls int")
     tree = hdf5.read_tree(project.export(pixels, labels, ["a.tif"], 4, 3, "now"))
