@@ -1,7 +1,8 @@
 """The filter bank: separable Gaussian derivatives and the eight features made of them.
 
 Each pass is one window over rows (or columns) with clamped ends. All taps of a
-pass share one window, so a pass is one shuffle and one sort.
+pass share one window, so a pass is one shuffle and one sort. Long rows are cut into tiles that overlap by the
+kernel's radius: a window then covers a tile and its halo, whatever the size of the image.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from gridmill.constants import DEFAULT_SIGMA, MAX_RADIUS, SECOND_SCALE
 
 FEATURES = [f"f{k}" for k in range(8)]
+#: Pixels of a tile along a pass; shorter rows and columns are one.
+TILE = 4_096
 
 
 def half_kernel(sigma: float, order: int = 0) -> list[float]:
@@ -57,9 +60,21 @@ def kernels(sigma: float = DEFAULT_SIGMA) -> dict[str, dict[int, float]]:
     return out
 
 
-def _pass(df: DataFrame, keep: list[str], across: str, along: str, sums: dict[str, tuple[str, dict[int, float]]]) -> DataFrame:
-    """Weighted sums along one axis; ``sums`` maps a new column to its input column and kernel."""
-    line = Window.partitionBy("image_id", across).orderBy(along)
+def _with_halos(df: DataFrame, along: str, tile: int, radius: int) -> DataFrame:
+    """Every pixel once in its own tile ``_tile``, and once in each tile that is at most ``radius`` pixels away."""
+    at = F.col(along)
+    first, last = F.floor((at - radius) / tile), F.floor((at + radius) / tile)
+    return df.withColumn("_tile", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+
+
+def _pass(df: DataFrame, keep: list[str], across: str, along: str, sums: dict[str, tuple[str, dict[int, float]]], tile: int | None = None) -> DataFrame:
+    """Weighted sums along one axis; ``sums`` maps a new column to its input column and kernel.
+
+    In tiles of ``tile`` pixels, if given: a pixel's taps are all in its tile or the halo, or beyond the image's end, where that of the tile stands.
+    """
+    if tile:
+        df = _with_halos(df, along, tile, max(max(kernel) for _, kernel in sums.values()))
+    line = Window.partitionBy("image_id", across, *(["_tile"] if tile else [])).orderBy(along)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     reach = {}
     for source, kernel in sums.values():
@@ -73,23 +88,25 @@ def _pass(df: DataFrame, keep: list[str], across: str, along: str, sums: dict[st
         taps[source, 0] = F.coalesce(F.col(source), F.lit(0.0))
     named = {key: f"_{key[0]}_{key[1] + radius_all}" for radius_all in [max(reach.values())] for key in taps}
     spread = df.select("*", *[taps[k].alias(named[k]) for k in taps])
+    if tile:
+        spread = spread.where(F.floor(F.col(along) / tile) == F.col("_tile"))
     total = lambda source, kernel: reduce(lambda a, b: a + b, [F.lit(w) * F.col(named[source, d]) for d, w in sorted(kernel.items())])
     return spread.select(*keep, *[total(s, k).alias(name) for name, (s, k) in sums.items()])
 
 
-def horizontal(pixels: DataFrame, sigma: float = DEFAULT_SIGMA, keep: list[str] | None = None) -> DataFrame:
+def horizontal(pixels: DataFrame, sigma: float = DEFAULT_SIGMA, keep: list[str] | None = None, tile: int | None = None) -> DataFrame:
     k = kernels(sigma)
     sums = {"h0": ("v", k["k0"]), "h1": ("v", k["k1"]), "h2": ("v", k["k2"]), "h0s": ("v", k["k0s"])}
-    return _pass(pixels, keep or ["image_id", "x", "y", "i", "v"], "y", "x", sums)
+    return _pass(pixels, keep or ["image_id", "x", "y", "i", "v"], "y", "x", sums, tile)
 
 
-def vertical(rows: DataFrame, sigma: float = DEFAULT_SIGMA, keep: list[str] | None = None) -> DataFrame:
+def vertical(rows: DataFrame, sigma: float = DEFAULT_SIGMA, keep: list[str] | None = None, tile: int | None = None) -> DataFrame:
     k = kernels(sigma)
     sums = {
         "l": ("h0", k["k0"]), "lx": ("h1", k["k0"]), "lxx": ("h2", k["k0"]), "ly": ("h0", k["k1"]),
         "lxy": ("h1", k["k1"]), "lyy": ("h0", k["k2"]), "lsub": ("h0s", k["k0s"]),
     }
-    return _pass(rows, keep or ["image_id", "x", "y", "i", "v"], "x", "y", sums)
+    return _pass(rows, keep or ["image_id", "x", "y", "i", "v"], "x", "y", sums, tile)
 
 
 def eigenvalues(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
@@ -108,7 +125,11 @@ def feature_columns() -> dict[str, Column]:
     }
 
 
-def features(pixels: DataFrame, sigma: float = DEFAULT_SIGMA) -> DataFrame:
+def features(pixels: DataFrame, sigma: float = DEFAULT_SIGMA, width: int = 0, height: int = 0) -> DataFrame:
     """``(image_id, x, y, i, v, f0 … f7)`` of a dense raster: smoothing, Laplacian, gradient, difference
-    of Gaussians, eigenvalues of the structure tensor and of the Hessian."""
-    return vertical(horizontal(pixels, sigma), sigma).select("image_id", "x", "y", "i", "v", *[e.alias(n) for n, e in feature_columns().items()])
+    of Gaussians, eigenvalues of the structure tensor and of the Hessian.
+
+    ``width`` and ``height`` say how long rows and columns are; those above ``TILE`` are treated in tiles."""
+    in_rows = horizontal(pixels, sigma, tile=TILE if width > TILE else None)
+    both = vertical(in_rows, sigma, tile=TILE if height > TILE else None)
+    return both.select("image_id", "x", "y", "i", "v", *[e.alias(n) for n, e in feature_columns().items()])

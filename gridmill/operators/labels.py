@@ -29,10 +29,13 @@ def brush(strokes: DataFrame, radius: float, width: int, height: int) -> DataFra
     return rows.where(inside & disc).withColumns({"px": px, "py": py}).drop("dx", "dy")
 
 
-def keep_latest(edits: DataFrame, order: list[str]) -> DataFrame:
-    """Of edits ``(image_id, x, y, cls, …)`` the last of each pixel; a null class erases."""
+def keep_latest(edits: DataFrame, order: list[str], keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Of edits ``(image_id, x, y, cls, …)`` the last of each pixel; a null class erases.
+
+    With ``order`` kept too, labels can be listed as they were painted: a pixel that is painted again goes to the end.
+    """
     last = F.row_number().over(Window.partitionBy(*PIXEL).orderBy(*[F.desc(o) for o in order]))
-    return edits.withColumn("rank", last).where((F.col("rank") == 1) & F.col("cls").isNotNull()).select(*PIXEL, "cls")
+    return edits.withColumn("rank", last).where((F.col("rank") == 1) & F.col("cls").isNotNull()).select(*PIXEL, "cls", *keep)
 
 
 def upsert(labels: DataFrame, painted: DataFrame) -> DataFrame:

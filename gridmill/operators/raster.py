@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gridmill.functions.scalars import pixel_index
 
 
+#: Pixels of a row that are dealt together at most.
+TILE = 4_096
 #: Images of more pixels than this have their rows dealt out before the rows' pixels are made.
 LARGE_IMAGE = 1 << 20
 
@@ -31,8 +33,10 @@ def rasterize(df: DataFrame, image: Column, x: Column, y: Column, width: int, he
     binned = binned.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1) & F.col("image_id").isNotNull())
     cells = binned.groupBy("image_id", "x", "y").agg(value.cast("double").alias("v"))
     empty = grid(df.select(image.alias("image_id")).where(F.col("image_id").isNotNull()).distinct(), width, height).withColumn("v", F.lit(0.0))
-    # Cells fall onto empty pixels by addition, dealt by image row: a horizontal pass over the result needs no shuffle of its own.
-    rows = cells.unionByName(empty).repartition("image_id", "y").groupBy("image_id", "x", "y").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
+    # Cells fall onto empty pixels by addition, dealt by image row: a horizontal pass over the result needs no shuffle of its own. Long rows are
+    # dealt by tiles.
+    tile = [F.floor(F.col("x") / TILE)] if width > TILE else []
+    rows = cells.unionByName(empty).repartition("image_id", "y", *tile).groupBy("image_id", "x", "y").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
     return with_index(rows, width)
 
 

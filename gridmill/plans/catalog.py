@@ -274,6 +274,18 @@ def conv_v(spark, sf_dir):
     return _rounded(filters.vertical(filters.horizontal(events_raster(spark, sf_dir), SIGMA), SIGMA), *_V).select("image_id", "i", *_V)
 
 
+@query(_round_sql(sql.FILTERS, "hpass", _H))
+def conv_h_tiled(spark, sf_dir):
+    """The same in tiles of 7 pixels with halos."""
+    return _rounded(filters.horizontal(events_raster(spark, sf_dir), SIGMA, tile=7), *_H).select("image_id", "i", *_H)
+
+
+@query(_round_sql(sql.FILTERS, "vpass", _V))
+def conv_v_tiled(spark, sf_dir):
+    rows = filters.horizontal(events_raster(spark, sf_dir), SIGMA, tile=7)
+    return _rounded(filters.vertical(rows, SIGMA, tile=11), *_V).select("image_id", "i", *_V)
+
+
 def _feature_query(name: str, columns: list[str]) -> None:
     def run(spark, sf_dir):
         return _rounded(_features(spark, sf_dir), *columns).select("image_id", "i", *columns)
@@ -366,6 +378,20 @@ def training_set(spark, sf_dir):
     return _longs(_rounded(rows, *RASTER_FEATURES), "cls")
 
 
+def _stroke_labels(spark, sf_dir) -> DataFrame:
+    """What strokes left, with their order."""
+    order = ["ts", "event_id"]
+    return labels.keep_latest(_strokes(spark, sf_dir), order, order).withColumn("i", scalars.pixel_index(F.col("x"), F.col("y"), EVENTS_SIZE[0]))
+
+
+@query(sql.select(sql.STROKES, """SELECT image_id, x, y, cls, row_number() OVER (ORDER BY image_id, ts, event_id) - 1 AS row FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY ts DESC, event_id DESC) AS r FROM st)
+  WHERE r = 1"""))
+def label_order(spark, sf_dir):
+    """Labels as they were painted, image by image; a pixel that is painted again goes to the end."""
+    rows = pipeline.numbered(_stroke_labels(spark, sf_dir), ["image_id", "ts", "event_id"])
+    return _longs(rows, "x", "y", "cls").select("image_id", "x", "y", "cls", "row")
+
+
 # --- forest ------------------------------------------------------------------------------------------
 
 
@@ -432,11 +458,14 @@ def tree_depth1(spark, sf_dir):
     return _longs(top, "side", "cls")
 
 
-def _forest_sql(trees: int, depth: int) -> str:
-    """Bootstrap, then every open node of a level split at once; nodes are numbered by their paths, left before right."""
+def _forest_ctes(trees: int, depth: int, samples: str = sql.EMBED_ROWS) -> str:
+    """Bootstrap, then every open node of a level split at once; nodes are numbered by their paths, left before right.
+
+    ``samples`` ends with ``emb``, whose ``vec_id`` orders the rows.
+    """
     names = ", ".join(EMBED_FEATURES)
     side = f"CASE b.feature {' '.join(f'WHEN {k} THEN s.{f}' for k, f in enumerate(EMBED_FEATURES))} END < b.threshold"
-    steps = [f"""{sql.EMBED_ROWS}, rows AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, {names}, cls FROM emb), n AS (SELECT count(*) AS n FROM emb),
+    steps = [f"""{samples}, rows AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, {names}, cls FROM emb), n AS (SELECT count(*) AS n FROM emb),
       dr AS (SELECT t.range AS tree, k.range AS k, (t.range * 7919 + k.range * 104729 + 1) % 2147483648 AS s0, n FROM n, range({trees}) t, range((SELECT n FROM n)) k),
       bs AS (SELECT tree, CAST(((((s0 * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % n AS BIGINT) AS row FROM dr),
       s0 AS (SELECT tree, '' AS path, {names}, cls FROM bs JOIN rows USING (row))"""]
@@ -455,9 +484,13 @@ def _forest_sql(trees: int, depth: int) -> str:
             FROM t{d} t LEFT JOIN best{d} b ON b.g = t.tree || ':' || t.path),
           s{d + 1} AS (SELECT s.tree, s.path || CASE WHEN {side} THEN 'L' ELSE 'R' END AS path, {", ".join(f"s.{f}" for f in EMBED_FEATURES)}, s.cls FROM s{d} s JOIN best{d} b ON b.g = s.tree || ':' || s.path)""")
     every = " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(depth + 1))
-    return f"""WITH {", ".join(steps)}, nodes AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS node FROM ({every}))
-      SELECT a.tree, a.node, CAST(a.feature AS BIGINT) AS feature, a.threshold, CASE WHEN a.feature < 0 THEN -1 ELSE a.node + 1 END AS "left", CASE WHEN a.feature < 0 THEN -1 ELSE r.node END AS "right", CAST(a.cls AS BIGINT) AS cls
-      FROM nodes a LEFT JOIN nodes r ON r.tree = a.tree AND r.path = a.path || 'R'"""
+    return f"""{", ".join(steps)}, numbered AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS node FROM ({every})),
+      nodes AS (SELECT a.tree, a.node, CAST(a.feature AS BIGINT) AS feature, a.threshold, CASE WHEN a.feature < 0 THEN -1 ELSE a.node + 1 END AS "left", CASE WHEN a.feature < 0 THEN -1 ELSE r.node END AS "right", CAST(a.cls AS BIGINT) AS cls
+      FROM numbered a LEFT JOIN numbered r ON r.tree = a.tree AND r.path = a.path || 'R')"""
+
+
+def _forest_sql(trees: int, depth: int, samples: str = sql.EMBED_ROWS) -> str:
+    return f"WITH {_forest_ctes(trees, depth, samples)} SELECT * FROM nodes"
 
 
 @query(_forest_sql(8, 8))
@@ -473,12 +506,38 @@ def forest_train_by_levels(spark, sf_dir):
     return _longs(forest.train_by_levels(rows, EMBED_FEATURES), "tree", "node", "feature", "left", "right", "cls")
 
 
-@query(None)
+def _raster_rows(labels_: str, order: str) -> str:
+    """Labelled pixels as training rows: features of 6 digits, in single precision."""
+    values = ", ".join(f"CAST(CAST(round({f}, 6) + 0.0 AS FLOAT) AS DOUBLE) AS {e}" for f, e in zip(RASTER_FEATURES, EMBED_FEATURES, strict=True))
+    return f"{sql.FILTERS}, {labels_}, emb AS (SELECT row_number() OVER (ORDER BY {order}) AS vec_id, {values}, lbl.cls FROM feat JOIN lbl USING (image_id, i))"
+
+
+_STROKE_LABELS = f"{sql.STROKES}, lbl AS (SELECT image_id, y * 24 + x AS i, cls, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY ts DESC, event_id DESC) AS r FROM st) WHERE r = 1)"
+
+
+@query(_forest_sql(4, 5, _raster_rows(_STROKE_LABELS, "lbl.image_id, lbl.ts, lbl.event_id")))
+def forest_in_painting_order(spark, sf_dir):
+    """Trees draw rows by number, and rows are numbered as they were painted."""
+    features = _rounded(_features(spark, sf_dir), *RASTER_FEATURES)
+    rows = pipeline.training_set(features, _stroke_labels(spark, sf_dir))
+    nodes = forest.train(pipeline.numbered(rows, ["image_id", "ts", "event_id"]), RASTER_FEATURES, forest.ForestConfig(4, 5))
+    return _longs(nodes, "tree", "node", "feature", "left", "right", "cls")
+
+
+_WALKED = f"""{_forest_ctes(8, 8, _raster_rows("lbl AS (SELECT image_id, i, (7 * x + 13 * y) % 4 AS cls FROM r1 WHERE (7 * x + 13 * y) % 11 = 0)", "lbl.image_id, lbl.i"))},
+  fx AS (SELECT image_id, x, y, i, v, [{", ".join(f"round({f}, 6) + 0.0" for f in RASTER_FEATURES)}] AS f FROM feat),
+  walk(image_id, i, tree, node) AS (SELECT image_id, i, t.range, 0::BIGINT FROM fx, range(8) t
+    UNION ALL SELECT w.image_id, w.i, w.tree, CASE WHEN fx.f[n.feature + 1] < n.threshold THEN n."left" ELSE n."right" END FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node
+      JOIN fx ON fx.image_id = w.image_id AND fx.i = w.i WHERE n.feature >= 0),
+  votes AS (SELECT w.image_id, w.i, n.cls, count(*) AS n FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature < 0 GROUP BY 1, 2, 3),
+  m AS (SELECT votes.image_id, votes.cls, fx.x, fx.y, fx.i, fx.v FROM votes JOIN fx ON fx.image_id = votes.image_id AND fx.i = votes.i WHERE votes.n >= 4)"""
+
+
+@query(sql.select(sql.components_of(_WALKED), "SELECT CAST(c.range AS BIGINT) AS cls, count(obj.label) AS objects FROM range(4) c LEFT JOIN obj ON obj.cls = c.range GROUP BY 1"))
 def retrain(spark, sf_dir):
     """Train on painted pixels of all images, classify every pixel, count each class's objects."""
-    painted = _painted(spark, sf_dir)
-    labels_ = painted.select("image_id", F.col("i"), F.col("cls").cast("int").alias("cls"))
-    return _longs(pipeline.retrain(events_raster(spark, sf_dir), labels_, *EVENTS_SIZE, SIGMA), "cls")
+    painted = _painted(spark, sf_dir).select("image_id", "i", "cls")
+    return _longs(pipeline.retrain_on(_rounded(_features(spark, sf_dir), *RASTER_FEATURES), painted, *EVENTS_SIZE), "cls")
 
 
 @query("SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, CAST(feature AS BIGINT) AS feature, CAST(threshold AS DOUBLE) AS threshold, CAST(l AS BIGINT) AS \"left\", CAST(r AS BIGINT) AS \"right\", CAST(cls AS BIGINT) AS cls FROM (VALUES "

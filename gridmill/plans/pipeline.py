@@ -9,16 +9,29 @@ from pyspark.sql import functions as F
 
 from gridmill.constants import DEFAULT_SIGMA, MEMBER_THRESHOLD, MIN_LABELS_TO_TRAIN, NUM_CLASSES
 from gridmill.operators import ccl, filters, forest, objects
-from gridmill.store import materialize
+from gridmill.store import materialize, release
 
+#: Labels (some 50 bytes each) that are sent to all executors, at most; rows that one task numbers, at most.
+MOST_BROADCAST = 500_000
+FEW_ROWS = 100_000
 
-def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """One feature vector for each label, all images together; labels are few, and Spark sends them to the pixels if they fit."""
-    return features.select("image_id", "i", *filters.FEATURES).join(labels, ["image_id", "i"])
 
+def training_set(features: DataFrame, labels: DataFrame, known: int | None = None) -> DataFrame:
+    """One feature vector for each label, all images together, with the labels' other columns.
 
-def numbered(samples: DataFrame, order: list[str]) -> DataFrame:
-    """Rows numbered ``row`` from 0 in a stated order without ties. They are sorted by ranges and counted in each, so no task holds all."""
+    Labels whose number is ``known`` to be at most ``MOST_BROADCAST`` are sent to the features, which then stay where they are.
+    """
+    near = F.broadcast(labels) if known is not None and known <= MOST_BROADCAST else labels
+    return features.select("image_id", "i", *filters.FEATURES).join(near, ["image_id", "i"])
+
+
+def numbered(samples: DataFrame, order: list[str], known: int | None = None) -> DataFrame:
+    """Rows numbered ``row`` from 0 in a stated order without ties.
+
+    Up to ``FEW_ROWS`` (``known``, or counted here) are numbered by one task. More are sorted by ranges and counted in each, so no task holds all.
+    """
+    if (samples.count() if known is None else known) <= FEW_ROWS:
+        return samples.withColumn("row", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     ranged = materialize(samples.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
     few = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each task of the sort
     few = few.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -38,17 +51,29 @@ def class_objects(classified: DataFrame, width: int, height: int, scale: int = 1
 
 
 def count_objects(pixels: DataFrame, nodes: Sequence[tuple], width: int, height: int, sigma: float = DEFAULT_SIGMA) -> DataFrame:
-    classified = forest.probabilities(filters.features(pixels, sigma), nodes, filters.FEATURES)
+    classified = forest.probabilities(filters.features(pixels, sigma, width, height), nodes, filters.FEATURES)
     return objects.class_counts(class_objects(classified, width, height), NUM_CLASSES)
 
 
-def retrain(pixels: DataFrame, labels: DataFrame, width: int, height: int, sigma: float = DEFAULT_SIGMA, config: forest.ForestConfig = forest.ForestConfig()) -> DataFrame:
-    """Train on the labels, classify every pixel, count objects by class; too few labels give counts of 0."""
-    spark = pixels.sparkSession
-    if labels.limit(MIN_LABELS_TO_TRAIN).count() < MIN_LABELS_TO_TRAIN:
-        return spark.range(config.classes).select(F.col("id").cast("int").alias("cls"), F.lit(0).cast("long").alias("objects"))
-    features = filters.features(pixels, sigma)
-    samples = numbered(training_set(features, labels), ["image_id", "i"])
-    nodes = forest.collect_forest(forest.train(samples, filters.FEATURES, config))
+def retrain(
+    pixels: DataFrame, labels: DataFrame, width: int, height: int, sigma: float = DEFAULT_SIGMA, config: forest.ForestConfig = forest.ForestConfig(), order: Sequence[str] = ("i",)
+) -> DataFrame:
+    """Train on the labels, classify every pixel, count objects by class; too few labels give counts of 0.
+
+    The filter bank runs once: its features are written, and read by training and by classification. Labels ``(image_id, i, cls, …)`` are taken image by
+    image in ``order``, which decides what each tree draws: by default that of pixels, for painting order say the columns of time and event.
+    """
+    return retrain_on(filters.features(pixels, sigma, width, height), labels, width, height, config, order)
+
+
+def retrain_on(features: DataFrame, labels: DataFrame, width: int, height: int, config: forest.ForestConfig = forest.ForestConfig(), order: Sequence[str] = ("i",)) -> DataFrame:
+    """:func:`retrain` from features ``(image_id, x, y, i, v, f0 … f7)``."""
+    known = labels.count()
+    if known < MIN_LABELS_TO_TRAIN:
+        return features.sparkSession.range(config.classes).select(F.col("id").cast("int").alias("cls"), F.lit(0).cast("long").alias("objects"))
+    features = materialize(features, "features")
+    samples = materialize(training_set(features, labels, known), "samples")
+    nodes = forest.collect_forest(forest.train(numbered(samples, ["image_id", *order], known), filters.FEATURES, config))
+    release(samples)
     classified = forest.probabilities(features, nodes, filters.FEATURES, config.classes)
     return objects.class_counts(class_objects(classified, width, height), config.classes)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from gridmill.operators import forest
+from gridmill.operators import forest, planes
 from gridmill.operators.labels import PIXEL
 from gridmill.plans import pipeline
 from gridmill.shipping import ship
@@ -201,3 +201,38 @@ class QuietRetrain:
         spark = self._pixels.sparkSession
         done = sorted(map(int, complete_tables(spark, self._folder)))
         return spark.read.parquet(f"{self._folder}/{done[-1]}") if done else None
+
+
+# --- intake ---------------------------------------------------------------------------------------
+
+
+class _FirstOnly(StatefulProcessor):
+    """Remembers that a file has been seen; of a micro-batch's rows of a new one the first by ``ord`` passes."""
+
+    def init(self, handle) -> None:
+        self._seen = handle.getValueState("seen", "first long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self._seen.update((-1,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self._seen.exists():
+            return
+        first = min((frame.sort_values("ord", kind="stable").head(1) for frame in rows), key=lambda f: f["ord"].iloc[0])
+        self._seen.update((int(first["ord"].iloc[0]),))
+        yield first
+
+    def close(self) -> None:
+        pass
+
+
+def intake_stream(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """:func:`gridmill.operators.planes.intake` on a stream of a :func:`stateful` session: image files that were not seen before.
+
+    A file is known by name and size, in this micro-batch, in earlier ones (after a restart too), or among ``known (name, file_size)`` when the stream first
+    starts. The first that arrives wins, within a micro-batch that with the least ``ord``. The mode is append.
+    """
+    key = ["name", "file_size"]
+    rows = planes.accepted(files)
+    initial = known.select(*key).distinct().groupBy(*key) if known is not None else None
+    return rows.groupBy(*key).transformWithStateInPandas(_FirstOnly(), rows.schema, "Append", "None", initial)
