@@ -16,6 +16,7 @@ all that the count of documents needs to be exact.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,12 +103,33 @@ def lines_of(chunk: tokens.Chunk) -> tuple[np.ndarray, ...]:
     return place[first], leaf, line, (toks[every] >> np.uint64(32)).astype(np.uint32), counts, n_lines
 
 
+def _position_groups(toks: np.ndarray, groups: int) -> list[np.ndarray]:
+    """Positions dealt into groups that tell lines apart about equally well: the most telling positions first, each to the group that has least."""
+    telling = []
+    for column in toks.T:
+        _, counts = np.unique(column, return_counts=True)
+        shares = counts / len(toks)
+        telling.append(float(-np.log((shares * shares).sum())))
+    held, total = [[] for _ in range(groups)], [0.0] * groups
+    for p in sorted(range(toks.shape[1]), key=lambda p: (-telling[p], p)):
+        g = min(range(groups), key=lambda g: (total[g], len(held[g])))
+        held[g].append(p)
+        total[g] += telling[p]
+    return [np.array(h) for h in held]
+
+
+def _group_key(toks: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """A number for the tokens at some positions of each line."""
+    steps = (positions.astype(np.uint64) + np.uint64(1)) << np.uint64(33)
+    return tokens.mix(toks[:, positions].astype(np.uint64) + steps).sum(axis=1, dtype=np.uint64)
+
+
 def templates(toks: np.ndarray, like: float = LIKE, lead: int = DEPTH) -> np.ndarray:
     """The template of each line of one leaf, lines by rows; they come in the order given (that of their first documents).
 
-    A line joins the template it agrees with most (of equals the oldest), if that is enough. A template that is enough agrees
-    with one at least of any ``most + 1`` tokens, if ``most`` may differ; so only those are looked at that are listed under one of
-    the line's ``most + 1`` least listed tokens. The first ``lead`` tokens are the same throughout a leaf, and are not listed.
+    A line joins the template it agrees with most (of equals the oldest), if that is enough. If ``most`` tokens may differ and the positions are in
+    ``most + 1`` groups, a template that is enough agrees in one group throughout; so templates are listed by the tokens of each group, and only those
+    are looked at that share a group with the line. The first ``lead`` tokens are the same throughout a leaf, and are in no group.
     """
     n = toks.shape[1]
     lead = min(lead, n)
@@ -115,29 +137,35 @@ def templates(toks: np.ndarray, like: float = LIKE, lead: int = DEPTH) -> np.nda
     most = n - need
     if n - lead <= most:  # all lines of the leaf agree enough
         return np.zeros(len(toks), np.int64)
-    known = np.zeros((16, n), np.uint32)
+    groups = [g + lead for g in _position_groups(toks[:, lead:], most + 1)]
+    group_of = np.zeros(n, np.int64)
+    for k, g in enumerate(groups):
+        group_of[g] = k
+    keys = np.stack([_group_key(toks, g) for g in groups], axis=1).tolist()
+    known, ones = np.zeros((16, n), np.uint32), np.ones(n, np.float32)
     used = 0
-    listed: list[dict[int, list[int]]] = [{} for _ in range(n)]
+    listed: list[dict[int, array]] = [{} for _ in groups]
     out = np.zeros(len(toks), np.int64)
     for k, line in enumerate(toks):
-        own = line.tolist()
-        lists = sorted((listed[p].get(own[p], ()) for p in range(lead, n)), key=len)[: most + 1]
-        candidates = np.array(sorted({t for x in lists for t in x}), np.int64)
-        if len(candidates):
-            agree = (known[candidates] == line).sum(axis=1)
-            best = int(np.argmax(agree))
-            if agree[best] >= need:
-                t = out[k] = candidates[best]
-                for p in np.flatnonzero(known[t] != line).tolist():
-                    if known[t, p] != _ANY:
-                        known[t, p] = _ANY
-                        listed[p].setdefault(int(_ANY), []).append(int(t))
+        found = [np.frombuffer(x, np.int32) for g, key in zip(listed, keys[k], strict=True) if (x := g.get(key))]
+        if found:
+            candidates = np.concatenate(found)
+            found = None
+            agree = (known[candidates] == line) @ ones
+            best = agree.max()
+            if best >= need:
+                t = out[k] = candidates[agree == best].min()
+                changed = np.flatnonzero((known[t] != line) & (known[t] != _ANY))
+                if len(changed):
+                    known[t, changed] = _ANY
+                    for g in np.unique(group_of[changed]).tolist():
+                        listed[g].setdefault(int(_group_key(known[t : t + 1], groups[g])[0]), array("i")).append(int(t))
                 continue
         if used == len(known):
             known = np.concatenate([known, np.zeros_like(known)])
         known[used] = line
-        for p in range(lead, n):
-            listed[p].setdefault(own[p], []).append(used)
+        for g, key in zip(listed, keys[k], strict=True):
+            g.setdefault(key, array("i")).append(used)
         out[k] = used
         used += 1
     return out

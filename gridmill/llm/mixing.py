@@ -7,7 +7,8 @@ exponentially tilted rates that solve the convex dual of the source's token
 constraint. Newton steps, kept inside a bracket, find all lambdas at once; each
 step is one aggregation of the table of sizes, which has a row for each source
 and size, and after ``_STEPS`` the bracket is halved until it is settled. Rates are then rounded into copies by cumulative sums from the longest
-to the shortest, so a source's taken words differ from its target by a document or so.
+to the shortest. What a source is then short of (or over) in words is settled by single copies, from the largest size that fits on, so
+it misses its target by less than its shortest document that can still be taken once more (or less).
 
 Everything is DataFrame operations. Rows of one source and size are split into
 parts of about ``PART_ROWS`` by a hash of their identifier and text. Sums run over a
@@ -120,6 +121,37 @@ def solve(sizes: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
             return now.drop("low", "high", "done")
 
 
+def settled(bins: DataFrame, most: int) -> DataFrame:
+    """``(no_source, source, size, moves)``: copies to add (or, below 0, to take away) so that each source comes as near its target as single copies bring it.
+
+    ``bins`` has numbers ``n`` and copies ``taken`` of parts of each size. A source's sizes, one entry each, are walked from the largest: of each size as
+    many copies change as still fit into what is missing. At most as many sizes change as that number halves. If what then remains is more than half of
+    the smallest size that can change, one copy of that is changed too.
+    """
+    sizes = bins.where("size > 0").groupBy(*_KEY, "size").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    gap = F.round(F.first("target")).cast("long") - F.sum(F.col("taken") * F.col("size"))
+    by_source = sizes.groupBy(*_KEY).agg(gap.alias("gap"), F.sort_array(F.collect_list(F.struct("size", "n", "taken")), asc=False).alias("sizes"))
+    adds = F.col("gap") > 0
+    by_source = by_source.withColumn("sizes", F.transform("sizes", lambda s: F.struct(s["size"].alias("size"), F.when(adds, most * s["n"] - s["taken"]).otherwise(s["taken"]).alias("room"))))
+    by_source = by_source.withColumn("sizes", F.filter("sizes", lambda s: s["room"] > 0))
+    start = F.struct(F.abs("gap").alias("left"), F.array().cast("array<struct<size:bigint,k:bigint>>").alias("picks"))
+
+    def step(acc: Column, s: Column) -> Column:
+        k = F.least(s["room"], F.floor(acc["left"] / s["size"]))
+        picks = F.when(k > 0, F.array_append(acc["picks"], F.struct(s["size"].alias("size"), k.alias("k")))).otherwise(acc["picks"])
+        return F.struct((acc["left"] - k * s["size"]).alias("left"), picks.alias("picks"))
+
+    walked = by_source.withColumn("walk", F.aggregate("sizes", start, step))
+    # The smallest size with room left when all picks are made: it is larger than what remains, or there is none.
+    picked = lambda s: F.coalesce(F.element_at(F.map_from_entries("walk.picks"), s["size"]), F.lit(0))
+    spare = F.try_element_at(F.filter("sizes", lambda s: s["room"] > picked(s)), F.lit(-1))
+    walked = walked.withColumn("spare", spare["size"])
+    last = F.when(2 * F.col("walk.left") > F.col("spare"), F.array(F.struct(F.col("spare").alias("size"), F.lit(1).cast("long").alias("k"))))
+    picks = F.concat(F.col("walk.picks"), F.coalesce(last, F.array().cast("array<struct<size:bigint,k:bigint>>")))
+    moves = walked.select(*_KEY, adds.alias("adds"), F.explode(picks).alias("pick")).groupBy(*_KEY, F.col("pick.size").alias("size"))
+    return moves.agg(F.sum(F.when(F.col("adds"), F.col("pick.k")).otherwise(-F.col("pick.k"))).alias("moves"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """For each row of ``docs``: doc_id, ``tie`` (a hash of its text), source, size, source_size, target, rate and ``copies``.
 
@@ -149,7 +181,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     bins = bins.join(by_size, [*_KEY, "size"]).withColumn("upto", (F.col("before") + F.sum(share).over(upto)).cast("decimal(38,12)"))
     copies_upto = lambda c: F.floor(c + F.lit(0.5).cast("decimal(2,1)")).cast("long")
     bins = bins.withColumn("extra", copies_upto(F.col("upto")) - copies_upto((F.col("upto") - share).cast("decimal(38,12)")))
-    plan = bins.select(*bin_key, "source_size", "target", "rate", "whole", "extra")
+    taken = F.col("whole") * F.col("n") + F.col("extra")
+    bins = materialize(bins.select(*bin_key, "n", "source_size", "target", "rate", taken.alias("taken")), "bins")
+    moved = settled(bins, int(cap))
+    room = F.when(F.col("moves") > 0, int(cap) * F.col("n") - F.col("taken")).otherwise(F.col("taken"))
+    earlier = Window.partitionBy(*_KEY, "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    changed = bins.join(moved, [*_KEY, "size"]).withColumn("room", room)
+    changed = changed.withColumn("left", F.abs("moves") - F.coalesce(F.sum("room").over(earlier), F.lit(0)))
+    own = F.greatest(F.lit(0), F.least("room", "left")) * F.signum("moves").cast("long")
+    plan = bins.join(changed.select(*bin_key, own.alias("own")), bin_key, "left")
+    total = F.col("taken") + F.coalesce("own", F.lit(0))
+    whole = F.floor(total / F.col("n"))
+    plan = plan.select(*bin_key, "source_size", "target", "rate", whole.alias("whole"), (total - whole * F.col("n")).alias("extra"))
     place = F.row_number().over(Window.partitionBy(*bin_key).orderBy(F.xxhash64("doc_id", "tie", F.lit(1)), "doc_id", "tie"))
     return (
         rows.withColumn("place", place)

@@ -238,6 +238,33 @@ def test_large_leaf():
     assert (got[:50_000] == np.arange(50_000)).all() and (got[50_000:] == got[:50_000]).all()
 
 
+@pytest.mark.parametrize("n, vocabulary", [(20, 3), (20, 10), (9, 6), (16, 2)])
+def test_frequent_tokens(n, vocabulary):
+    rng = np.random.default_rng(n + vocabulary)
+    toks = rng.integers(1, vocabulary + 1, (1500, n)).astype(np.uint32)
+    toks[:, :3] = 0
+    toks[rng.random(toks.shape) < 0.05] = 0
+    toks[:, :3] = 0
+    toks[700:] = np.where(rng.random((800, n)) < 0.1, rng.integers(0, vocabulary, (800, n)), toks[rng.integers(0, 700, 800)])
+    toks[:, :3] = 0
+    assert line_dedup.templates(toks).tolist() == plain_templates(toks, line_dedup.LIKE)
+
+
+@pytest.mark.parametrize("fixed", [0, 14])
+def test_large_leaf_of_frequent_tokens(fixed):
+    """Lines of 20 tokens from 10 words; or all alike but in 6 places."""
+    import time
+
+    rng = np.random.default_rng(0)
+    toks = rng.integers(1, 11, (100_000, 20)).astype(np.uint32)
+    if fixed:
+        toks[:, fixed:] = rng.integers(1, 1 << 30, (100_000, 20 - fixed))
+    toks[:, : max(3, fixed)] = 0
+    began = time.time()
+    line_dedup.templates(toks)
+    assert time.time() - began < 60
+
+
 def test_short_lines_and_lines_of_numbers(spark):
     data = [(k, f"body {'abcdefghij'[k]} stays alone\nLes.\n17 4\n{k} {k}\n\nrow {k} x{k}", "en", "a", 1) for k in range(8)]
     got = {r.doc_id: r.text for r in line_dedup.drop_lines(frame(spark, data).select("doc_id", "text")).collect()}
