@@ -8,8 +8,8 @@ least ``PERCENT`` percent of their union. The result is exact:
 2. Equal sets become one node. Counted among nodes only, shingles are put in one
    order, rarest first; sets that link share one of their first few (the prefix).
 3. Similar nodes form groups: those with the same most frequent shingle, in parts
-   of about ``GROUP``. A group's nodes are compared with each other and with the
-   first part of their kind.
+   of about ``GROUP`` that keep nodes with the same rarest shingle together. A group's nodes are compared with each
+   other and with the first part of their kind.
 4. Every node outside the largest component that meets at a prefix shingle is a query against the
    groups met there of other components and of fitting sizes; both ends of a link between components cannot
    lie in the largest one. The token-group matrix stores each group's token union. A query's overlap with
@@ -189,7 +189,7 @@ def prefixes(sets: DataFrame, deal: exchange.Deal, percent: int = PERCENT) -> Da
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set of ``a`` with each of ``b``, by products of 0-1 matrices."""
-    out = np.zeros((len(a), len(b)), np.float32)
+    out = np.zeros((len(a), len(b)))
     if not a or not b:
         return out
     common = np.intersect1d(np.concatenate(a), np.concatenate(b))
@@ -295,12 +295,25 @@ def qualifying(asked: DataFrame, groups: DataFrame, percent: int = PERCENT) -> D
     return rows.groupBy("key", "part", "load").applyInArrow(run, "node long, key long, part int, load int")
 
 
+def parted(marked: DataFrame) -> DataFrame:
+    """Adds ``parts`` of a node's most frequent shingle ``key``, some ``GROUP`` nodes each, and the node's ``part``.
+
+    Nodes with the same rarest shingle are in one part, so a shingle meets few groups and a group's token union stays small; those of a
+    rarest shingle that more than ``GROUP`` nodes share are dealt over as many parts as they fill.
+    """
+    counts = marked.withColumn("rarest", F.col("prefix")[0]).groupBy("key", "rarest").agg(F.count("*").alias("alike"))
+    counts = materialize(counts, "rarest-shingles")
+    parts = counts.groupBy("key").agg(F.ceil(F.sum("alike") / GROUP).cast("int").alias("parts"))
+    hot = counts.where(F.col("alike") > GROUP).select("key", "rarest", F.ceil(F.col("alike") / GROUP).alias("over"))
+    rows = marked.join(parts, "key").withColumn("rarest", F.col("prefix")[0]).join(hot, ["key", "rarest"], "left")
+    step = F.pmod(F.xxhash64("node"), F.coalesce("over", F.lit(1)))
+    return rows.withColumn("part", F.pmod(F.pmod(F.xxhash64("rarest"), "parts") + step, "parts").cast("int")).drop("rarest", "over")
+
+
 def node_links(sets: DataFrame, deal: exchange.Deal, percent: int = PERCENT) -> DataFrame:
     """``(node, root)`` for all nodes that link with another."""
     marked = materialize(prefixes(sets, deal, percent), "prefixes")
-    parts = marked.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    marked = marked.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    nodes = materialize(marked.join(sets.select("node", "shingles"), "node"), "groups")
+    nodes = materialize(parted(marked).join(sets.select("node", "shingles"), "node"), "groups")
     marked = nodes.drop("shingles")
     own = nodes.select("node", "shingles", "key", "part", F.lit(1).alias("role"))
     hubs = nodes.where((F.col("part") == 0) & (F.col("parts") > 1))

@@ -328,3 +328,22 @@ def test_answers_do_not_depend_on_parcels(spark, monkeypatch):
     monkeypatch.setattr(exchange, "PARCEL_ITEMS", 1)
     assert sorted(map(tuple, substring_dedup.dedup(df).collect()), key=repr) == whole
     assert Counter(len(r) for r in whole) == {4: len(whole)}
+
+
+def test_asks_grow_with_nodes(spark, monkeypatch):
+    """Families that share a hot shingle: a query asks few groups, and hot rarest shingles are dealt over parts."""
+    asked = {}
+    own = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: asked.setdefault(name, own(df, name)))
+    data = [(i * 60 + j, f"x{i} a b c y{j}", None, None, None) for i in range(60) for j in range(60)]
+    assert ngram_join.classes(frame(spark, data)).select("component_id").distinct().count() == 3600
+    assert asked["queries"].count() <= 2 * 3600
+    rows_ = spark.range(1000).selectExpr("id as node", "7L as key", "array(if(id < 900, 1L, id)) as prefix")
+    sizes = [r["count"] for r in ngram_join.parted(rows_).groupBy("part").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 3 * ngram_join.GROUP
+
+
+def test_overlaps_beyond_single_precision():
+    many = np.arange(1 << 20, dtype=np.uint64)
+    assert ngram_join.overlaps([many], [many[1:]]).tolist() == [[(1 << 20) - 1]]
+    assert ngram_join.overlaps([many], [many]).dtype == np.float64
