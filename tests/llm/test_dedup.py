@@ -334,7 +334,7 @@ def test_asks_grow_with_nodes(spark, monkeypatch):
     """Families that share a hot shingle: a query asks few groups, and hot rarest shingles are dealt over parts."""
     asked = {}
     own = ngram_join.materialize
-    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: asked.setdefault(name, own(df, name)))
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: asked.update({name: own(df, name)}) or asked[name])
     data = [(i * 60 + j, f"x{i} a b c y{j}", None, None, None) for i in range(60) for j in range(60)]
     assert ngram_join.classes(frame(spark, data)).select("component_id").distinct().count() == 3600
     assert asked["queries"].count() <= 2 * 3600
