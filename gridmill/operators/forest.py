@@ -51,9 +51,9 @@ def draw(tree: Column, k: Column, n: Column | int) -> Column:
     return F.floor(step(step(seed)) / 65536) % n
 
 
-def bootstrap(samples: DataFrame, trees: int) -> DataFrame:
-    """``(tree, k, row)`` over rows numbered ``row`` from 0; a single tree takes all rows in order."""
-    n = samples.count()
+def bootstrap(samples: DataFrame, trees: int, n: int | None = None) -> DataFrame:
+    """``(tree, k, row)`` over the ``n`` rows numbered ``row`` from 0; a single tree takes all rows in order."""
+    n = samples.count() if n is None else n
     rows = samples.sparkSession.range(n).withColumnRenamed("id", "k").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     drawn = F.col("k") if trees == 1 else draw(F.col("tree"), F.col("k"), n)
     return rows.select("tree", "k", drawn.cast("long").alias("row"))
@@ -187,10 +187,11 @@ def train(samples: DataFrame, features: list[str], config: ForestConfig = Forest
     Samples are painted pixels, commonly a few for each image: a task then grows a tree. More than
     ``MOST_TASK_SAMPLES`` are left where they are, see :func:`train_by_levels`.
     """
-    if samples.count() > MOST_TASK_SAMPLES:
+    n = samples.count()
+    if n > MOST_TASK_SAMPLES:
         return train_by_levels(samples, features, config)
     ship(samples.sparkSession)
-    drawn = bootstrap(samples, config.trees).join(samples.select("row", *features, "cls"), "row")
+    drawn = bootstrap(samples, config.trees, n).join(samples.select("row", *features, "cls"), "row")
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k", kind="stable")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridmill.constants import DEFAULT_SIGMA, MEMBER_THRESHOLD, MIN_LABELS_TO_TRAIN, NUM_CLASSES
 from gridmill.operators import ccl, filters, forest, objects
-from gridmill.store import materialize, release
+from gridmill.store import materialize, temporary_tables
 
 #: Labels (some 50 bytes each) that are sent to all executors, at most; rows that one task numbers, at most.
 MOST_BROADCAST = 500_000
@@ -72,8 +72,8 @@ def retrain_on(features: DataFrame, labels: DataFrame, width: int, height: int,
     if known < MIN_LABELS_TO_TRAIN:
         return features.sparkSession.range(config.classes).select(F.col("id").cast("int").alias("cls"), F.lit(0).cast("long").alias("objects"))
     features = materialize(features, "features")
-    samples = materialize(training_set(features, labels, known), "samples")
-    nodes = forest.collect_forest(forest.train(numbered(samples, ["image_id", *order], known), filters.FEATURES, config))
-    release(samples)
+    with temporary_tables(features.sparkSession):
+        samples = materialize(training_set(features, labels, known), "samples")
+        nodes = forest.collect_forest(forest.train(numbered(samples, ["image_id", *order], known), filters.FEATURES, config))
     classified = forest.probabilities(features, nodes, filters.FEATURES, config.classes)
     return objects.class_counts(class_objects(classified, width, height), config.classes)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,8 @@ from gridmill.shipping import is_local, ship
 
 #: Set when the session names no folder, as in local tests.
 _OWN: list[str] = []
+#: Tables made within open :func:`temporary_tables`, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +53,22 @@ def release(df: DataFrame) -> None:
     remove(df.sparkSession, df._gridmill_table)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that :func:`materialize` makes within are removed at its end, but for those taken out of the list it gives.
+
+    For steps whose results have been written before it ends.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.pop()
+        for path in made:
+            remove(spark, path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for files that go when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/gridmill/{name}-{uuid.uuid4().hex}"
@@ -80,4 +100,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridmill_table = path
+    if _OPEN:
+        _OPEN[-1].append(path)
     return out

@@ -206,6 +206,19 @@ def test_tables_are_released(spark):
     assert not os.path.exists(path)
 
 
+def test_temporary_tables(spark):
+    import os
+
+    from gridmill import store
+
+    with store.temporary_tables(spark) as made:
+        kept, gone = store.materialize(spark.range(3), "kept"), store.materialize(spark.range(4), "gone")
+        made.remove(kept._gridmill_table)
+    later = store.materialize(spark.range(2), "later")
+    exists = [os.path.exists(x._gridmill_table.removeprefix("file://")) for x in (kept, gone, later)]
+    assert exists == [True, False, True] and kept.count() == 3
+
+
 def test_unreadable_photos(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(b"no picture")
     assert [r.origin.rsplit("/", 1)[-1] for r in images.unreadable_photos(spark, str(tmp_path)).collect()] == ["broken.png"]
