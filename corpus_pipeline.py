@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridmill.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from gridmill.store import materialize
+from gridmill.store import materialize, release, temporary_tables
 
 #: Near-duplicates share at least so many percent of their shingles of so many words; 3 and 90 are the contract of op5_ngram_join alone.
 NEAR_WORDS = 5
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    """The last stage's rows. What a stage has written on its way goes when its result is written, and that when the next stage's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with temporary_tables(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            made.remove(docs._gridmill_table)
+        if before is not None:
+            release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
