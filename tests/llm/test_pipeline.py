@@ -48,6 +48,17 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
+def test_stages_leave_no_tables(spark):
+    from gridmill import store
+
+    folder = f"{store.shared_dir(spark)}/gridmill"
+    before = set(store.complete_tables(spark, folder))
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    left = sorted(name.rsplit("-", 1)[0] for name in set(store.complete_tables(spark, folder)) - before)
+    assert left == ["pieces", "stage-mixing"]
+
+
 def test_near_duplicates_by_five_words(spark):
     words = [f"t{k}" for k in range(200)]
     data = []
