@@ -921,6 +921,22 @@ def label_store(spark, sf_dir):
     return _longs(streams.LabelStore(spark, "strokes", folder).labels(), "x", "y", "cls")
 
 
+@query(ORACLES["intake_dedup"])
+def intake_streamed(spark, sf_dir):
+    """Files that arrive in two folders' worth, through a stream that is started again; those known before are its first state."""
+    arriving = _files(spark, sf_dir).where("ord >= 100").select("ord", "name", F.col("file_size").cast("long").alias("file_size"))
+    folder = scratch(spark, "intake")
+    own = state.stateful(spark, 4)
+    known = _files(own, sf_dir).where("ord < 100").select("name", F.col("file_size").cast("long").alias("file_size"))
+    half = arriving.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ord)")).first()[0] or 0
+    for some in (F.col("ord") <= half, F.col("ord") > half):
+        arriving.where(some).write.mode("append").parquet(f"{folder}/files")
+        stream = state.intake_stream(own.readStream.schema(arriving.schema).parquet(f"{folder}/files"), known)
+        fresh = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/new")
+        fresh.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(arriving.schema).parquet(f"{folder}/new").select("ord", "name", "file_size")
+
+
 @query(sql.select(sql.STROKES, """SELECT image_id, x, y, cls FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY ts DESC, event_id DESC) AS r FROM st)
   WHERE r = 1 AND cls <> 3"""))
 def label_state(spark, sf_dir):
