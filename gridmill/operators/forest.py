@@ -327,6 +327,30 @@ def probabilities_by_arrow(rows: DataFrame, forest: Sequence[Node], features: li
     return rows.withColumn("_p", walk(*features)).select("*", *[F.col("_p")[c].alias(f"p{c}") for c in range(classes)]).drop("_p")
 
 
+def node_counts(rows: DataFrame, forest: Sequence[Node], features: list[str]) -> DataFrame:
+    """``(tree, node, reached)``: how many rows come by each node; 0 where none does.
+
+    Rows are counted by leaf, trees together and before the shuffle; a node's count is the sum of those of the leaves below it. A forest of more than
+    ``MOST_EXPRESSION_NODES`` nodes is an error.
+    """
+    if len(forest) > MOST_EXPRESSION_NODES:
+        raise ValueError(f"{len(forest)} nodes, more than an expression takes")
+
+    def leaf(tree: dict[int, Node], node: int) -> Column:
+        _, _, feature, threshold, left, right, _ = tree[node]
+        return F.lit(node) if feature < 0 else F.when(F.col(features[feature]) < threshold, leaf(tree, left)).otherwise(leaf(tree, right))
+
+    def below(tree: dict[int, Node], node: int) -> list[int]:
+        _, _, feature, _, left, right, _ = tree[node]
+        return [node] if feature < 0 else below(tree, left) + below(tree, right)
+
+    trees = _by_tree(forest)
+    ends = F.array(*[F.struct(F.lit(t[0][0]).alias("tree"), leaf(t, 0).alias("leaf")) for t in trees])
+    counted = rows.select(F.explode(ends).alias("at")).groupBy("at.tree", "at.leaf").agg(F.count("*").alias("rows"))
+    pairs = rows.sparkSession.createDataFrame([(t[0][0], n, end) for t in trees for n in t for end in below(t, n)], "tree int, node int, leaf int")
+    return pairs.join(counted, ["tree", "leaf"], "left").groupBy("tree", "node").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("reached"))
+
+
 def to_flat(forest: Sequence[Node]) -> tuple[list[tuple[int, float, int, int]], list[int]]:
     """Four slots a node (feature, threshold, left, right or -(class + 1)) and each tree's first node."""
     slots: list[tuple[int, float, int, int]] = []

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Callable
 
@@ -19,8 +18,9 @@ from gridmill.plans import oracles as sql
 from gridmill.plans import pipeline
 from gridmill.plans.fixed import EMBED_FEATURES, FOREST, RASTER_FEATURES, SIGMA
 from gridmill.shipping import ship
-from gridmill.sinks import files, hdf5, project, ranges
+from gridmill.sinks import files, project, ranges
 from gridmill.sources import images, tables, tiff
+from gridmill.sources.project import Project
 from gridmill.sources.tables import EVENTS_SIZE, SHIP_SIZE, events_raster, ship_raster, table
 from gridmill.store import materialize, scratch
 from gridmill.streaming import events as streams
@@ -154,18 +154,15 @@ def luma_expr(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(grey * 1000).cast("long").alias("luma"))
 
 
-@query("""SELECT 'sample.tif [ch' || c.range || ']' AS image_id, x.range AS x, y.range AS y, y.range * 24 + x.range AS i, CAST((y.range * 24 + x.range) * 2 + c.range AS DOUBLE) AS v
-  FROM range(2) c, range(24) x, range(30) y""")
+@query(sql.select(sql.EVENTS, """SELECT image_id || '.tif [ch' || c.range || ']' AS image_id, x, y, i,
+  CAST(CASE c.range WHEN 0 THEN CAST(v AS BIGINT) ELSE CAST(v AS BIGINT) * 7 + i END % 65536 AS DOUBLE) AS v FROM r1, range(2) c"""))
 def src_tiff(spark, sf_dir):
-    """A file written by our own encoder and read back through Spark's file reader, channel by channel."""
-    plane = np.arange(2 * 30 * 24, dtype=np.uint16).reshape(30, 24, 2)
-    path = scratch(spark, "tiff-sample")
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/sample.tif")
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-    out.write(bytearray(tiff.encode(plane)))
-    out.close()
-    return _pixels(images.pixels(images.read_tiff_rows(spark, path)))
+    """Images of events with two channels of whole numbers, written as files and read back whole by Spark's file reader, channel by channel."""
+    folder = scratch(spark, "event-files")
+    v = F.col("v").cast("long")
+    rows = events_raster(spark, sf_dir).withColumns({"c0": v % 65536, "c1": (v * 7 + F.col("i")) % 65536})
+    ranges.save(files.tiff_ranges(rows, ["c0", "c1"], "u2", ".tif", *EVENTS_SIZE), folder)
+    return _pixels(images.pixels(images.read_tiff_rows(spark, folder)))
 
 
 @query(sql.select(sql.SHIP, "SELECT image_id || '.tif' AS image_id, x, y, i, v FROM r2 WHERE y BETWEEN 10 AND 29 AND image_id <> 'N'"))
@@ -246,10 +243,31 @@ def project_time(spark, sf_dir):
 # --- filter bank -----------------------------------------------------------------------------------
 
 
-@query(sql.select(sql.KERNEL, "SELECT name, CAST(d AS BIGINT) AS d, w FROM kern"))
+def _kernel_sql() -> str:
+    """The kernels of every scale that the sizes of parts name, with single precision at the same steps."""
+    return """WITH s AS (SELECT DISTINCT p_size, CAST(p_size AS DOUBLE) / 10 AS sigma FROM part),
+      k(name, share, ord) AS (VALUES ('k0', CAST(1 AS DOUBLE), 0), ('k1', CAST(1 AS DOUBLE), 1), ('k2', CAST(1 AS DOUBLE), 2), ('k0s', CAST(0.66 AS DOUBLE), 0)),
+      g AS (SELECT p_size, name, ord, sigma * share AS sg, CAST(ceil((CAST(3 AS DOUBLE) + CAST(0.5 AS DOUBLE) * ord) * (sigma * share)) AS BIGINT) AS radius FROM s, k),
+      d AS (SELECT *, CAST(unnest(range(-radius, radius + 1)) AS DOUBLE) AS x FROM g),
+      b AS (SELECT *, exp(-(x * x) / (2 * sg * sg)) AS bell FROM d),
+      f AS (SELECT *, CAST(CASE ord WHEN 0 THEN bell WHEN 1 THEN (-x / (sg * sg)) * bell ELSE (x * x / (sg * sg * sg * sg) - 1 / (sg * sg)) * bell END AS FLOAT) AS w0 FROM b),
+      m AS (SELECT *, CASE WHEN ord = 2 THEN w0 - CAST(avg(CAST(w0 AS DOUBLE)) OVER (PARTITION BY p_size, name) AS FLOAT) ELSE w0 END AS w1 FROM f),
+      n AS (SELECT *, CAST(sum(CASE ord WHEN 0 THEN bell WHEN 1 THEN x * w1 ELSE x * x * w1 / 2 END) OVER (PARTITION BY p_size, name) AS FLOAT) AS total FROM m)
+    SELECT CAST(p_size AS BIGINT) AS size, name, CAST(x AS BIGINT) AS d, round(CAST(w1 / total AS DOUBLE), 5) + 0.0 AS w FROM n"""
+
+
+@query(_kernel_sql())
 def kernel_table(spark, sf_dir):
-    rows = [(n, d, w) for n, k in filters.kernels(SIGMA).items() for d, w in k.items()]
-    return spark.createDataFrame(rows, "name string, d long, w double")
+    """Kernels of the scales that a table names, a tenth of its sizes each, made by the tasks that hold the sizes."""
+    ship(spark)
+
+    def make(frames):
+        for frame in frames:
+            for size in frame["size"].tolist():
+                yield pd.DataFrame([(size, n, d, w) for n, k in filters.kernels(size / 10).items() for d, w in k.items()], columns=["size", "name", "d", "w"])
+
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("size")).distinct()
+    return _rounded(sizes.mapInPandas(make, "size long, name string, d long, w double"), "w", digits=5)
 
 
 def _features(spark, sf_dir) -> DataFrame:
@@ -540,10 +558,18 @@ def retrain(spark, sf_dir):
     return _longs(pipeline.retrain_on(_rounded(_features(spark, sf_dir), *RASTER_FEATURES), painted, *EVENTS_SIZE), "cls")
 
 
-@query("SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, CAST(feature AS BIGINT) AS feature, CAST(threshold AS DOUBLE) AS threshold, CAST(l AS BIGINT) AS \"left\", CAST(r AS BIGINT) AS \"right\", CAST(cls AS BIGINT) AS cls FROM (VALUES "
-  + ", ".join(str(n) for n in FOREST) + ") t(tree, node, feature, threshold, l, r, cls)")
+_NODES = f"n(tree, node, feature, threshold, l, r, cls) AS (VALUES {', '.join(str(n) for n in FOREST)})"
+
+
+@query(sql.select(f"""{sql.EMBED_ROWS}, {_NODES}, e AS (SELECT vec_id, CAST(unnest(range(8)) AS INTEGER) AS feature, unnest([{', '.join(EMBED_FEATURES)}]) AS v FROM emb),
+  w0 AS (SELECT vec_id, tree, 0 AS node FROM emb, (SELECT DISTINCT tree FROM n)),
+  w1 AS (SELECT vec_id, tree, CASE WHEN v < threshold THEN l ELSE r END AS node FROM w0 JOIN n USING (tree, node) JOIN e USING (vec_id, feature)),
+  w2 AS (SELECT vec_id, tree, CASE WHEN v < threshold THEN l ELSE r END AS node FROM w1 JOIN n USING (tree, node) JOIN e USING (vec_id, feature)),
+  w AS (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2)""",
+  "SELECT CAST(n.tree AS BIGINT) AS tree, CAST(n.node AS BIGINT) AS node, count(w.vec_id) AS reached FROM n LEFT JOIN w USING (tree, node) GROUP BY 1, 2"))
 def forest_nodes(spark, sf_dir):
-    return spark.createDataFrame(FOREST, "tree long, node long, feature long, threshold double, left long, right long, cls long")
+    """How many embeddings come by each node of a forest."""
+    return _longs(forest.node_counts(_embed(spark, sf_dir), FOREST, EMBED_FEATURES), "tree", "node")
 
 
 def _classified(spark, sf_dir) -> DataFrame:
@@ -566,12 +592,13 @@ def forest_probs_by_arrow(spark, sf_dir):
     return rows.select("image_id", "i", *_P)
 
 
-@query(f"""WITH n(tree, node, feature, threshold, l, r, cls) AS (VALUES {", ".join(str(n) for n in FOREST)}),
-  o AS (SELECT *, row_number() OVER (ORDER BY tree, node) - 1 AS slot, (row_number() OVER (ORDER BY tree, node) - 1) - node AS first FROM n)
+@query(f"""WITH {_forest_ctes(8, 8)}, o AS (SELECT *, row_number() OVER (ORDER BY tree, node) - 1 AS slot, (row_number() OVER (ORDER BY tree, node) - 1) - node AS first FROM nodes)
   SELECT slot, CAST(feature AS BIGINT) AS feature, CASE WHEN feature < 0 THEN 0.0 ELSE threshold END::DOUBLE AS threshold,
-    CAST(CASE WHEN feature < 0 THEN -1 ELSE first + l END AS BIGINT) AS "left", CAST(CASE WHEN feature < 0 THEN -(cls + 1) ELSE first + r END AS BIGINT) AS "right", node = 0 AS root FROM o""")
+    CAST(CASE WHEN feature < 0 THEN -1 ELSE first + "left" END AS BIGINT) AS "left", CAST(CASE WHEN feature < 0 THEN -(cls + 1) ELSE first + "right" END AS BIGINT) AS "right", node = 0 AS root FROM o""")
 def forest_flat(spark, sf_dir):
-    slots, roots = forest.to_flat(FOREST)
+    """A forest trained on embeddings in its flat layout, as it is handed to inference."""
+    trained = forest.train(pipeline.numbered(_embed(spark, sf_dir), ["vec_id"]), EMBED_FEATURES)
+    slots, roots = forest.to_flat(forest.collect_forest(trained))
     return spark.createDataFrame([(k, *map(float, slot[1:2]), slot[0], slot[2], slot[3], k in roots) for k, slot in enumerate(slots)], "slot long, threshold double, feature long, left long, right long, root boolean")
 
 
@@ -801,21 +828,20 @@ def brush_function(spark, sf_dir):
     return spark.sql(f"SELECT event_id, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py FROM gridmill_strokes, LATERAL brush_disc(x, y, 2D, {EVENTS_SIZE[0]}, {EVENTS_SIZE[1]})")
 
 
-_RAW = [
-    {"labelColors": ["#ff0000", "red", "#12345", "#00FF00", "#111111", "#222222"], "classNames": ["  Padded  ", "   ", "ok"]},
-    {"labelColors": ["#GGGGGG", "#abcdef"], "classNames": ["a", None, "42", "d", "e"]},
-]
-_RAW_TEXT = [(k, json.dumps(r)) for k, r in enumerate(_RAW)] + [(2, "garbage"), (3, "[]")]
+_SAVED = """concat('{"labelColors":["#', substr(m, 1, 6), '","red","#', substr(m, 1, 5), '","#', upper(substr(m, 7, 6)), '","#111111"],"classNames":["  ', coalesce(source, ''), ' ","   ",', doc_id, ',"', coalesce(lang, ''), '","e"]}')"""
+_BROKEN = """CASE doc_id % 5 WHEN 0 THEN m WHEN 1 THEN '[]' WHEN 2 THEN concat('{"labelColors":["#GG', substr(m, 1, 4), '","#', substr(m, 3, 6), '"],"classNames":["a",null]}') ELSE """ + _SAVED + " END"
 
 
-@query("WITH raw(id, t) AS (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in _RAW_TEXT) + """), ok AS (SELECT id, CASE WHEN json_valid(t) THEN t END AS t FROM raw)
-  SELECT CAST(id AS BIGINT) AS id, s.range AS slot,
-    CASE WHEN regexp_full_match(json_extract_string(t, '$.labelColors[' || s.range || ']'), '#[0-9a-fA-F]{6}') THEN json_extract_string(t, '$.labelColors[' || s.range || ']') END AS color,
+@query(f"""WITH h AS (SELECT *, md5(coalesce(text, '')) AS m FROM documents), raw AS (SELECT doc_id, {_BROKEN} AS t FROM h), ok AS (SELECT doc_id, CASE WHEN json_valid(t) THEN t END AS t FROM raw)
+  SELECT doc_id, s.range AS slot,
+    CASE WHEN regexp_full_match(json_extract_string(t, '$.labelColors[' || s.range || ']'), '#[0-9a-fA-F]{{6}}') THEN json_extract_string(t, '$.labelColors[' || s.range || ']') END AS color,
     nullif(trim(json_extract_string(t, '$.classNames[' || s.range || ']')), '') AS name FROM ok, range(4) s""")
 def settings_sanitize(spark, sf_dir):
-    clean = settings.sanitize(spark.createDataFrame(_RAW_TEXT, "id long, raw string"), "raw", 4)
-    rows = clean.select("id", F.posexplode(F.arrays_zip("label_colors", "class_names")).alias("slot", "s"))
-    return rows.select("id", F.col("slot").cast("long").alias("slot"), F.col("s.label_colors").alias("color"), F.col("s.class_names").alias("name"))
+    """Settings made of documents, some of them broken, read leniently."""
+    docs = table(spark, sf_dir, "documents").withColumn("m", F.md5(F.coalesce("text", F.lit(""))))
+    clean = settings.sanitize(docs.select("doc_id", F.expr(_BROKEN).alias("raw")), "raw", 4)
+    rows = clean.select("doc_id", F.posexplode(F.arrays_zip("label_colors", "class_names")).alias("slot", "s"))
+    return rows.select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("s.label_colors").alias("color"), F.col("s.class_names").alias("name"))
 
 
 @query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '#00ff00' ELSE '#8ac926' END AS c, CASE WHEN doc_id % 2 = 0 THEN source END AS n FROM documents) "
@@ -830,7 +856,8 @@ def settings_write(spark, sf_dir):
 
 @query("SELECT f.range AS feature, s.range AS scale_index, f.range < 2 AND s.range < 2 AS selected FROM range(6) f, range(7) s")
 def feature_selection(spark, sf_dir):
-    return _longs(project.feature_selection(spark), "feature", "scale_index").select("feature", "scale_index", "selected")
+    """The selection that stands in the project file of the images of events."""
+    return _longs(_exported(spark, sf_dir).selection(), "feature", "scale_index").select("feature", "scale_index", "selected")
 
 
 def _ordered_images(spark, sf_dir) -> DataFrame:
@@ -861,23 +888,18 @@ def ilp_manifest(spark, sf_dir):
     return project.manifest(images, labels.bounding_boxes(labels.keep_latest(_strokes(spark, sf_dir), ["ts", "event_id"])))
 
 
-def _exported(spark, sf_dir) -> tuple[list[str], dict]:
-    """The images in their order, and the project file they are exported to, read back."""
+def _exported(spark, sf_dir) -> Project:
+    """The images in their order, with their labels, in a project file that tasks wrote range by range."""
     painted = labels.keep_latest(_strokes(spark, sf_dir), ["ts", "event_id"])
-    order = [r["image_id"] for r in _ordered_images(spark, sf_dir).orderBy("ord").collect()]
-    return order, hdf5.read_tree(project.export(events_raster(spark, sf_dir), painted, order, *EVENTS_SIZE, "now"))
+    folder = scratch(spark, "project")
+    ranges.save(project.project_ranges(events_raster(spark, sf_dir), painted, _ordered_images(spark, sf_dir), *EVENTS_SIZE, "now"), folder)
+    return Project(spark, f"{folder}/project.ilp")
 
 
 @query(sql.select(f"{sql.EVENTS}, {_ORDERED}", "SELECT format('lane{:04d}', ord) AS lane, image_id AS nickname, i, v FROM im JOIN r1 USING (image_id)"))
 def project_planes(spark, sf_dir):
     """Raw data in an exported project file, by the paths its lanes name."""
-    _, tree = _exported(spark, sf_dir)
-    rows = []
-    for lane, info in tree["Input Data"]["infos"].items():
-        raw = info["Raw Data"]
-        plane = np.frombuffer(tree["Input Data"]["local_data"][raw["inner_path"][1].decode().rsplit("/", 1)[-1]][1], np.float32)
-        rows += [(lane, raw["nickname"][1].decode(), k, float(v)) for k, v in enumerate(plane)]
-    return spark.createDataFrame(rows, "lane string, nickname string, i long, v double")
+    return _exported(spark, sf_dir).planes().withColumn("v", F.col("v").cast("double"))
 
 
 @query(sql.select(f"{_ORDERED}, {sql.LATEST}, bx AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM last GROUP BY 1)", """
@@ -886,13 +908,7 @@ def project_planes(spark, sf_dir):
     LEFT JOIN last ON last.image_id = im.image_id AND last.x = gx.range AND last.y = gy.range"""))
 def project_labels(spark, sf_dir):
     """Blocks of labels in an exported project file, at the places their slices name."""
-    _, tree = _exported(spark, sf_dir)
-    rows = []
-    for name, blocks in tree["PixelClassification"]["LabelSets"].items():
-        for shape, raw, attributes in blocks.values():
-            (y0, _), (x0, _), _ = (map(int, part.split(":")) for part in attributes["blockSlice"][1:-1].split(","))
-            rows += [(name, x0 + x, y0 + y, int(code)) for (y, x), code in np.ndenumerate(np.frombuffer(raw, np.uint8).reshape(shape[:2]))]
-    return spark.createDataFrame(rows, "label_set string, x long, y long, code long")
+    return _longs(_exported(spark, sf_dir).label_blocks(), "code")
 
 
 # --- stream operators, as batches ---------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """A writer of small HDF5 files (superblock version 0): groups, contiguous datasets, string attributes.
 
 A tree of :class:`Group` and :class:`Dataset` is laid out children first; each object is a
-version 1 header, a group keeps its names in a local heap under a B-tree of one leaf.
+version 1 header, a group keeps its names in a local heap under a B-tree of one leaf. A dataset's bytes can be :class:`Planned`:
+the layout then leaves a gap, which tasks fill at its offset.
 """
 
 from __future__ import annotations
@@ -43,12 +44,23 @@ def dataspace(shape: tuple[int, ...]) -> bytes:
     return struct.pack(f"<BBB5x{len(shape)}Q", 1, len(shape), 0, *shape)
 
 
+@dataclass(frozen=True)
+class Planned:
+    """So many bytes that are written elsewhere, by the key they are known by."""
+
+    key: str
+    size: int
+
+    def __len__(self) -> int:
+        return self.size
+
+
 @dataclass
 class Dataset:
     name: str
     datatype: bytes
     shape: tuple[int, ...]
-    data: bytes
+    data: bytes | Planned
     attributes: dict[str, str] = field(default_factory=dict)
 
 
@@ -69,6 +81,11 @@ def texts(name: str, values: list[str]) -> Dataset:
     return Dataset(name, string_type(size), (len(raw),), b"".join(r.ljust(size, b"\0") for r in raw))
 
 
+def planned(name: str, kind: np.dtype, shape: tuple[int, ...], key: str, attributes: dict[str, str] | None = None) -> Dataset:
+    """An array whose bytes (little-endian) are written elsewhere."""
+    return Dataset(name, number_type(np.dtype(kind)), shape, Planned(key, int(np.prod(shape, dtype=object)) * np.dtype(kind).itemsize), attributes or {})
+
+
 def array(name: str, values: np.ndarray, attributes: dict[str, str] | None = None) -> Dataset:
     values = np.asarray(values)
     little = values.astype(values.dtype.newbyteorder("<"))
@@ -86,13 +103,29 @@ def _attribute(name: str, value: str) -> bytes:
     return struct.pack("<BBHHH", 1, 0, len(label), len(kind), len(space)) + _padded(label) + _padded(kind) + _padded(space) + raw
 
 
+@dataclass
+class Layout:
+    """A file's size, the blocks ``(offset, bytes)`` that are known, and where planned bytes go."""
+
+    size: int
+    blocks: list[tuple[int, bytes]]
+    gaps: dict[str, int]
+
+
 class _File:
-    def __init__(self) -> None:
-        self.data = bytearray(96)
+    """Blocks in a row after the superblock; a gap ends one block and starts the next."""
 
-    def place(self, block: bytes) -> int:
-        at = len(self.data)
-        self.data += _padded(block)
+    def __init__(self) -> None:
+        self.end, self.blocks, self.gaps = 96, [(0, bytearray(96))], {}
+
+    def place(self, block: bytes | Planned) -> int:
+        at = self.end
+        self.end += len(block) + -len(block) % 8
+        if isinstance(block, Planned):
+            self.gaps[block.key] = at
+            self.blocks.append((at + len(block), bytearray(-len(block) % 8)))
+        else:
+            self.blocks[-1][1].extend(_padded(block))
         return at
 
     def header(self, messages: list[tuple[int, bytes]]) -> int:
@@ -109,7 +142,7 @@ class _File:
             heap += _padded(name.encode() + b"\0")
         free = len(heap)
         heap += struct.pack("<QQ", 1, 16)
-        heap_at = len(self.data)
+        heap_at = self.end
         self.place(struct.pack("<4sB3xQQQ", b"HEAP", 0, len(heap), free, heap_at + 32))
         self.place(bytes(heap))
         keys = [0]
@@ -131,24 +164,32 @@ class _File:
         return self.names({c.name: self.node(c) for c in item.children})
 
 
-def serialize(children: list[Group | Dataset]) -> bytes:
+def layout(children: list[Group | Dataset]) -> Layout:
     out = _File()
     tree, heap = out.group(Group("/", children))
     root = out.header([(MESSAGE_SYMBOLS, struct.pack("<QQ", tree, heap))])
     head = SIGNATURE + struct.pack("<8BHHI", 0, 0, 0, 0, 0, 8, 8, 0, LEAF_K, INTERNAL_K, 0)
-    head += struct.pack("<4Q", 0, UNDEFINED, len(out.data), UNDEFINED) + struct.pack("<QQIIQQ", 0, root, 1, 0, tree, heap)
-    out.data[:96] = head
-    return bytes(out.data)
+    head += struct.pack("<4Q", 0, UNDEFINED, out.end, UNDEFINED) + struct.pack("<QQIIQQ", 0, root, 1, 0, tree, heap)
+    out.blocks[0][1][:96] = head
+    return Layout(out.end, [(at, bytes(block)) for at, block in out.blocks if block], out.gaps)
 
 
-def read_tree(data: bytes) -> dict:
-    """What :func:`serialize` wrote, as nested dicts; a dataset is ``(shape, bytes, attributes)``. For checks."""
+def serialize(children: list[Group | Dataset]) -> bytes:
+    """The bytes of a file without planned datasets."""
+    out = layout(children)
+    if out.gaps:
+        raise ValueError(f"bytes are missing: {sorted(out.gaps)[:3]}")
+    return b"".join(block for _, block in out.blocks)
+
+
+def read_places(data) -> dict:
+    """The tree of a file (bytes, or a map of it) as nested dicts; a dataset is ``(shape, offset, length, attributes)``. Only headers are read."""
     if data[:8] != SIGNATURE or struct.unpack_from("<Q", data, 40)[0] != len(data):
         raise ValueError("not such a file, or cut short")
 
     def name_at(heap: int, offset: int) -> str:
         start = struct.unpack_from("<Q", data, heap + 24)[0] + offset
-        return data[start : data.index(b"\0", start)].decode()
+        return data[start : data.find(b"\0", start)].decode()
 
     def group_at(tree: int, heap: int) -> dict:
         used = struct.unpack_from("<H", data, tree + 6)[0]
@@ -161,7 +202,7 @@ def read_tree(data: bytes) -> dict:
 
     def object_at(where: int):
         count = struct.unpack_from("<H", data, where + 2)[0]
-        at, shape, raw, attributes = where + 16, (), b"", {}
+        at, shape, start, length, attributes = where + 16, (), 0, 0, {}
         for _ in range(count):
             kind, size = struct.unpack_from("<HH", data, at)
             body = data[at + 8 : at + 8 + size]
@@ -171,14 +212,25 @@ def read_tree(data: bytes) -> dict:
                 shape = struct.unpack_from(f"<{body[1]}Q", body, 8)
             elif kind == MESSAGE_LAYOUT:
                 start, length = struct.unpack_from("<QQ", body, 2)
-                raw = data[start : start + length] if length else b""
             elif kind == MESSAGE_ATTRIBUTE:
                 label, dtype, space = struct.unpack_from("<HHH", body, 2)
                 skip = lambda n: n + -n % 8
                 value = 8 + skip(label) + skip(dtype) + skip(space)
-                length = struct.unpack_from("<I", body, 8 + skip(label) + 4)[0]
-                attributes[body[8 : 8 + label - 1].decode()] = body[value : value + length].decode()
+                n = struct.unpack_from("<I", body, 8 + skip(label) + 4)[0]
+                attributes[body[8 : 8 + label - 1].decode()] = body[value : value + n].decode()
             at += 8 + size
-        return shape, raw, attributes
+        return shape, start, length, attributes
 
     return group_at(*struct.unpack_from("<QQ", data, 80))
+
+
+def read_tree(data: bytes) -> dict:
+    """The same with a dataset as ``(shape, bytes, attributes)``. For checks of small files."""
+
+    def filled(item):
+        if isinstance(item, dict):
+            return {name: filled(child) for name, child in item.items()}
+        shape, start, length, attributes = item
+        return shape, data[start : start + length] if length else b"", attributes
+
+    return filled(read_places(data))

@@ -1,6 +1,7 @@
 """Project files for desktop pixel classification (``.ilp``, an HDF5 tree): images, labels, names, a feature selection.
 
-No classifier goes along; the desktop program trains its own from the labels.
+No classifier goes along; the desktop program trains its own from the labels. The driver lays out the tree from the images' names, sums and boxes of labels;
+planes and blocks of labels are written by tasks, at the places the layout leaves for them (see :mod:`gridmill.sinks.ranges`).
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.constants import CLASS_COLORS, NUM_CLASSES, NUM_TREES
-from gridmill.functions.scalars import label_set_name, lane_name, strip_extension
+from gridmill.functions.scalars import block_slice, label_set_name, lane_name, strip_extension
+from gridmill.operators.labels import bounding_boxes
+from gridmill.shipping import ship
 from gridmill.sinks import hdf5
 from gridmill.sinks.hdf5 import Dataset, Group
 
@@ -34,6 +38,9 @@ CLASSIFIER_FACTORY = (
 )
 #: The selection that is preset: this many features at this many scales.
 PRESET = 2
+#: Cells of a plane, or of a block of labels, that one range covers.
+RANGE_CELLS = 1 << 16
+_RANGES = "file string, size long, offset long, data binary"
 
 
 @dataclass
@@ -59,33 +66,42 @@ def _rgb(color: str) -> tuple[int, int, int]:
         return 136, 136, 136
 
 
+def _block_attributes(x0: int, y0: int, shape: tuple[int, ...]) -> dict[str, str]:
+    return {"axistags": axis_tags("yxc"), "blockSlice": f"[{y0}:{y0 + shape[0]},{x0}:{x0 + shape[1]},0:1]"}
+
+
 def label_block(labels: list[tuple[int, int, int]]) -> Dataset | None:
     """A dense block over the bounding box: class + 1, 0 where none; of two labels of a pixel the later counts."""
     if not labels:
         return None
-    x, y, cls = (np.array(c) for c in zip(*labels, strict=True))
+    x, y, _ = (np.array(c) for c in zip(*labels, strict=True))
     x0, y0 = x.min(), y.min()
     block = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1, 1), np.uint8)
     for a, b, c in labels:
         block[b - y0, a - x0, 0] = c + 1
-    where = f"[{y0}:{y0 + block.shape[0]},{x0}:{x0 + block.shape[1]},0:1]"
-    return hdf5.array("block0000", block, {"axistags": axis_tags("yxc"), "blockSlice": where})
+    return hdf5.array("block0000", block, _block_attributes(x0, y0, block.shape))
 
 
-def _lane(image: ProjectImage, number: int) -> tuple[Group, Dataset]:
-    digest = hashlib.sha256(f"{number}:{image.name}:".encode() + image.pixels.tobytes()).hexdigest()
-    key = f"{digest[:8]}-{digest[8:12]}-4{digest[13:16]}-8{digest[17:20]}-{digest[20:32]}"
+def _key(number: int, name: str, content: bytes) -> str:
+    """A data set's identifier, in the form of a random UUID; the same for the same place, name and content."""
+    digest = hashlib.sha256(f"{number}:{name}:".encode() + content).hexdigest()
+    return f"{digest[:8]}-{digest[8:12]}-4{digest[13:16]}-8{digest[17:20]}-{digest[20:32]}"
+
+
+def _info(name: str, key: str, shape: tuple[int, ...]) -> Group:
     inner = f"/Input Data/local_data/{key}"
-    shape = (1, *image.pixels.shape)
-    nickname = image.name.rsplit(".", 1)[0] if "." in image.name.rsplit("/", 1)[-1] else image.name
-    info = Group("Raw Data", [
+    nickname = name.rsplit(".", 1)[0] if "." in name.rsplit("/", 1)[-1] else name
+    return Group("Raw Data", [
         hdf5.text("__class__", "ProjectInternalDatasetInfo"), hdf5.flag("allowLabels", True), hdf5.text("axistags", axis_tags("zyx")),
         hdf5.text("datasetId", key), hdf5.text("display_mode", "default"), hdf5.text("filePath", inner), hdf5.text("inner_path", inner),
         hdf5.text("location", "ProjectInternal"), hdf5.text("nickname", nickname), hdf5.flag("normalizeDisplay", False),
         hdf5.array("shape", np.array(shape, np.int64)),
     ])
-    data = hdf5.array(key, image.pixels.astype(np.float32).reshape(shape), {"axistags": axis_tags("zyx")})
-    return info, data
+
+
+def _lane(image: ProjectImage, number: int) -> tuple[Group, Dataset]:
+    key, shape = _key(number, image.name, image.pixels.tobytes()), (1, *image.pixels.shape)
+    return _info(image.name, key, shape), hdf5.array(key, image.pixels.astype(np.float32).reshape(shape), {"axistags": axis_tags("zyx")})
 
 
 def selection_matrix() -> np.ndarray:
@@ -93,14 +109,11 @@ def selection_matrix() -> np.ndarray:
     return (features < PRESET) & (scales < PRESET)
 
 
-def build(
-    images: list[ProjectImage], time: str, class_names: list[str] | None = None, colors: tuple[str, ...] = CLASS_COLORS, trees: int = NUM_TREES, classes: int = NUM_CLASSES
-) -> bytes:
-    """The file's bytes. More images than a group's node holds are an error."""
-    lanes = [_lane(image, k) for k, image in enumerate(images)]
+def _tree(
+    lanes: list[tuple[Group, Dataset]], blocks: list[Dataset | None], time: str, class_names: list[str] | None, colors: tuple[str, ...], trees: int, classes: int
+) -> list[Group | Dataset]:
     palette = np.array([_rgb(colors[k] if k < len(colors) else "") for k in range(classes)], np.int32)
-    blocks = [label_block(image.labels) for image in images]
-    return hdf5.serialize([
+    return [
         hdf5.text("ilastikVersion", "1.4.0"), hdf5.text("workflowName", "Pixel Classification"), hdf5.text("time", time),
         hdf5.array("currentApplet", np.int64(0)),
         Group("Input Data", [
@@ -118,36 +131,89 @@ def build(
             Group("LabelSets", [Group(f"labels{k:03d}", [b] if b else []) for k, b in enumerate(blocks)]),
             hdf5.text("ClassifierFactory", CLASSIFIER_FACTORY.format(trees=trees)),
         ]),
-    ])
+    ]
 
 
-def export(pixels: DataFrame, labels: DataFrame, order: list[str], width: int, height: int, time: str) -> bytes:
-    """A project of the images named in ``order`` (at most a node's worth, so the driver holds few planes)."""
-    if len(order) > hdf5.MOST_ENTRIES:
-        raise ValueError(f"{len(order)} images; a project holds {hdf5.MOST_ENTRIES}")
-    images = []
-    for name in order:
-        plane = np.zeros(width * height, np.float32)
-        got = pixels.where(F.col("image_id") == name).select("i", "v").toPandas()
-        plane[got["i"]] = got["v"]
-        painted = [tuple(r) for r in labels.where(F.col("image_id") == name).select("x", "y", "cls").orderBy("y", "x").collect()]
-        images.append(ProjectImage(name, plane.reshape(height, width), painted))
-    return build(images, time)
+def build(
+    images: list[ProjectImage], time: str, class_names: list[str] | None = None, colors: tuple[str, ...] = CLASS_COLORS, trees: int = NUM_TREES, classes: int = NUM_CLASSES
+) -> bytes:
+    """The bytes of a small project in memory. More images than a group's node holds are an error."""
+    lanes = [_lane(image, k) for k, image in enumerate(images)]
+    return hdf5.serialize(_tree(lanes, [label_block(image.labels) for image in images], time, class_names, colors, trees, classes))
+
+
+def _filled(cells: DataFrame, places: list[tuple[str, int, int]], kind: str, file: str, size: int) -> DataFrame:
+    """Ranges of dense blocks, ``places (key, offset, cells)``, from ``cells (key, at, value)``; a cell that is missing is 0."""
+    dtype = np.dtype(kind).newbyteorder("<")
+
+    def make(table: pa.Table) -> pa.Table:
+        first, n, start = (table[c][0].as_py() for c in ("part", "n", "start"))
+        first *= RANGE_CELLS
+        known = table.filter(table["at"].is_valid())
+        data = np.zeros(min(RANGE_CELLS, n - first), dtype)
+        data[known["at"].to_numpy() - first] = known["value"].to_numpy()
+        row = [[file], [size], [start + first * dtype.itemsize], [data.tobytes()]]
+        return pa.table([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["file", "size", "offset", "data"])
+
+    at = cells.sparkSession.createDataFrame(places, "key string, start long, n long")
+    columns = ["key", "start", "n", "part", "at", "value"]
+    rows = cells.select("key", F.col("at").cast("long").alias("at"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))
+    rows = rows.join(F.broadcast(at), "key").where((F.col("at") >= 0) & (F.col("at") < F.col("n"))).withColumn("part", F.floor(F.col("at") / RANGE_CELLS))
+    # A row without a cell for each range, so that ranges without cells are written too.
+    parts = at.where("n > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RANGE_CELLS))))
+    parts = parts.withColumns({"at": F.lit(None).cast("long"), "value": F.lit(None).cast("double")})
+    return rows.select(columns).unionByName(parts.select(columns)).groupBy("key", "part").applyInArrow(make, _RANGES)
+
+
+def project_ranges(
+    pixels: DataFrame, labels: DataFrame, images: DataFrame, width: int, height: int, time: str, file: str = "project.ilp",
+    class_names: list[str] | None = None, colors: tuple[str, ...] = CLASS_COLORS, trees: int = NUM_TREES, classes: int = NUM_CLASSES,
+) -> DataFrame:
+    """One project file as ranges of bytes: ``images (image_id, ord)`` with their ``pixels (image_id, i, v)`` and ``labels (image_id, x, y, cls)``.
+
+    Lanes are numbered from 0 by ``ord``, then name. The driver sees a row for each image (more than a group's node holds are an error) and the file's headers; tasks fill
+    planes and blocks range by range, so none holds an image. A pixel that is missing is 0, a null value NaN; pixels outside the image, of images that are not
+    listed, and rows with a null image play no part. Pixels and labels have one row for each place.
+    """
+    spark = pixels.sparkSession
+    ship(spark)
+    listed = images.where("image_id is not null").select("image_id", "ord").orderBy("ord", "image_id").limit(hdf5.MOST_ENTRIES + 1).collect()
+    if len(listed) > hdf5.MOST_ENTRIES:
+        raise ValueError(f"more than {hdf5.MOST_ENTRIES} images, which a project holds")
+    numbers = {r["image_id"]: k for k, r in enumerate(listed)}
+    known = F.broadcast(spark.createDataFrame([(n,) for n in numbers], "image_id string"))
+    samples = pixels.select("image_id", "i", "v").join(known, "image_id")
+    painted = labels.select("image_id", "x", "y", "cls").where("cls is not null").join(known, "image_id")
+    digest = F.sum(F.xxhash64("i", F.col("v").cast("float")).cast("decimal(20,0)"))
+    sums = {r["image_id"]: str(r["digest"]) for r in samples.groupBy("image_id").agg(digest.alias("digest")).collect()}
+    boxes = {r["image_id"]: r for r in bounding_boxes(painted).collect()}
+
+    shape, lanes, blocks = (1, height, width), [], []
+    for name, k in numbers.items():
+        key = _key(k, name, sums.get(name, "").encode())
+        lanes.append((_info(name, key, shape), hdf5.planned(key, np.dtype("f4"), shape, f"plane {k}", {"axistags": axis_tags("zyx")})))
+        box = boxes.get(name)
+        size = (box["y1"] - box["y0"] + 1, box["x1"] - box["x0"] + 1, 1) if box else None
+        blocks.append(hdf5.planned("block0000", np.dtype("u1"), size, f"labels {k}", _block_attributes(box["x0"], box["y0"], size)) if box else None)
+    plan = hdf5.layout(_tree(lanes, blocks, time, class_names, colors, trees, classes))
+
+    heads = spark.createDataFrame([(file, plan.size, at, bytearray(block)) for at, block in plan.blocks], _RANGES)
+    planes = [(name, plan.gaps[f"plane {k}"], width * height) for name, k in numbers.items() if width * height]
+    out = heads.unionByName(_filled(samples.select(F.col("image_id").alias("key"), F.col("i").alias("at"), F.col("v").alias("value")), planes, "f4", file, plan.size))
+    if not boxes:
+        return out
+    corners = spark.createDataFrame([(n, b["x0"], b["y0"], b["x1"] - b["x0"] + 1) for n, b in boxes.items()], "image_id string, x0 long, y0 long, w long")
+    cells = painted.join(F.broadcast(corners), "image_id")
+    cells = cells.select(F.col("image_id").alias("key"), ((F.col("y") - F.col("y0")) * F.col("w") + F.col("x") - F.col("x0")).alias("at"), (F.col("cls") + 1).alias("value"))
+    starts = [(n, plan.gaps[f"labels {numbers[n]}"], (b["y1"] - b["y0"] + 1) * (b["x1"] - b["x0"] + 1)) for n, b in boxes.items()]
+    return out.unionByName(_filled(cells, starts, "u1", file, plan.size))
 
 
 def manifest(images: DataFrame, boxes: DataFrame) -> DataFrame:
     """What a project of ``(ord, image_id, width, height)`` holds: lane, nickname, shape and the block of labels."""
-    from gridmill.functions.scalars import block_slice
-
     rows = images.join(boxes, "image_id", "left")
     return rows.select(
         lane_name(F.col("ord")).alias("lane"), label_set_name(F.col("ord")).alias("label_set"), strip_extension(F.col("image_id")).alias("nickname"),
         F.format_string("1,%d,%d", "height", "width").alias("shape"),
         F.when(F.col("x0").isNotNull(), block_slice(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))).alias("block_slice"),
     )
-
-
-def feature_selection(spark: SparkSession) -> DataFrame:
-    """The preset selection, a row for each feature and scale."""
-    rows = [(f, s, FEATURE_IDS[f], FEATURE_SCALES[s], bool(v)) for (f, s), v in np.ndenumerate(selection_matrix())]
-    return spark.createDataFrame(rows, "feature int, scale_index int, feature_id string, scale double, selected boolean")

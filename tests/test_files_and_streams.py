@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmill.operators.labels import keep_latest
-from gridmill.sinks import hdf5, project
+from gridmill.sinks import hdf5, project, ranges
 from gridmill.sources import images, tiff
+from gridmill.sources import project as sources_project
 from gridmill.streaming import events
 
 
@@ -145,15 +146,72 @@ def test_label_store(spark, tmp_path):
     assert sorted(map(tuple, store.labels().collect())) == sorted(map(tuple, keep_latest(df, ["ts", "event_id"]).collect())) == [("a", 0, 0, 0)]
 
 
-def test_project_export(spark):
+def _project(spark, folder, *args, **kw):
+    ranges.save(project.project_ranges(*args, time="now", **kw), f"file://{folder}")
+    return folder / "project.ilp"
+
+
+def test_project_export(spark, tmp_path):
     pixels = spark.range(12).selectExpr("'a.tif' as image_id", "id as i", "double(id) as v")
     labels = spark.createDataFrame([("a.tif", 1, 2, 3)], "image_id string, x int, y int, cls int")
-    tree = hdf5.read_tree(project.export(pixels, labels, ["a.tif"], 4, 3, "now"))
+    images = spark.createDataFrame([("a.tif", 0)], "image_id string, ord int")
+    tree = hdf5.read_tree(_project(spark, tmp_path, pixels, labels, images, 4, 3).read_bytes())
     (plane,) = tree["Input Data"]["local_data"].values()
     assert plane[0] == (1, 3, 4) and np.frombuffer(plane[1], np.float32).tolist() == [float(k) for k in range(12)]
     assert tree["PixelClassification"]["LabelSets"]["labels000"]["block0000"][2]["blockSlice"] == "[2:3,1:2,0:1]"
 
 
+def test_project_by_ranges_is_that_in_memory(spark, tmp_path, monkeypatch):
+    """Images that end within a range, without labels or pixels, beside rows that play no part; only the keys differ."""
+    monkeypatch.setattr(project, "RANGE_CELLS", 5)
+    monkeypatch.setattr(sources_project, "PART_CELLS", 7)
+    rng = np.random.default_rng(3)
+    planes = {f"im{k}.x.tif": np.float32(rng.normal(size=(7, 9))) for k in range(3)} | {"none": np.zeros((7, 9), np.float32)}
+    planes["im1.x.tif"][2:5] = 0
+    cells = [(n, k, float(v)) for n, p in planes.items() for k, v in enumerate(p.reshape(-1)) if v]
+    painted = {"im0.x.tif": [(8, 6, 0), (2, 1, 3)], "im2.x.tif": [(4, 4, 1)]}
+    strokes = [(n, x, y, c) for n, ls in painted.items() for x, y, c in ls]
+    others = [("unknown", 0, 1.0), (None, 0, 1.0), ("im0.x.tif", 63, 9.0), ("im0.x.tif", -1, 9.0)]
+    pixels = spark.createDataFrame(cells + others, "image_id string, i long, v double")
+    labels = spark.createDataFrame(strokes + [("unknown", 0, 0, 1), (None, 0, 0, 1), ("none", 3, 3, None)], "image_id string, x int, y int, cls int")
+    images = spark.createDataFrame([(n, 9 - k) for k, n in enumerate(planes)] + [(None, 1)], "image_id string, ord int")
+    order = list(reversed(planes))
+    path = _project(spark, tmp_path, pixels, labels, images, 9, 7)
+    want = hdf5.read_tree(project.build([project.ProjectImage(n, planes[n], painted.get(n, [])) for n in order], "now"))
+    got = hdf5.read_tree(path.read_bytes())
+    keys = [[x["Raw Data"]["datasetId"][1].decode() for _, x in sorted(t["Input Data"]["infos"].items())] for t in (got, want)]
+    assert len(set(keys[0])) == 4
+    for g, w in zip(*keys, strict=True):
+        assert got["Input Data"]["local_data"][g] == want["Input Data"]["local_data"][w]
+    assert got["PixelClassification"] == want["PixelClassification"] and got["FeatureSelections"] == want["FeatureSelections"]
+    file = sources_project.Project(spark, f"file://{path}")
+    read = {(r.lane, r.nickname, r.i): r.v for r in file.planes().collect()}
+    assert read == {(f"lane{k:04d}", n.removesuffix(".tif"), i): float(v) for k, n in enumerate(order) for i, v in enumerate(planes[n].reshape(-1))}
+    codes = {(r.label_set, r.x, r.y): r.code for r in file.label_blocks().collect()}
+    assert {k: v for k, v in codes.items() if v} == {(f"labels{order.index(n):03d}", x, y): c + 1 for n, x, y, c in strokes} and len(codes) == 7 * 6 + 1
+    again = _project(spark, tmp_path / "again", pixels.repartition(3), labels, images, 9, 7)
+    assert again.read_bytes() == path.read_bytes()
+
+
+def test_empty_and_large_projects(spark, tmp_path):
+    pixels, labels = spark.createDataFrame([], "image_id string, i long, v double"), spark.createDataFrame([], "image_id string, x int, y int, cls int")
+    none = spark.createDataFrame([], "image_id string, ord int")
+    file = sources_project.Project(spark, str(_project(spark, tmp_path, pixels, labels, none, 4, 3)))
+    assert file.planes().count() == file.label_blocks().count() == 0 and file.selection().where("selected").count() == 4
+    many = spark.range(100).selectExpr("string(id) as image_id", "int(id) as ord")
+    with pytest.raises(ValueError):
+        project.project_ranges(pixels, labels, many, 4, 3, "now")
+
+
+def test_null_pixels_in_projects(spark, tmp_path):
+    pixels = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0)], "image_id string, i long, v double")
+    labels = spark.createDataFrame([], "image_id string, x int, y int, cls int")
+    images = spark.createDataFrame([("a", None)], "image_id string, ord int")
+    (plane,) = hdf5.read_tree(_project(spark, tmp_path, pixels, labels, images, 2, 2).read_bytes())["Input Data"]["local_data"].values()
+    got = np.frombuffer(plane[1], np.float32)
+    assert np.isnan(got[0]) and got[1:].tolist() == [2.0, 0.0, 0.0]
+
+
 def test_label_store_opens_again(spark, tmp_path):
     folder = f"file://{tmp_path}"
     edits = lambda *rows: spark.createDataFrame(rows, "image_id string, x int, y int, cls int, ts long, event_id long")
