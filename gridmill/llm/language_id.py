@@ -31,13 +31,15 @@ from gridmill.store import materialize
 MAX_PER_LANGUAGE = 600
 MAX_LABELLED = 4_000
 LANDMARKS = 96
-#: Learning texts lie in at most so many parts, each of which sends its sums to the driver.
+#: Learning texts lie in at most so many parts, whose sums are added by blocks of so many rows.
 SAMPLE_PARTS = 64
+GRAM_ROWS = 256
 #: So many languages' counts are sent to every executor; more are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
 SLOTS = 1 << 13
 SEGMENT_BYTES = 4_096
 UNKNOWN = "und"
+_SUMS = "kind string, part long, first long, lang string, n long, data binary"
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
@@ -149,10 +151,16 @@ def landmarks(texts: DataFrame, each: int) -> tuple[np.ndarray, list[str]]:
     return np.array(bits, np.float32).reshape(len(rows), SLOTS), sorted({r[0] for r in rows})
 
 
+def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _SUMS.split(", ")])
+
+
 def kernel_sums(texts: DataFrame, model: Model, leave: bool) -> pa.Table:
-    """Of each task: by language the sum and number of its kernel rows, the sum of their outer products, and left texts' mean rows.
+    """By language the sum and number of its kernel rows, their outer products summed by blocks of ``GRAM_ROWS`` rows, and left texts' mean rows.
 
-    With ``leave``, a tenth of the texts, by hash, is left out of the sums.
+    Executors add what their tasks found, in the tasks' order, so the driver gets each sum once. With ``leave``, a tenth of the texts, by hash, is left out of the sums.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -171,13 +179,19 @@ def kernel_sums(texts: DataFrame, model: Model, leave: bool) -> pa.Table:
                     gram += k.T @ k
                     total, n = sums.get(lang, (0.0, 0))
                     sums[lang] = total + k.sum(axis=0), n + len(k)
-        rows = [("sum", first, lang, n, total.tobytes()) for lang, (total, n) in sorted(sums.items())]
-        rows += [("left", doc_id, lang, 1, (total / weight).tobytes()) for (doc_id, lang), (total, weight) in sorted(left.items())]
-        rows += [("gram", first, "", 0, gram.tobytes())] if sums else []
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["kind", "first", "lang", "n", "data"])
+        rows = [("sum", 0, first, lang, n, total.tobytes()) for lang, (total, n) in sorted(sums.items())]
+        rows += [("left", doc_id, doc_id, lang, 1, (total / weight).tobytes()) for (doc_id, lang), (total, weight) in sorted(left.items())]
+        rows += [("gram", a, first, "", 0, gram[a : a + GRAM_ROWS].tobytes()) for a in range(0, width, GRAM_ROWS)] if sums else []
+        yield _sums_batch(rows)
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("first")
+        kind, part, first, lang = (table[c][0].as_py() for c in ("kind", "part", "first", "lang"))
+        total = sum((np.frombuffer(x, float) for x in table["data"].to_pylist()), 0.0)
+        return pa.Table.from_batches([_sums_batch([(kind, part, first, lang, sum(table["n"].to_pylist()), total.tobytes())])])
 
-    return texts.mapInArrow(run, "kind string, first long, lang string, n long, data binary").toArrow().sort_by([("kind", "ascending"), ("first", "ascending"), ("lang", "ascending")])
+    parts = texts.mapInArrow(run, _SUMS).groupBy("kind", "part", "lang").applyInArrow(lambda t: add(t), _SUMS)
+    return parts.toArrow().sort_by([("kind", "ascending"), ("part", "ascending"), ("lang", "ascending")])
 
 
 def learn(texts: DataFrame, *, ridge: float = 1e-2) -> Model:
@@ -195,7 +209,7 @@ def learn(texts: DataFrame, *, ridge: float = 1e-2) -> Model:
     for r in got.to_pylist():
         data = np.frombuffer(r["data"], float)
         if r["kind"] == "gram":
-            gram += data.reshape(width, width)
+            gram[r["part"] : r["part"] + GRAM_ROWS] += data.reshape(-1, width)
         elif r["kind"] == "sum":
             by_language[names.index(r["lang"])] += data
             n += r["n"]
