@@ -134,6 +134,13 @@ def label_set_name(i: Column) -> Column:
     return F.format_string("labels%03d", i.cast("long"))
 
 
+def key_uuid(content: Column) -> Column:
+    """An identifier in the form of a random UUID that follows from ``content``, so that reruns agree."""
+    digest = F.sha2(content.cast("binary"), 256)
+    part = lambda at, n: F.substring(digest, at, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12))
+
+
 def ctime(ts: Column) -> Column:
     """As C's ctime: the day of the month is padded with a space."""
     return F.concat(

@@ -51,6 +51,13 @@ def intake(new: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.withColumn("rank", first).where(F.col("rank") == 1).drop("rank")
 
 
+def with_rank_errors(shapes: DataFrame, shape: str = "shape") -> DataFrame:
+    """Adds ``error``: what is wrong with a row whose shape has more than two axes, else null; a null shape is such an error too. No data is copied for it."""
+    rank = F.coalesce(F.size(shape), F.lit(-1))
+    said = F.format_string("only two-dimensional images are read, not %d axes", rank)
+    return shapes.withColumn("error", F.when(rank < 0, "no shape").when(rank > 2, said))
+
+
 def planar_only(shapes: DataFrame, shape: str = "shape") -> DataFrame:
     """Rows of rank 2; more axes are an error, raised when such a row is met."""
     checked = F.when(F.size(shape) > 2, F.raise_error(F.lit("only two-dimensional images are read"))).otherwise(F.lit(True))

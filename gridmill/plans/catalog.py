@@ -24,7 +24,7 @@ from gridmill.sources.project import Project
 from gridmill.sources.tables import EVENTS_SIZE, SHIP_SIZE, events_raster, ship_raster, table
 from gridmill.store import materialize, scratch
 from gridmill.streaming import events as streams
-from gridmill.streaming import state
+from gridmill.streaming import progress, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -888,6 +888,37 @@ def ilp_manifest(spark, sf_dir):
     return project.manifest(images, labels.bounding_boxes(labels.keep_latest(_strokes(spark, sf_dir), ["ts", "event_id"])))
 
 
+@query("""WITH h AS (SELECT doc_id, sha256(doc_id || ':' || coalesce(text, '')) AS d FROM documents)
+  SELECT doc_id, d[1:8] || '-' || d[9:12] || '-4' || d[14:16] || '-8' || d[18:20] || '-' || d[21:32] AS dataset_id FROM h""")
+def dataset_ids(spark, sf_dir):
+    """Identifiers of data sets, by place and content."""
+    content = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.key_uuid(content).alias("dataset_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no shape' WHEN n_chars % 4 > 1 THEN 'only two-dimensional images are read, not ' || (n_chars % 4 + 1) || ' axes' END AS error FROM documents""")
+def rank_guard(spark, sf_dir):
+    """Images by the shapes that documents stand for: those with more than two axes are reported."""
+    shape = F.when(F.col("doc_id") % 11 != 0, F.sequence(F.lit(0), (F.col("n_chars") % 4).cast("int")))
+    return planes.with_rank_errors(table(spark, sf_dir, "documents").withColumn("shape", shape)).select("doc_id", "error")
+
+
+_HEADS = [len(tiff.header(*EVENTS_SIZE, n, np.dtype(k))) for n, k in ((1, "u1"), (4, "f4"))]
+
+
+@query(f"SELECT 2 * count(DISTINCT event_type) AS files, CAST(count(DISTINCT event_type) * ({sum(_HEADS)} + {EVENTS_SIZE[0] * EVENTS_SIZE[1]} * 17) AS BIGINT) AS bytes FROM events")
+def export_progress(spark, sf_dir):
+    """Files and bytes that a streamed export says it has written."""
+    folder = scratch(spark, "export-stream")
+    made = materialize(_export_ranges(spark, sf_dir), "export-ranges")
+    spark.dataSource.register(ranges.RangeSink)
+    stream = progress.observed(spark.readStream.schema(made.schema).parquet(made._gridmill_table))
+    run = stream.writeStream.format("gridmill_ranges").option("path", f"{folder}/files").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    told = [p["observedMetrics"][progress.NAME] for p in run.recentProgress if progress.NAME in p["observedMetrics"]]
+    return spark.createDataFrame([(sum(t["files"] for t in told), sum(t["bytes"] for t in told))], "files long, bytes long")
+
+
 def _exported(spark, sf_dir) -> Project:
     """The images in their order, with their labels, in a project file that tasks wrote range by range."""
     painted = labels.keep_latest(_strokes(spark, sf_dir), ["ts", "event_id"])
@@ -911,6 +942,25 @@ def project_labels(spark, sf_dir):
     return _longs(_exported(spark, sf_dir).label_blocks(), "code")
 
 
+def _project_texts_sql() -> str:
+    """Texts of the file but for lanes' keys, which are hashes of their own, and paths made of them."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    whole = {
+        "/ilastikVersion": "1.4.0", "/workflowName": "Pixel Classification", "/time": "now", "/Input Data/StorageVersion": "0.2", "/FeatureSelections/StorageVersion": "0.1",
+        "/PixelClassification/StorageVersion": "0.1", "/PixelClassification/ClassifierFactory": project.CLASSIFIER_FACTORY.format(trees=8),
+    }
+    lane = {"__class__": "'ProjectInternalDatasetInfo'", "axistags": quoted(project.axis_tags("zyx")), "display_mode": "'default'", "location": "'ProjectInternal'", "nickname": "image_id"}
+    parts = [f"SELECT {quoted(p)} AS path, {quoted(v)} AS value" for p, v in whole.items()]
+    parts += [f"SELECT format('/Input Data/infos/lane{{:04d}}/Raw Data/{n}', ord), {v} FROM im" for n, v in lane.items()]
+    return sql.select(_ORDERED, " UNION ALL ".join(parts))
+
+
+@query(_project_texts_sql())
+def project_texts(spark, sf_dir):
+    """Texts of an exported project file."""
+    return _exported(spark, sf_dir).texts().where(~F.col("path").rlike("(datasetId|filePath|inner_path)$"))
+
+
 # --- stream operators, as batches ---------------------------------------------------------------------
 
 

@@ -16,6 +16,11 @@ from gridmill.sinks.ranges import local_path
 
 #: Cells that one row of a scan's plan covers.
 PART_CELLS = 1 << 20
+#: Fixed values of the project format: names of the texts that stand alone.
+TEXTS = frozenset((
+    "ilastikVersion", "workflowName", "time", "StorageVersion", "ClassifierFactory", "__class__", "axistags", "datasetId", "display_mode",
+    "filePath", "inner_path", "location", "nickname",
+))
 
 
 class Project:
@@ -70,6 +75,18 @@ class Project:
         cells = self._cells(rows, "label_set string, x0 long, y0 long, w long", "u1", "code")
         return cells.select("label_set", (F.col("x0") + F.col("at") % F.col("w")).alias("x"), (F.col("y0") + F.floor(F.col("at") / F.col("w"))).alias("y"), "code")
 
+    def texts(self) -> DataFrame:
+        """``(path, value)``: every text of the file that stands alone (not in a list), up to the null that ends it."""
+
+        def walk(item: dict | tuple, path: str) -> Iterator[tuple[str, str]]:
+            if isinstance(item, dict):
+                for name, child in item.items():
+                    yield from walk(child, f"{path}/{name}")
+            elif path.rsplit("/", 1)[-1] in TEXTS:
+                yield path, self._small(item).rstrip(b"\0").decode()
+
+        return self._spark.createDataFrame(list(walk(self._places, "")), "path string, value string")
+
     def selection(self) -> DataFrame:
         """``(feature, scale_index, feature_id, scale, selected)``: the features and scales that the file selects."""
         found = self._places["FeatureSelections"]

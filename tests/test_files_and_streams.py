@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridmill.functions import scalars
+from gridmill.operators import filters, forest, planes
 from gridmill.operators.labels import keep_latest
 from gridmill.sinks import hdf5, project, ranges
 from gridmill.sources import images, tiff
@@ -193,6 +195,33 @@ def test_project_by_ranges_is_that_in_memory(spark, tmp_path, monkeypatch):
     assert again.read_bytes() == path.read_bytes()
 
 
+def test_keys_of_data_sets(spark):
+    """As an expression and on the driver."""
+    got = spark.createDataFrame([("3:a.tif:x",), ("0::",), (None,)], "content string").select(scalars.key_uuid(F.col("content")))
+    assert [r[0] for r in got.collect()] == [project._key(3, "a.tif", b"x"), project._key(0, "", b""), None]
+
+
+def test_rank_errors(spark):
+    shapes = spark.createDataFrame([([2, 3],), ([4],), ([1, 2, 3],), (None,), ([],)], "shape array<int>")
+    got = [r["error"] for r in planes.with_rank_errors(shapes).collect()]
+    assert got == [None, None, "only two-dimensional images are read, not 3 axes", "no shape", None]
+
+
+def test_kernels_reach_so_far():
+    assert filters.kernels(8.0)
+    for sigma in (8.1, 0.0, -1.0):
+        with pytest.raises(ValueError):
+            filters.kernels(sigma)
+
+
+def test_node_counts(spark):
+    nodes = [(0, 0, 0, 5.0, 1, 2, -1), (0, 1, -1, 0.0, -1, -1, 0), (0, 2, -1, 0.0, -1, -1, 1), (1, 0, -1, 0.0, -1, -1, 3)]
+    rows = spark.createDataFrame([(1.0,), (4.0,), (2.0,)], "f double")
+    want = {(0, 0): 3, (0, 1): 3, (0, 2): 0, (1, 0): 3}
+    assert {(r.tree, r.node): r.reached for r in forest.node_counts(rows, nodes, ["f"]).collect()} == want
+    assert {r.reached for r in forest.node_counts(rows.limit(0), nodes, ["f"]).collect()} == {0}
+
+
 def test_empty_and_large_projects(spark, tmp_path):
     pixels, labels = spark.createDataFrame([], "image_id string, i long, v double"), spark.createDataFrame([], "image_id string, x int, y int, cls int")
     none = spark.createDataFrame([], "image_id string, ord int")
