@@ -1,14 +1,15 @@
 """Files written range by range: every task puts bytes at their offsets, so none holds a whole file.
 
 ``df.write.format("gridmill_ranges").mode("append").option("path", folder).save()``, also as a stream, takes rows ``(file, size, offset, data)``.
-Ranges go to a hidden file of the job; when all tasks have ended, files whose ranges add up to their size are
-renamed, all together. A failed job leaves nothing; a task that runs again writes the same bytes to the same places. ``folder``
+Ranges go to a file in a hidden folder of the job; when all tasks have ended, files whose ranges add up to their size are
+renamed, all together. A failed job leaves nothing, as its folder goes and tasks that still run cannot make it again; a task that runs again writes the same bytes to the same places. ``folder``
 is on a file system that driver and executors mount, as writing at an offset needs: object stores do not offer it.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -44,16 +45,16 @@ class _Ranges:
     """What batch and stream writers share."""
 
     def __init__(self, path: str, job: str) -> None:
-        self._folder, self._job = local_path(path), job
+        self._folder = local_path(path)
+        self._hidden_folder = self._folder / f".{job}"
 
     def _hidden(self, name: str) -> Path:
         if not name or "/" in name or name.startswith("."):
             raise ValueError(f"not the name of a file: {name!r}")
-        return self._folder / f".{name}.{self._job}"
+        return self._hidden_folder / name
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         out, now, fd = Written(), None, -1
-        self._folder.mkdir(parents=True, exist_ok=True)
         try:
             for batch in iterator:
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in ("file", "size", "offset", "data")]
@@ -85,13 +86,25 @@ class _Ranges:
             raise ValueError(f"ranges do not fill {wrong[:3]}")
         for name in sizes:
             os.replace(self._hidden(name), self._folder / name)
+        self._abort()
 
     def _abort(self) -> None:
-        for left in self._folder.glob(f".*.{self._job}"):
-            left.unlink(missing_ok=True)
+        """Moved away first, so that no task finds the folder while it is emptied."""
+        gone = self._folder / f".{uuid.uuid4().hex}"
+        try:
+            os.replace(self._hidden_folder, gone)
+        except FileNotFoundError:
+            return
+        shutil.rmtree(gone)
 
 
 class RangeWriter(_Ranges, DataSourceArrowWriter):
+    """Made once for a job, on the driver; tasks and the committing side have copies."""
+
+    def __init__(self, path: str, job: str) -> None:
+        super().__init__(path, job)
+        self._hidden_folder.mkdir(parents=True)
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         self._commit(messages)
 
@@ -100,7 +113,11 @@ class RangeWriter(_Ranges, DataSourceArrowWriter):
 
 
 class RangeStreamWriter(_Ranges, DataSourceStreamArrowWriter):
-    """A batch that is run again replaces its files by the same."""
+    """A batch that is run again replaces its files by the same. A task makes the folder where it is not there, as each has a writer of its own."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        self._hidden_folder.mkdir(parents=True, exist_ok=True)
+        return super().write(iterator)
 
     def commit(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:  # noqa: N803
         self._commit(messages)

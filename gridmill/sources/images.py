@@ -103,8 +103,8 @@ PART_BYTES = 8 << 20
 class TiffSource(DataSource):
     """``spark.read.format("gridmill_tiff").option("path", …)``: TIFF files of a folder, read by ranges of strips or tiles.
 
-    Directories are read once, when the scan is planned; a partition reads the bytes of its own strips or tiles only. Conditions on
-    ``y``, ``channel`` and ``name`` leave out strips, planes and files (``spark.sql.python.filterPushdown.enabled``). A row is a piece of an
+    Directories are read once, when the scan is planned; a partition reads the bytes of its own strips or tiles only. With the option ``pushdown``, which
+    needs ``spark.sql.python.filterPushdown.enabled``, conditions on ``y``, ``channel`` and ``name`` leave out strips, planes and files. A row is a piece of an
     image row of one channel that begins at column ``x0``. Files lie on a mounted file system or one that pyarrow opens by its URI.
     """
 
@@ -116,7 +116,8 @@ class TiffSource(DataSource):
         return _SCHEMA.replace("y int,", "y int, x0 int,")
 
     def reader(self, schema) -> DataSourceReader:
-        return TiffReader(self.options["path"])
+        pushdown = self.options.get("pushdown", "false").lower() == "true"
+        return (PushedTiffReader if pushdown else TiffReader)(self.options["path"])
 
 
 class _Files:
@@ -158,24 +159,6 @@ class TiffReader(DataSourceReader):
         self._channels: set[int] | None = None
         self._names: set[str] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """What is left out by whole strips Spark still checks row by row."""
-        both = lambda old, new: new if old is None else old & new
-        for f in filters:
-            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is not None and column == "y":
-                self._low, self._high = max(self._low, min(values)), min(self._high, max(values))
-            elif values is not None and column == "channel":
-                self._channels = both(self._channels, values)
-            elif values is not None and column == "name":
-                self._names = both(self._names, values)
-            elif column == "y" and isinstance(f, GreaterThan | GreaterThanOrEqual):
-                self._low = max(self._low, f.value)
-            elif column == "y" and isinstance(f, LessThan | LessThanOrEqual):
-                self._high = min(self._high, f.value)
-            yield f
-
     def _wanted(self, at: tiff.Layout, k: int) -> bool:
         plane, y, _, h, _ = at.place(k)
         return y <= self._high and y + h > self._low and (self._channels is None or not at.planar or plane in self._channels)
@@ -215,9 +198,31 @@ class TiffReader(DataSourceReader):
                             yield name, part.file_size, at.width, at.height, c, at.channels, at.dtype, y + d, x, samples[d]
 
 
+class PushedTiffReader(TiffReader):
+    """Spark refuses a reader that takes conditions in a session where they are not handed on, so the plain one takes none."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """What is left out by whole strips Spark still checks row by row."""
+        both = lambda old, new: new if old is None else old & new
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and column == "y":
+                self._low, self._high = max(self._low, min(values)), min(self._high, max(values))
+            elif values is not None and column == "channel":
+                self._channels = both(self._channels, values)
+            elif values is not None and column == "name":
+                self._names = both(self._names, values)
+            elif column == "y" and isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self._low = max(self._low, f.value)
+            elif column == "y" and isinstance(f, LessThan | LessThanOrEqual):
+                self._high = min(self._high, f.value)
+            yield f
+
+
 def scan_tiffs(spark: SparkSession, path: str) -> DataFrame:
     """Pieces of rows of the TIFF files under ``path``, see :class:`TiffSource`; conditions on them reach the scan."""
     ship(spark)
     spark.dataSource.register(TiffSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("gridmill_tiff").option("path", path).load()
+    return spark.read.format("gridmill_tiff").option("path", path).option("pushdown", "true").load()

@@ -105,7 +105,7 @@ def test_split_scan(spark, tmp_path, monkeypatch):
     assert {(r.y, tuple(r.row)) for r in some.collect()} == {(y, tuple(plane[y, :, 1].astype(float))) for y in (10, 11, 12)}
     # 14 strips of three rows in one file, one in the other; rows 10 to 12 lie in two strips.
     assert blocks_of(images.TiffReader(str(tmp_path))) == 15 and len(images.TiffReader(str(tmp_path)).partitions()) > 5
-    reader = images.TiffReader(str(tmp_path))
+    reader = images.PushedTiffReader(str(tmp_path))
     pushed = [EqualTo(("name",), "one.tif"), GreaterThanOrEqual(("y",), 10), LessThan(("y",), 13), In(("channel",), (1,))]
     assert list(reader.pushFilters(pushed)) == pushed and blocks_of(reader) == 2
     assert images.TiffReader(str(tmp_path / "one.tif")).partitions()[0].numbers[0] == 0
