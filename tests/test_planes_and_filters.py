@@ -143,3 +143,23 @@ def test_unclassified_pixels_are_marked(spark):
     some = grid.where("x = 1").withColumns({f"p{c}": F.lit(c / 6.0) for c in range(4)})
     got = {r.i: (r.p0, r.p1, r.p2, r.p3) for r in render.stored_probabilities(grid, some).collect()}
     assert got == {0: (-1.0,) * 4, 1: (0.0, 1 / 6, 2 / 6, 3 / 6)}
+
+
+def test_pixels_of_a_large_image_are_neither_shuffled_nor_held(spark):
+    """Tiles are dealt and made into pixels as they are read, by more tasks in a larger image."""
+    width, height, values = 9_000, 600, {(0, 0): 2.0, (4_095, 7): 1.0, (4_096, 7): 3.0, (8_999, 599): 1.0}
+    rows = spark.createDataFrame([(x, y) for (x, y), n in values.items() for _ in range(int(n))] + [(9_000, 0), (0, -1)], "x int, y int")
+    pixels = raster.rasterize(rows, F.lit("a"), F.col("x"), F.col("y"), width, height)
+    above = pixels._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    conf = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "1")
+    try:
+        few = raster.rasterize(rows, F.lit("a"), F.col("x"), F.col("y"), width, height)
+        assert few.rdd.getNumPartitions() == 2
+    finally:
+        spark.conf.set(conf, before)
+    found = pixels.agg(F.count("*"), F.count_distinct("i"), F.min("i"), F.max("i"), F.sum("v")).first()
+    assert tuple(found) == (width * height, width * height, 0, width * height - 1, 7.0)
+    assert {(r.x, r.y): r.v for r in pixels.where("v > 0").collect()} == values
