@@ -173,3 +173,29 @@ def test_numbered(spark):
     rows = spark.createDataFrame([(int(k), f"x{k}") for k in np.random.default_rng(0).permutation(500)], "k int, t string").repartition(7)
     assert all(r.row == r.k and r.t == f"x{r.k}" for r in pipeline.numbered(rows, ["k"]).collect())
     assert pipeline.numbered(rows.where("k < 0"), ["k"]).count() == 0
+
+
+def test_ranges_are_looked_up_once_and_not_joined(spark):
+    """Missing values, one value in most rows, and ranges that start by rows with the counts before them: the same splits, without a join of cells."""
+    samples, names = drawn_samples(spark, 200, 50, 4, 2)
+    samples = samples.selectExpr("row", "if(row % 3 > 0, 1.5, f0) as f0", "if(row % 11 = 0, null, f1) as f1", "if(row % 7 = 0, double('nan'), f2) as f2", "cls", "row % 3 as g")
+    want = sorted(map(repr, forest.best_splits(samples, names, 4, ["g"]).collect()))
+    split = forest.best_splits(samples, names, 4, ["g"], ranges=forest.value_ranges(samples, names, 7))
+    assert sorted(map(repr, split.collect())) == want
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "split(" not in plan
+
+
+def test_equal_rows_are_kept_once(spark, monkeypatch):
+    samples, names = drawn_samples(spark, 400, 2, 2, 3)
+    config = forest.ForestConfig(trees=3, depth=2, classes=2)
+    want, sizes = forest.collect_forest(forest.train(samples, names, config)), []
+
+    def counted(df, name, write=forest.materialize):
+        out = write(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(forest, "materialize", counted)
+    assert forest.collect_forest(forest.train_by_levels(samples, names, config)) == want
+    assert max(sizes) <= config.trees * 2**3 * 2
